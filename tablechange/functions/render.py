@@ -50,7 +50,7 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
         return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     if isinstance(dtype, T.DateType):
         return F.date_format(c, "yyyy-MM-dd")
-    if dtype.typeName().startswith("time("):
+    if isinstance(dtype, T.TimeType):
         text = F.when(c.cast("string").contains("."), c.cast("string")).otherwise(F.concat(c.cast("string"), F.lit(".")))
         return F.rpad(text, 15, "0")
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):

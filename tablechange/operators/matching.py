@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -27,6 +28,7 @@ from tablechange.session import materialize
 
 _EXACT_LENGTHS = 32
 _TOKENS_RANKED = 4000
+_FEW_PAIRS = 1_000_000  # below this the first band is not worth its jobs
 _CLASSES = 256  # enough for texts of 2^31 characters
 
 
@@ -135,8 +137,6 @@ def _signer(bounds: _Bounds, partners: list[int], ranks: dict[tuple[str, int], i
             columns = [*batch.columns[:-1], "start", "la", "lb", "head", "token", "tokens", side]
             for i in range(0, len(rows), 20000):
                 yield pd.DataFrame(rows[i : i + 20000], columns=columns)
-            if not rows:
-                yield pd.DataFrame({c: [] for c in columns})
 
     return sign
 
@@ -154,78 +154,112 @@ def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(c, n, k) for (c, n), k in total.items()], columns=["what", "nth", "n"])
 
 
-def _read_profile(names: DataFrame) -> tuple[dict[tuple[str, int], int], list[int], list[int]]:
+@dataclass
+class _Profile:
+    ranks: dict[tuple[str, int], int]
+    classes: dict[str, list[int]]
+    counts: dict[str, int]
+
+
+def _read_profile(names: DataFrame) -> _Profile:
     """Ranks of the most frequent characters (any other one counts as rarer; the order matters
-    for speed only) and the length classes of both sides. Whatever the data, the driver gets at
-    most ``_TOKENS_RANKED`` characters and 32 + log(longest)/log(1.1) classes per side."""
+    for speed only), and per side the length classes and the number of names. Whatever the data,
+    the driver gets at most ``_TOKENS_RANKED`` characters and 32 + log(longest)/log(1.1) classes
+    per side."""
     counts = names.select("side", "name").mapInPandas(_profile, "what string, nth long, n long")
     counts = counts.groupBy("what", "nth").agg(F.sum("n").alias("n"))
     is_class = F.length("what") > 1
     rows = counts.orderBy(F.desc(is_class), F.desc("n"), "what", "nth").limit(_TOKENS_RANKED + 2 * _CLASSES).collect()
-    classes = {"old": [], "new": []}
-    top = []
+    classes, sizes, top = {"old": [], "new": []}, {"old": 0, "new": 0}, []
     for r in rows:
         if len(r["what"]) > 1:
-            classes[r["what"].removeprefix("length ")].append(r["nth"])
+            side = r["what"].removeprefix("length ")
+            classes[side].append(r["nth"])
+            sizes[side] += r["n"]
         else:
             top.append((r["what"], r["nth"]))
     ranks = {token: rank for rank, token in enumerate(reversed(top[:_TOKENS_RANKED]), start=1)}
-    return ranks, sorted(classes["old"]), sorted(classes["new"])
+    return _Profile(ranks, {k: sorted(v) for k, v in classes.items()}, sizes)
 
 
-def similar_pairs(
-    dropped: DataFrame,
-    created: DataFrame,
-    on: list[str] | str | None = None,
-    threshold: float = THRESHOLD,
-    block: str | None = None,
-    name: str = "name",
-    prefix_weight: float = PREFIX_WEIGHT,
-    prefix_cap: int | None = PREFIX_CAP,
-    boost_floor: float = BOOST_FLOOR,
-) -> DataFrame:
-    """``(on..., old_name, new_name, score)`` for all pairs of a dropped and a created name of
-    the same ``on`` columns that score strictly above ``threshold``; each distinct name once.
+@dataclass
+class _Scorer:
+    """The parameters of Jaro-Winkler."""
 
-    ``block`` is one more column that must agree. It may lose renames that change the block, so
-    it is the caller's choice.
-    """
-    group = [on] if isinstance(on, str) else list(on or [])
-    group += [block] if block else []
+    prefix_weight: float = PREFIX_WEIGHT
+    prefix_cap: int | None = PREFIX_CAP
+    boost_floor: float = BOOST_FLOOR
+
+    def above(self, threshold: float):
+        """A function for ``mapInPandas``: pairs in, those above the threshold out with their score."""
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                batch = batch.rename(columns={"old": "old_name", "new": "new_name"})
+                batch["score"] = jaro_winkler_scores(
+                    batch["old_name"].tolist(), batch["new_name"].tolist(), self.prefix_weight, self.prefix_cap, self.boost_floor
+                )
+                yield batch[batch["score"] > threshold]
+
+        return score
+
+
+def _group(on: list[str] | str | None) -> list[str]:
+    return [on] if isinstance(on, str) else list(on or [])
+
+
+def _names(dropped: DataFrame, created: DataFrame, group: list[str], name: str) -> DataFrame:
+    """The distinct names of both sides per group, written once: ``(side, group..., name)``."""
     cols = [F.col(g) for g in group]
     olds = dropped.select(F.lit("old").alias("side"), *cols, F.col(name).alias("name"))
     news = created.select(F.lit("new").alias("side"), *cols, F.col(name).alias("name"))
-    names = materialize(olds.unionByName(news).filter("name IS NOT NULL").distinct(), "names")
-    ranks, old_classes, new_classes = _read_profile(names)
-    olds, news = names.filter("side = 'old'").drop("side"), names.filter("side = 'new'").drop("side")
+    return materialize(olds.unionByName(news).filter("name IS NOT NULL").distinct(), "names")
+
 
-    bounds = _Bounds(threshold, prefix_weight, prefix_cap, boost_floor)
-    fields = [f"`{g}` {olds.schema[g].dataType.simpleString()}" for g in group]
+def _fields(df: DataFrame, group: list[str]) -> list[str]:
+    return [f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group]
+
+
+def _scored_pairs(names: DataFrame, profile: _Profile, group: list[str], threshold: float, scorer: _Scorer) -> DataFrame:
+    bounds = _Bounds(threshold, scorer.prefix_weight, scorer.prefix_cap, scorer.boost_floor)
+    fields = _fields(names, group)
     key = ", ".join([*fields, "start int, la int, lb int, head string, token long, tokens array<long>"])
-    old_signs = olds.mapInPandas(_signer(bounds, new_classes, ranks, "old"), f"{key}, old string")
-    new_signs = news.mapInPandas(_signer(bounds, old_classes, ranks, "new"), f"{key}, new string")
+
+    def signatures(side: str, partner: str) -> DataFrame:
+        mine = names.filter(F.col("side") == side).drop("side")
+        return mine.mapInPandas(_signer(bounds, profile.classes[partner], profile.ranks, side), f"{key}, {side} string")
 
     # a pair is taken at its exact common start and at its first shared character only, so it
     # appears once and no distinct is needed
-    signature = [*group, "start", "la", "lb", "head", "token"]
-    o, n = old_signs.alias("o"), new_signs.alias("n")
-    same = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in signature]
+    o, n = signatures("old", "new").alias("o"), signatures("new", "old").alias("n")
+    same = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in [*group, "start", "la", "lb", "head", "token"]]
     next_old = F.substring(F.col("o.old"), F.col("o.start") + 1, F.lit(1))
     next_new = F.substring(F.col("n.new"), F.col("n.start") + 1, F.lit(1))
     once = (F.col("o.start") == bounds.starts) | (next_old != next_new) | (next_old == "")
     first = F.array_min(F.array_intersect(F.col("o.tokens"), F.col("n.tokens"))) == F.col("o.token")
     pairs = o.join(n, same).filter(once & first).select(*[F.col(f"o.{g}") for g in group], "old", "new")
+    return pairs.mapInPandas(scorer.above(threshold), ", ".join([*fields, "old_name string, new_name string, score double"]))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch.rename(columns={"old": "old_name", "new": "new_name"})
-            batch["score"] = jaro_winkler_scores(
-                batch["old_name"].tolist(), batch["new_name"].tolist(), prefix_weight, prefix_cap, boost_floor
-            )
-            yield batch[batch["score"] > threshold]
 
-    scored = pairs.mapInPandas(score, ", ".join([*fields, "old_name string, new_name string, score double"]))
-    return scored.drop(block) if block and block not in ([on] if isinstance(on, str) else list(on or [])) else scored
+def similar_pairs(
+    dropped: DataFrame,
+    created: DataFrame,
+    on: list[str] | str | None = None,
+    threshold: float = THRESHOLD,
+    block: str | None = None,
+    name: str = "name",
+    **weights,
+) -> DataFrame:
+    """``(on..., old_name, new_name, score)`` for all pairs of a dropped and a created name of
+    the same ``on`` columns that score strictly above ``threshold``; each distinct name once.
+
+    ``block`` is one more column that must agree. It may lose renames that change the block, so
+    it is the caller's choice. ``weights``: ``prefix_weight``, ``prefix_cap``, ``boost_floor``.
+    """
+    group = _group(on) + ([block] if block and block not in _group(on) else [])
+    names = _names(dropped, created, group, name)
+    scored = _scored_pairs(names, _read_profile(names), group, threshold, _Scorer(**weights))
+    return scored.select(*_group(on), "old_name", "new_name", "score")
 
 
 def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None, max_rounds: int = 1000) -> DataFrame:
@@ -236,7 +270,7 @@ def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None, max_ro
     aggregate (a minimum), so a name with very many partners is no hot key. One round per link
     of the longest chain of ever worse pairs.
     """
-    group = [on] if isinstance(on, str) else list(on or [])
+    group = _group(on)
     rank = F.struct((-F.col("score")).alias("s"), F.col("old_name").alias("o"), F.col("new_name").alias("n"))
     rest, taken = materialize(pairs.select(*group, "old_name", "new_name", "score"), "pairs"), None
     for _ in range(max_rounds):
@@ -270,17 +304,35 @@ def match_names(
 
     The greedy takes high scores first, so the names are matched above 0.95, the matched ones
     leave, and only the remaining names are compared down to the threshold. The result is the
-    same; a scope of a million renames with names all alike needs only its near-equal pairs.
+    same; a scope of very many renames with names all alike needs only its near-equal pairs.
+    Few names (counted first) go straight to the threshold.
     """
-    group = [on] if isinstance(on, str) else list(on or [])
-    olds = dropped.select(*group, *([block] if block else []), F.col(name).alias("name"))
-    news = created.select(*group, *([block] if block else []), F.col(name).alias("name"))
-    taken = None
-    for level in [*[b for b in bands if b > threshold], threshold]:
-        found = match_one_to_one(similar_pairs(olds, news, on, level, block, **weights), on)
+    group, scorer = _group(on), _Scorer(**weights)
+    wide = group + ([block] if block and block not in group else [])
+    names, taken = _names(dropped, created, wide, name), None
+    levels = [*sorted((b for b in bands if b > threshold), reverse=True), threshold]
+    while levels:
+        profile = _read_profile(names)
+        size = profile.counts["old"] * profile.counts["new"]
+        if size == 0:
+            break
+        level = threshold if size <= _FEW_PAIRS else levels[0]
+        levels = levels[levels.index(level) + 1 :]
+        pairs = _scored_pairs(names, profile, wide, level, scorer)
+        found = match_one_to_one(pairs.select(*group, "old_name", "new_name", "score"), on)
         taken = found if taken is None else taken.unionByName(found)
-        olds = olds.join(found.select(*group, F.col("old_name").alias("name")), [*group, "name"], "left_anti")
-        news = news.join(found.select(*group, F.col("new_name").alias("name")), [*group, "name"], "left_anti")
+        if levels:
+            side = F.explode(
+                F.array(
+                    F.struct(F.lit("old").alias("side"), F.col("old_name").alias("name")),
+                    F.struct(F.lit("new").alias("side"), F.col("new_name").alias("name")),
+                )
+            )
+            used = found.select(*group, side.alias("u")).select(*group, "u.side", "u.name")
+            names = materialize(names.join(used, [*group, "side", "name"], "left_anti").select(names.columns), "names")
+    if taken is None:
+        schema = ", ".join([*_fields(names, group), "old_name string, new_name string, score double"])
+        taken = names.sparkSession.createDataFrame([], schema)
     return taken
 
 
