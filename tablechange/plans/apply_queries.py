@@ -273,7 +273,7 @@ def q_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "build_models",
     """SELECT c_nationkey, count(*) AS n_orders, CAST(sum(net) AS DOUBLE) AS net FROM (
-      SELECT o_custkey, CAST(round(sum(l_extendedprice * (1 - l_discount)), 0) AS DECIMAL(18, 0)) AS net
+      SELECT o_custkey, sum(CAST(l_extendedprice AS DECIMAL(14, 2)) * CAST(1 - l_discount AS DECIMAL(3, 2))) AS net
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey) JOIN customer ON o_custkey = c_custkey
     GROUP BY c_nationkey""",
 )
@@ -282,7 +282,7 @@ def q_models(spark: SparkSession, sf: str) -> DataFrame:
     models = {
         "nation_net": "SELECT c_nationkey, count(*) AS n_orders, CAST(sum(net) AS DOUBLE) AS net FROM customer_net GROUP BY c_nationkey",
         "customer_net": "SELECT c_nationkey, net FROM order_net JOIN customer ON o_custkey = c_custkey",
-        "order_net": """SELECT o_custkey, CAST(round(sum(l_extendedprice * (1 - l_discount)), 0) AS DECIMAL(18, 0)) AS net
+        "order_net": """SELECT o_custkey, sum(CAST(l_extendedprice AS DECIMAL(14, 2)) * CAST(1 - l_discount AS DECIMAL(3, 2))) AS net
             FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey""",
     }
     return build_models(spark, models)["nation_net"]
@@ -290,8 +290,8 @@ def q_models(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sql_function",
-    """SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 2) AS net,
-    round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS gross FROM lineitem""",
+    """SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net,
+    l_extendedprice * (1 - l_discount) * (1 + l_tax) AS gross FROM lineitem""",
 )
 def q_function(spark: SparkSession, sf: str) -> DataFrame:
     register_tables(spark, sf, "lineitem")
@@ -303,6 +303,6 @@ def q_function(spark: SparkSession, sf: str) -> DataFrame:
         },
     )
     return spark.sql(
-        """SELECT l_orderkey, l_linenumber, round(net_of(l_extendedprice, l_discount), 2) AS net,
-        round(gross_of(l_extendedprice, l_discount, l_tax), 2) AS gross FROM lineitem"""
+        """SELECT l_orderkey, l_linenumber, net_of(l_extendedprice, l_discount) AS net,
+        gross_of(l_extendedprice, l_discount, l_tax) AS gross FROM lineitem"""
     )
