@@ -171,7 +171,7 @@ def mentions(
     checked = defs.select(def_id, text).join(candidates, def_id)
     if whole_word:
         quoted = F.regexp_replace(F.col("name"), r"([^\p{L}\p{N}_\s])", r"\\$1")
-        found = F.col(text).rlike(F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+        found = F.rlike(F.col(text), F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
     else:
         found = F.col(text).contains(F.col("name"))
     return checked.filter(found).select(def_id, "name")
