@@ -67,13 +67,9 @@ def render_text(df: DataFrame, null: str | None = "NULL") -> DataFrame:
     return df.select(cells)
 
 
-def row_text(df: DataFrame, names: list[str], prefix: str = "") -> Column:
-    """``name=value`` of the given columns, in order; the definition shown for a whole row."""
-    parts = []
-    for n in names:
-        text = value_text(F.col(f"{prefix}`{n}`"), df.schema[n].dataType)
-        parts.append(F.concat(F.lit(f"{n}="), F.coalesce(text, F.lit("NULL"))))
-    return F.concat_ws(", ", *parts)
+def named_text(texts: dict[str, Column]) -> Column:
+    """``name=value`` of each text, in order; the definition shown for a whole row."""
+    return F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), F.coalesce(t, F.lit("NULL"))) for n, t in texts.items()])
 
 
 def key_text(columns: list[tuple[Column, T.DataType]]) -> Column:

@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablechange.functions.render import field, key_text, row_text, value_text
+from tablechange.functions.render import field, key_text, named_text, value_text
 from tablechange.functions.text import canonical_text
 
 CHANGE_SCHEMA = T.StructType(
@@ -42,7 +42,10 @@ DESTRUCTIVE = ["drop", "drop_column"]
 
 
 def phase_of(kind: Column, phases: dict[str, int] = PHASE) -> Column:
-    return F.create_map(*[F.lit(x) for kv in phases.items() for x in kv])[kind]
+    out = F.lit(None).cast("int")
+    for phase in sorted(set(phases.values())):
+        out = F.when(kind.isin([k for k, p in phases.items() if p == phase]), phase).otherwise(out)
+    return out
 
 
 def change_rows(df: DataFrame) -> DataFrame:
@@ -99,20 +102,27 @@ def _differs(old: DataFrame, new: DataFrame, attr: str) -> Column:
     return ~_comparable(a, old.schema[attr].dataType).eqNullSafe(_comparable(b, new.schema[attr].dataType))
 
 
-def _attr_change(old: DataFrame, new: DataFrame, attr: str) -> Column:
-    return F.struct(
-        F.lit(attr).alias("column"),
-        value_text(F.col(f"o.`{attr}`"), old.schema[attr].dataType).alias("old_value"),
-        value_text(F.col(f"n.`{attr}`"), new.schema[attr].dataType).alias("new_value"),
-    )
-
+class _Compared:
+    """Attribute by attribute: does it differ, and both texts."""
 
-def _changed_attrs(old: DataFrame, new: DataFrame, attrs: list[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(_differs(old, new, a), _attr_change(old, new, a)) for a in attrs]))
+    def __init__(self, old: DataFrame, new: DataFrame, attrs: list[str]):
+        self.differs = {a: _differs(old, new, a) for a in attrs}
+        self.old_text = {a: value_text(F.col(f"o.`{a}`"), old.schema[a].dataType) for a in attrs}
+        self.new_text = {a: value_text(F.col(f"n.`{a}`"), new.schema[a].dataType) for a in attrs}
 
+    def any_differs(self) -> Column:
+        return reduce(lambda x, y: x | y, self.differs.values(), F.lit(False))
 
-def _any_differs(old: DataFrame, new: DataFrame, attrs: list[str]) -> Column:
-    return reduce(lambda x, y: x | y, [_differs(old, new, a) for a in attrs], F.lit(False))
+    def changes(self) -> Column:
+        """One entry per attribute that differs."""
+        entries = [
+            F.when(
+                d,
+                F.struct(F.lit(a).alias("column"), self.old_text[a].alias("old_value"), self.new_text[a].alias("new_value")),
+            )
+            for a, d in self.differs.items()
+        ]
+        return F.array_compact(F.array(*entries))
 
 
 def changed(old: DataFrame, new: DataFrame, keys: list[str], attrs: list[str] | None = None) -> DataFrame:
@@ -120,9 +130,10 @@ def changed(old: DataFrame, new: DataFrame, keys: list[str], attrs: list[str] |
     attrs = _attributes(old, new, keys, attrs, None)
     on = [f"k{i}" for i in range(len(keys))]
     both = _side(old, keys, attrs, None, "o").join(_side(new, keys, attrs, None, "n"), on)
+    compared = _Compared(old, new, attrs)
     return (
-        both.filter(_any_differs(old, new, attrs))
-        .select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.explode(_changed_attrs(old, new, attrs)).alias("c"))
+        both.filter(compared.any_differs())
+        .select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(keys)], F.explode(compared.changes()).alias("c"))
         .select(*[field(k) for k in keys], "c.column", "c.old_value", "c.new_value")
     )
 
@@ -168,7 +179,8 @@ def diff(
     on = [f"k{i}" for i in range(len(keys))]
     both = _side(old, keys, attrs, scope, "o").join(_side(new, keys, attrs, scope, "n"), on, "full_outer")
     in_old, in_new = F.col("o.__here").isNotNull(), F.col("n.__here").isNotNull()
-    differs = _any_differs(old, new, attrs)
+    compared = _Compared(old, new, attrs)
+    differs = compared.any_differs()
     kind = (
         F.when(~in_old, "create").when(~in_new, "drop").when(differs, "change").otherwise("same")
     )
@@ -177,15 +189,15 @@ def diff(
     whole = F.array(
         F.struct(
             empty.alias("column"),
-            F.when(in_old, row_text(old, attrs, "o.")).alias("old_value"),
-            F.when(in_new, row_text(new, attrs, "n.")).alias("new_value"),
+            F.when(in_old, named_text(compared.old_text)).alias("old_value"),
+            F.when(in_new, named_text(compared.new_text)).alias("new_value"),
         )
     )
     key = key_text([(F.col(f"k{i}"), new.schema[k].dataType) for i, k in enumerate(keys)])
     where = F.coalesce(F.col("n.__scope"), F.col("o.__scope")) if scope else empty
     if not with_same:
         both = both.filter(~in_old | ~in_new | differs)
-    parts = F.when(kind == "change", _changed_attrs(old, new, attrs)).otherwise(whole) if attrs else whole
+    parts = F.when(kind == "change", compared.changes()).otherwise(whole) if attrs else whole
     rows = both.select(kind.alias("kind"), where.alias("scope"), key.alias("key"), F.explode(parts).alias("c"))
     return change_rows(rows.select("kind", "scope", "key", "c.column", "c.old_value", "c.new_value"))
 

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablechange.functions.render import field, key_text
@@ -29,7 +30,7 @@ from tablechange.session import materialize
 _EXACT_LENGTHS = 32
 _TOKENS_RANKED = 4000
 _FEW_PAIRS = 1_000_000  # below this the first band is not worth its jobs
-_CLASSES = 256  # enough for texts of 2^31 characters
+_CLASS_ROWS = 16000
 
 
 def _length_class(n: int) -> int:
@@ -109,77 +110,121 @@ def _ranked_tokens(text: str, ranks: dict[tuple[str, int], int]) -> list[int]:
     return sorted(out)
 
 
-def _signer(bounds: _Bounds, partners: list[int], ranks: dict[tuple[str, int], int], side: str):
-    """A function for ``mapInPandas``: names in, one row per signature out."""
+@dataclass
+class _Profile:
+    """What the names of both sides look like, small whatever the data."""
 
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                group, name = tuple(row[:-1]), row[-1]
-                own = _length_class(len(name))
-                for start in range(min(bounds.starts, len(name)) + 1):
-                    rest = _ranked_tokens(name[start:], ranks)
-                    for other in partners:
-                        a, b = (own, other) if side == "old" else (other, own)
-                        need = bounds.overlap(start, a, b)
-                        if need is None:
-                            continue
-                        need -= start
-                        if need <= 0:
-                            # the common start is enough: nothing more to file under
-                            rows.append((*group, start, a, b, name[:start], -1, [-1], name))
-                            continue
-                        if need > len(rest):
-                            continue
-                        kept = rest[: len(rest) - need + 1]
-                        rows.extend((*group, start, a, b, name[:start], t, kept, name) for t in kept)
-            columns = [*batch.columns[:-1], "start", "la", "lb", "head", "token", "tokens", side]
-            for i in range(0, len(rows), 20000):
-                yield pd.DataFrame(rows[i : i + 20000], columns=columns)
+    ranks: dict[tuple[str, int], int]
+    counts: dict[str, int]
+    classes: dict[str, list[int]]
+    by_first: dict[str, dict[str, list[int]]] | None
 
-    return sign
+    def partners(self, side: str, first: str) -> list[int]:
+        """Length classes on a side among names that begin with a character."""
+        return self.classes[side] if self.by_first is None else self.by_first[side].get(first, [])
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of characters with their repetition, and the length classes per side."""
+    """Partial counts of characters with their repetition, and of names per side, length class
+    and first character."""
     for batch in batches:
         total: Counter = Counter()
         for side, name in zip(batch["side"], batch["name"]):
-            total[("length " + side, _length_class(len(name)))] += 1
+            total[(side, name[:1], _length_class(len(name)))] += 1
             seen: Counter = Counter()
             for ch in name:
                 seen[ch] += 1
-                total[(ch, seen[ch])] += 1
-        yield pd.DataFrame([(c, n, k) for (c, n), k in total.items()], columns=["what", "nth", "n"])
-
-
-@dataclass
-class _Profile:
-    ranks: dict[tuple[str, int], int]
-    classes: dict[str, list[int]]
-    counts: dict[str, int]
+                total[("", ch, seen[ch])] += 1
+        yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["side", "ch", "nth", "n"])
 
 
 def _read_profile(names: DataFrame) -> _Profile:
     """Ranks of the most frequent characters (any other one counts as rarer; the order matters
-    for speed only), and per side the length classes and the number of names. Whatever the data,
-    the driver gets at most ``_TOKENS_RANKED`` characters and 32 + log(longest)/log(1.1) classes
-    per side."""
-    counts = names.select("side", "name").mapInPandas(_profile, "what string, nth long, n long")
-    counts = counts.groupBy("what", "nth").agg(F.sum("n").alias("n"))
-    is_class = F.length("what") > 1
-    rows = counts.orderBy(F.desc(is_class), F.desc("n"), "what", "nth").limit(_TOKENS_RANKED + 2 * _CLASSES).collect()
-    classes, sizes, top = {"old": [], "new": []}, {"old": 0, "new": 0}, []
-    for r in rows:
-        if len(r["what"]) > 1:
-            side = r["what"].removeprefix("length ")
-            classes[side].append(r["nth"])
-            sizes[side] += r["n"]
-        else:
-            top.append((r["what"], r["nth"]))
-    ranks = {token: rank for rank, token in enumerate(reversed(top[:_TOKENS_RANKED]), start=1)}
-    return _Profile(ranks, {k: sorted(v) for k, v in classes.items()}, sizes)
+    for speed only) and the length classes per first character. The driver reads a bounded
+    number of rows; with more first characters than that, all classes count for each."""
+    counts = names.select("side", "name").mapInPandas(_profile, "side string, ch string, nth long, n long")
+    counts = counts.groupBy("side", "ch", "nth").agg(F.sum("n").alias("n"))
+    is_class = F.col("side") != ""
+    rows = counts.orderBy(F.desc(is_class), F.desc("n"), "side", "ch", "nth").limit(_TOKENS_RANKED + _CLASS_ROWS).collect()
+    found = [r for r in rows if r["side"]]
+    complete = len(found) < _CLASS_ROWS
+    if complete:
+        top = [(r["ch"], r["nth"]) for r in rows if not r["side"]][:_TOKENS_RANKED]
+    else:
+        top = [(r["ch"], r["nth"]) for r in counts.filter(~is_class).orderBy(F.desc("n"), "ch", "nth").limit(_TOKENS_RANKED).collect()]
+        # at most 32 + log(longest)/log(1.1) classes per side
+        found = counts.filter(is_class).groupBy("side", F.lit("").alias("ch"), "nth").agg(F.sum("n").alias("n")).collect()
+    sizes, by_first = {"old": 0, "new": 0}, {"old": {}, "new": {}}
+    for r in found:
+        sizes[r["side"]] += r["n"]
+        by_first[r["side"]].setdefault(r["ch"], []).append(r["nth"])
+    classes = {side: sorted({c for cs in firsts.values() for c in cs}) for side, firsts in by_first.items()}
+    ranks = {token: rank for rank, token in enumerate(reversed(top), start=1)}
+    return _Profile(ranks, sizes, classes, by_first if complete else None)
+
+
+def _signer(bounds: _Bounds, profile: _Profile, side: str):
+    """A function for ``mapInArrow``: ``(group..., name)`` in, one row per signature out."""
+    partner = "new" if side == "old" else "old"
+
+    def signatures(name: str) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
+        own = _length_class(len(name))
+        near = profile.partners(partner, name[:1])
+        for start in range(min(bounds.starts, len(name)) + 1):
+            rest = None
+            for other in near if start else profile.classes[partner]:
+                a, b = (own, other) if side == "old" else (other, own)
+                need = bounds.overlap(start, a, b)
+                if need is None or need > len(name):
+                    continue
+                need -= start
+                if need <= 0:
+                    # the common start is enough: nothing more to file under
+                    yield start, a, b, [-1], [-1]
+                    continue
+                rest = _ranked_tokens(name[start:], profile.ranks) if rest is None else rest
+                kept = rest[: len(rest) - need + 1]
+                yield start, a, b, kept, kept
+
+    def flush(batch: pa.RecordBatch, index, starts, las, lbs, heads, tokens, lists, offsets) -> pa.RecordBatch:
+        taken = batch.take(pa.array(index, pa.int64()))
+        groups = list(zip(batch.schema.names, taken.columns))
+        columns = [
+            *groups[:-1],
+            ("start", pa.array(starts, pa.int32())),
+            ("la", pa.array(las, pa.int32())),
+            ("lb", pa.array(lbs, pa.int32())),
+            ("head", pa.array(heads, pa.string())),
+            ("token", pa.array(tokens, pa.int64())),
+            ("tokens", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists, pa.int64()))),
+            (side, groups[-1][1]),
+        ]
+        return pa.RecordBatch.from_arrays([c for _, c in columns], [n for n, _ in columns])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fill = [[] for _ in range(7)] + [[0]]
+            index, starts, las, lbs, heads, tokens, lists, offsets = fill
+            for i, name in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for start, a, b, under, kept in signatures(name):
+                    n = len(under)
+                    index += [i] * n
+                    starts += [start] * n
+                    las += [a] * n
+                    lbs += [b] * n
+                    heads += [name[:start]] * n
+                    tokens += under
+                    for _ in range(n):
+                        lists += kept
+                        offsets.append(len(lists))
+                if len(index) > 20000:
+                    yield flush(batch, *fill)
+                    fill = [[] for _ in range(7)] + [[0]]
+                    index, starts, las, lbs, heads, tokens, lists, offsets = fill
+            if index:
+                yield flush(batch, *fill)
+
+    return sign
 
 
 @dataclass
@@ -225,13 +270,16 @@ def _scored_pairs(names: DataFrame, profile: _Profile, group: list[str], thresho
     fields = _fields(names, group)
     key = ", ".join([*fields, "start int, la int, lb int, head string, token long, tokens array<long>"])
 
-    def signatures(side: str, partner: str) -> DataFrame:
-        mine = names.filter(F.col("side") == side).drop("side")
-        return mine.mapInPandas(_signer(bounds, profile.classes[partner], profile.ranks, side), f"{key}, {side} string")
+    def signatures(side: str) -> DataFrame:
+        # names are few bytes but much work: small pieces, so that all cores take part
+        count = profile.counts[side]
+        pieces = max(min(count // 200, names.sparkSession.sparkContext.defaultParallelism), count // 20000, 1)
+        mine = names.filter(F.col("side") == side).drop("side").repartition(pieces)
+        return mine.mapInArrow(_signer(bounds, profile, side), f"{key}, {side} string")
 
     # a pair is taken at its exact common start and at its first shared character only, so it
     # appears once and no distinct is needed
-    o, n = signatures("old", "new").alias("o"), signatures("new", "old").alias("n")
+    o, n = signatures("old").alias("o"), signatures("new").alias("n")
     same = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in [*group, "start", "la", "lb", "head", "token"]]
     next_old = F.substring(F.col("o.old"), F.col("o.start") + 1, F.lit(1))
     next_new = F.substring(F.col("n.new"), F.col("n.start") + 1, F.lit(1))

@@ -55,7 +55,9 @@ def diff_schemas(
     if compare_nullable:
         spelled = F.concat("type", F.when(F.col("nullable"), F.lit("")).otherwise(F.lit(" NOT NULL")))
     cols = ["dataset", "ordinal", "column", spelled.alias("type")]
-    old_inv, new_inv = materialize(old_inv.select(cols), "inventory"), materialize(new_inv.select(cols), "inventory")
+    sides = [inv.select(F.lit(s).alias("side"), *cols) for s, inv in (("old", old_inv), ("new", new_inv))]
+    both = materialize(sides[0].unionByName(sides[1]), "inventory")
+    old_inv, new_inv = both.filter("side = 'old'").drop("side"), both.filter("side = 'new'").drop("side")
 
     # datasets
     old_sets, new_sets = old_inv.select("dataset").distinct(), new_inv.select("dataset").distinct()
