@@ -15,54 +15,58 @@ def field(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _float_text(c: Column) -> Column:
+def reference(name: str, prefix: str = "") -> str:
+    """A column by its exact name as SQL text."""
+    return prefix + "`" + name.replace("`", "``") + "`"
+
+
+def _float_sql(ref: str) -> str:
     """Digits without exponent and without a trailing ``.0``."""
-    raw = c.cast("string")
-    body = F.regexp_replace(raw, r"^-", "")
-    sign = F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-    mantissa = F.regexp_replace(F.split(body, "E")[0], r"\.0$", "")
-    whole = F.split(mantissa, r"\.")[0]
-    digits = F.regexp_replace(mantissa, r"\.", "")
-    # position of the decimal point inside `digits`, counted from the left
-    point = F.length(whole) + F.regexp_extract(body, r"E(-?\d+)$", 1).try_cast("int")
-    expanded = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.rpad(digits, point, "0"))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
-    )
-    return (
-        F.when(raw == "NaN", F.lit("NaN"))
-        .when(raw.endswith("Infinity"), F.concat(sign, F.lit("inf")))
-        .when(raw.contains("E"), F.concat(sign, expanded))
-        .otherwise(F.regexp_replace(raw, r"\.0$", ""))
-    )
-
-
-def value_text(c: Column, dtype: T.DataType) -> Column:
-    """Text of one value by its type; null stays null."""
+    raw = f"CAST({ref} AS STRING)"
+    sign = f"IF(startswith({raw}, '-'), '-', '')"
+    body = f"ltrim('-', {raw})"
+    mantissa = f"regexp_replace(substring_index({body}, 'E', 1), r'\\.0$', '')"
+    digits = f"replace({mantissa}, '.', '')"
+    # position of the decimal point inside the digits, counted from the left
+    point = f"(length(substring_index({mantissa}, '.', 1)) + CAST(substring_index({body}, 'E', -1) AS INT))"
+    return f"""CASE WHEN {raw} = 'NaN' THEN 'NaN'
+        WHEN endswith({raw}, 'Infinity') THEN concat({sign}, 'inf')
+        WHEN NOT contains({raw}, 'E') THEN regexp_replace({raw}, r'\\.0$', '')
+        WHEN {point} <= 0 THEN concat({sign}, '0.', repeat('0', -{point}), {digits})
+        WHEN {point} >= length({digits}) THEN concat({sign}, rpad({digits}, {point}, '0'))
+        ELSE concat({sign}, substring({digits}, 1, {point}), '.', substring({digits}, {point} + 1)) END"""
+
+
+def text_sql(ref: str, dtype: T.DataType) -> str:
+    """SQL for the text of one value by its type; null stays null. One SQL text per column keeps
+    the building of wide plans short."""
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return _float_text(c)
+        return _float_sql(ref)
     if isinstance(dtype, T.StringType):
-        return c
+        return ref
     if isinstance(dtype, T.BinaryType):
-        return F.when(c.isNotNull(), F.lit("[BLOB]"))
+        return f"IF({ref} IS NULL, NULL, '[BLOB]')"
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return f"date_format({ref}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
     if isinstance(dtype, T.DateType):
-        return F.date_format(c, "yyyy-MM-dd")
+        return f"date_format({ref}, 'yyyy-MM-dd')"
     if isinstance(dtype, T.TimeType):
-        text = F.when(c.cast("string").contains("."), c.cast("string")).otherwise(F.concat(c.cast("string"), F.lit(".")))
-        return F.rpad(text, 15, "0")
+        text = f"CAST({ref} AS STRING)"
+        return f"rpad(IF(contains({text}, '.'), {text}, concat({text}, '.')), 15, '0')"
     if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-        return F.to_json(c)
-    return c.cast("string")
+        return f"to_json({ref})"
+    return f"CAST({ref} AS STRING)"
+
+
+def value_text(ref: str, dtype: T.DataType) -> Column:
+    return F.expr(text_sql(ref, dtype))
 
 
 def render_text(df: DataFrame, null: str | None = "NULL") -> DataFrame:
     """Every column as text, null as ``NULL``."""
     cells = []
     for f in df.schema.fields:
-        text = value_text(field(f.name), f.dataType)
+        text = value_text(reference(f.name), f.dataType)
         cells.append((F.coalesce(text, F.lit(null)) if null is not None else text).alias(f.name))
     return df.select(cells)
 
@@ -72,14 +76,20 @@ def named_text(texts: dict[str, Column]) -> Column:
     return F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), F.coalesce(t, F.lit("NULL"))) for n, t in texts.items()])
 
 
-def key_text(columns: list[tuple[Column, T.DataType]]) -> Column:
-    """One text per key. A single key is its own text; parts of a compound key are joined by dots,
-    with dots and backslashes inside a part escaped, so that different keys never share a text."""
-    texts = [value_text(c, t) for c, t in columns]
+def key_text(parts: list[tuple[str, T.DataType]]) -> Column:
+    """One text per key, from references and types. A single key is its own text; parts of a
+    compound key are joined by dots, with dots and backslashes inside a part escaped, so that
+    different keys never share a text."""
+    texts = [text_sql(ref, t) for ref, t in parts]
     if len(texts) == 1:
-        return texts[0]
-    escaped = [F.regexp_replace(F.regexp_replace(t, r"\\", r"\\\\"), r"\.", r"\\.") for t in texts]
-    return F.concat_ws(".", *[F.coalesce(e, F.lit(r"\N")) for e in escaped])
+        return F.expr(texts[0])
+    escaped = [rf"coalesce(replace(replace({t}, r'\', r'\\'), '.', r'\.'), r'\N')" for t in texts]
+    return F.expr(f"concat_ws('.', {', '.join(escaped)})")
+
+
+def row_key_text(df: DataFrame, keys: list[str]) -> Column:
+    """``key_text`` of key columns of ``df``."""
+    return key_text([(reference(k), df.schema[k].dataType) for k in keys])
 
 
 def csv_cell(text: Column) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tablechange.functions.render import field, key_text
+from tablechange.functions.render import field, row_key_text
 from tablechange.operators.closure import impact_closure
 from tablechange.operators.diff import CHANGE_SCHEMA, phase_of
 from tablechange.operators.sequence import number_rows
@@ -263,7 +263,6 @@ def pull_back(desired: DataFrame, current: DataFrame, chosen: DataFrame, keys: l
     if "kind" in chosen.columns:
         chosen = chosen.filter("kind = 'drop'")
     texts = chosen.select(F.col("key").alias("__key")).distinct()
-    key = key_text([(field(k), current.schema[k].dataType) for k in keys])
-    back = current.withColumn("__key", key).join(texts, "__key", "left_semi").drop("__key")
+    back = current.withColumn("__key", row_key_text(current, keys)).join(texts, "__key", "left_semi").drop("__key")
     back = back.join(desired.select([field(k) for k in keys]), keys, "left_anti")
     return desired.unionByName(back.select(desired.columns))

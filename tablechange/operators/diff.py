@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from tablechange.functions.render import field, key_text, named_text, value_text
+from tablechange.functions.render import field, key_text, named_text, reference, value_text
 from tablechange.functions.text import canonical_text
 
 CHANGE_SCHEMA = T.StructType(
@@ -107,8 +107,8 @@ class _Compared:
 
     def __init__(self, old: DataFrame, new: DataFrame, attrs: list[str]):
         self.differs = {a: _differs(old, new, a) for a in attrs}
-        self.old_text = {a: value_text(F.col(f"o.`{a}`"), old.schema[a].dataType) for a in attrs}
-        self.new_text = {a: value_text(F.col(f"n.`{a}`"), new.schema[a].dataType) for a in attrs}
+        self.old_text = {a: value_text(reference(a, "o."), old.schema[a].dataType) for a in attrs}
+        self.new_text = {a: value_text(reference(a, "n."), new.schema[a].dataType) for a in attrs}
 
     def any_differs(self) -> Column:
         return reduce(lambda x, y: x | y, self.differs.values(), F.lit(False))
@@ -193,7 +193,7 @@ def diff(
             F.when(in_new, named_text(compared.new_text)).alias("new_value"),
         )
     )
-    key = key_text([(F.col(f"k{i}"), new.schema[k].dataType) for i, k in enumerate(keys)])
+    key = key_text([(f"k{i}", new.schema[k].dataType) for i, k in enumerate(keys)])
     where = F.coalesce(F.col("n.__scope"), F.col("o.__scope")) if scope else empty
     if not with_same:
         both = both.filter(~in_old | ~in_new | differs)
@@ -244,7 +244,7 @@ def diff_definitions(
     differs = F.col("o.here").isNull() | ~form(F.col("o.d")).eqNullSafe(form(F.col("n.d")))
     rows = both.filter(gone | differs).select(
         F.when(gone, "drop").otherwise("replace").alias("kind"),
-        key_text([(F.col("k"), new.schema[key].dataType)]).alias("key"),
+        key_text([("k", new.schema[key].dataType)]).alias("key"),
         F.col("o.d").alias("old_value"),
         F.col("n.d").alias("new_value"),
     )

@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from tablechange.functions.render import field, render_text, value_text
+from tablechange.functions.render import field, render_text
 
 
 class RunInfo:
@@ -42,8 +42,7 @@ def run_sql(spark: SparkSession, sql: str, args: dict | list | None = None) -> t
 
 def preview(df: DataFrame, order: list[str | Column], n: int = 5) -> DataFrame:
     """The first ``n`` rows by ``order``, every cell as text."""
-    cells = [F.coalesce(value_text(field(f.name), f.dataType), F.lit("NULL")).alias(f.name) for f in df.schema.fields]
-    return df.orderBy(*order).limit(n).select(cells)
+    return render_text(df.orderBy(*order).limit(n))
 
 
 def row_count(df: DataFrame) -> DataFrame:

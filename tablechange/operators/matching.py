@@ -2,12 +2,13 @@
 
 Similar names are found by an equi-join on *signatures*, never by pairing whole groups. A pair
 that passes the threshold has a Jaro score above a known bound, so its names share at least a
-known number of characters. If two names of lengths ``la`` and ``lb`` share ``c`` characters
-(counted with repetition), any ``la-c+1`` and ``lb-c+1`` of their characters, taken in one
-common order, have a character in common (the prefix filter of set-similarity joins). So each
-name is filed under its few rarest characters, per common start, own length and partner length, and only
-names filed under the same signature meet. This loses no pair and spreads a scope that holds
-most of the names over many keys.
+known number of characters, counted with repetition. Where hardly any character may differ, a
+name is filed under each set of characters that may be the shared one. Else: if names of lengths
+``la`` and ``lb`` share ``c`` characters, any ``la-c+1`` and ``lb-c+1`` of them, taken in one
+common order, have one in common (the prefix filter of set-similarity joins), so a name is filed
+under its few rarest characters. Both per common start, own length and partner length. Only
+names filed under the same signature meet; no pair is lost, and a scope that holds most of the
+names is spread over many keys.
 """
 
 from __future__ import annotations
@@ -17,24 +18,28 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import combinations
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablechange.functions.render import field, key_text
+from tablechange.functions.render import field, row_key_text
 from tablechange.functions.similarity import BOOST_FLOOR, PREFIX_CAP, PREFIX_WEIGHT, THRESHOLD, jaro_winkler_scores
 from tablechange.operators.diff import change_rows, changed, diff
 from tablechange.session import materialize
 
-_EXACT_LENGTHS = 32
+_EXACT_LENGTHS = 64
 _TOKENS_RANKED = 4000
-_FEW_PAIRS = 1_000_000  # below this the first band is not worth its jobs
+_FEW_PAIRS = 1_000_000  # up to this many, bands are not worth their jobs
 _CLASS_ROWS = 16000
+BANDS = (0.975, 0.95, 0.925, 0.9, 0.875, 0.85)
+_SUBSETS = 100  # up to this many, a name is filed under whole sets of shared characters
 
 
 def _length_class(n: int) -> int:
-    """Lengths up to 32 stand alone, longer ones share classes that grow by a tenth."""
+    """Lengths up to 64 stand alone, longer ones share classes that grow by a tenth."""
     if n <= _EXACT_LENGTHS:
         return n
     return _EXACT_LENGTHS + 1 + int(math.log(n / (_EXACT_LENGTHS + 1)) / math.log(1.1) + 1e-9)
@@ -99,6 +104,21 @@ class _Bounds:
         return self._overlap[known]
 
 
+    def by_subsets(self, start: int, class_a: int, class_b: int) -> bool:
+        """Whether so few characters may differ that the whole shared part can be the key. Both
+        sides decide alike, because it depends on the two lengths only."""
+        need = self.overlap(start, class_a, class_b)
+        if need is None or max(class_a, class_b) > _EXACT_LENGTHS:
+            return False
+        return all(math.comb(n - start, n - need) <= _SUBSETS for n in (class_a, class_b))
+
+
+def _subsets(text: str, size: int) -> list[int]:
+    """All sets of ``size`` of the characters of ``text``, counted with repetition, as sorted hashes."""
+    found = set(combinations(sorted(text), size))
+    return sorted(int.from_bytes(blake2b("".join(s).encode(), digest_size=8).digest(), "big", signed=True) for s in found)
+
+
 def _ranked_tokens(text: str, ranks: dict[tuple[str, int], int]) -> list[int]:
     """The characters of ``text`` with their repetition, rarest first, each as one number."""
     seen: Counter = Counter()
@@ -152,7 +172,7 @@ def _read_profile(names: DataFrame) -> _Profile:
         top = [(r["ch"], r["nth"]) for r in rows if not r["side"]][:_TOKENS_RANKED]
     else:
         top = [(r["ch"], r["nth"]) for r in counts.filter(~is_class).orderBy(F.desc("n"), "ch", "nth").limit(_TOKENS_RANKED).collect()]
-        # at most 32 + log(longest)/log(1.1) classes per side
+        # at most 64 + log(longest)/log(1.1) classes per side
         found = counts.filter(is_class).groupBy("side", F.lit("").alias("ch"), "nth").agg(F.sum("n").alias("n")).collect()
     sizes, by_first = {"old": 0, "new": 0}, {"old": {}, "new": {}}
     for r in found:
@@ -182,6 +202,10 @@ def _signer(bounds: _Bounds, profile: _Profile, side: str):
                     # the common start is enough: nothing more to file under
                     yield start, a, b, [-1], [-1]
                     continue
+                if bounds.by_subsets(start, a, b):
+                    kept = _subsets(name[start:], need)
+                    yield start, a, b, kept, kept
+                    continue
                 rest = _ranked_tokens(name[start:], profile.ranks) if rest is None else rest
                 kept = rest[: len(rest) - need + 1]
                 yield start, a, b, kept, kept
@@ -345,15 +369,15 @@ def match_names(
     threshold: float = THRESHOLD,
     block: str | None = None,
     name: str = "name",
-    bands: tuple[float, ...] = (0.95,),
+    bands: tuple[float, ...] = BANDS,
     **weights,
 ) -> DataFrame:
     """``match_one_to_one(similar_pairs(...))`` without building all pairs first.
 
-    The greedy takes high scores first, so the names are matched above 0.95, the matched ones
-    leave, and only the remaining names are compared down to the threshold. The result is the
-    same; a scope of very many renames with names all alike needs only its near-equal pairs.
-    Few names (counted first) go straight to the threshold.
+    The greedy takes high scores first, so the names are matched above the highest band, the
+    matched ones leave, and only the remaining names go on to the next band, down to the
+    threshold. The result is the same; a scope of very many names all alike needs only its
+    near-equal pairs. Few names (counted first) go straight to the threshold.
     """
     group, scorer = _group(on), _Scorer(**weights)
     wide = group + ([block] if block and block not in group else [])
@@ -442,7 +466,7 @@ def diff_with_renames(
     folded = fold_renames(changes, matches, scoped=block is not None)
 
     def keyed(df: DataFrame) -> DataFrame:
-        return df.select(key_text([(field(k), df.schema[k].dataType) for k in keys]).alias("__key"), *[field(a) for a in attrs])
+        return df.select(row_key_text(df, keys).alias("__key"), *[field(a) for a in attrs])
 
     was = keyed(old).join(matches.select(F.col("old_name").alias("__key"), "old_name", "new_name"), "__key")
     now = keyed(new).join(matches.select(F.col("new_name").alias("__key")), "__key", "left_semi")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablechange.functions.render import field, key_text
+from tablechange.functions.render import field, row_key_text
 from tablechange.operators.changeset import to_apply
 from tablechange.operators.diff import diff, is_empty
 from tablechange.session import materialize
@@ -33,9 +33,6 @@ def apply_changes(
         current = step(current)
     attrs = [c for c in new.columns if c not in keys]
 
-    def text(df: DataFrame):
-        return key_text([(field(k), df.schema[k].dataType) for k in keys])
-
     actions = (
         to_apply(changes, force_drop)
         .groupBy(F.coalesce("old_key", "key").alias("__at"))
@@ -48,9 +45,9 @@ def apply_changes(
         )
         .withColumn("__source", F.coalesce("__to", "__at"))
     )
-    source = new.select(text(new).alias("__source"), F.struct(*[field(c) for c in [*keys, *attrs]]).alias("n"))
+    source = new.select(row_key_text(new, keys).alias("__source"), F.struct(*[field(c) for c in [*keys, *attrs]]).alias("n"))
     actions = actions.join(source, "__source", "left")
-    rows = current.select(text(current).alias("__at"), F.struct(*[field(c) for c in current.columns]).alias("c"), F.lit(True).alias("__here"))
+    rows = current.select(row_key_text(current, keys).alias("__at"), F.struct(*[field(c) for c in current.columns]).alias("c"), F.lit(True).alias("__here"))
     both = rows.join(actions, "__at", "full_outer")
     here = F.col("__here").isNotNull()
     kept = both.filter(F.when(here, ~F.coalesce("__drop", F.lit(False))).otherwise(F.coalesce("__create", F.lit(False))))
