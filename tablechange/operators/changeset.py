@@ -90,10 +90,16 @@ def mark_ignored(changes: DataFrame, patterns: list[str] | DataFrame) -> DataFra
     patterns = patterns.select(F.col(patterns.columns[0]).alias("pattern"))
     names = changes.select(F.explode(F.array("key", "old_key")).alias("name")).filter("name IS NOT NULL").distinct()
     hit = _joined_matches(names, patterns)
-    by_key = hit.select(F.col("name").alias("key"), F.lit(True).alias("__k"))
-    by_old = hit.select(F.col("name").alias("old_key"), F.lit(True).alias("__o"))
-    flagged = changes.join(by_key, "key", "left").join(by_old, "old_key", "left")
-    return flagged.withColumn("ignored", F.coalesce("__k", "__o", F.lit(False))).select(changes.columns)
+    flagged = _with_either_key(changes, hit.select("name", F.lit(True).alias("hit")), "hit")
+    return flagged.withColumn("ignored", F.coalesce("__hit", "__old_hit", F.lit(False))).select(changes.columns)
+
+
+def _with_either_key(changes: DataFrame, names: DataFrame, value: str) -> DataFrame:
+    """Look up a value by the key and by the old key. A change without an old key looks up its
+    key twice instead of null, so that most of a change set does not meet in one task."""
+    by_key = names.select(F.col("name").alias("__k"), F.col(value).alias(f"__{value}"))
+    by_old = names.select(F.col("name").alias("__o"), F.col(value).alias(f"__old_{value}"))
+    return changes.join(by_key, F.col("key") == F.col("__k"), "left").join(by_old, F.coalesce("old_key", "key") == F.col("__o"), "left")
 
 
 def visible(changes: DataFrame, show_ignored: bool = False) -> DataFrame:
@@ -182,24 +188,15 @@ def select_changes(changes: DataFrame, deselected: DataFrame, edges: DataFrame)
 
     ``deselected`` holds keys, ``edges`` ``(src, dst)``: ``dst`` depends on ``src``. The state is
     always computed from the full set of deselected keys, so taking a key back in frees its
-    dependents. Locked and ignored changes cannot be deselected by themselves.
+    dependents. A rename follows either of its names. Locked and ignored changes cannot be deselected by themselves.
     """
     seeds = deselected.select(F.col(deselected.columns[0]).alias("node")).distinct()
     frozen = changes.filter("ignored").select(F.col("key").alias("node"))
     seeds = seeds.join(frozen, "node", "left_anti")
-    reach = impact_closure(edges, seeds).select("node", F.col("depth"))
-    state = reach.select(F.col("node").alias("key"), F.col("depth").alias("__depth"))
-    joined = changes.drop("selected", "locked").join(state, "key", "left")
-    return joined.select(
-        *[
-            F.col("__depth").isNull().alias("selected")
-            if c == "selected"
-            else (F.coalesce(F.col("__depth") > 0, F.lit(False))).alias("locked")
-            if c == "locked"
-            else F.col(c)
-            for c in changes.columns
-        ]
-    )
+    reach = impact_closure(edges, seeds).withColumnRenamed("node", "name")
+    joined = _with_either_key(changes, reach, "depth").withColumn("__least", F.least("__depth", "__old_depth"))
+    locked = F.coalesce(F.col("__least") > 0, F.lit(False))
+    return joined.withColumns({"selected": F.col("__least").isNull(), "locked": locked}).select(changes.columns)
 
 
 def _quoted(name: Column) -> Column:

@@ -34,6 +34,7 @@ _EXACT_LENGTHS = 64
 _TOKENS_RANKED = 4000
 _FEW_PAIRS = 1_000_000  # up to this many, bands are not worth their jobs
 _CLASS_ROWS = 16000
+_COMPACT = 25  # rounds after which their results become one table
 BANDS = (0.975, 0.95, 0.925, 0.9, 0.875, 0.85)
 _SUBSETS = 100  # up to this many, a name is filed under whole sets of shared characters
 
@@ -345,7 +346,7 @@ def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None, max_ro
     group = _group(on)
     rank = F.struct((-F.col("score")).alias("s"), F.col("old_name").alias("o"), F.col("new_name").alias("n"))
     rest, taken = materialize(pairs.select(*group, "old_name", "new_name", "score"), "pairs"), None
-    for _ in range(max_rounds):
+    for round_number in range(1, max_rounds + 1):
         if rest.isEmpty():
             break
         by_old = rest.groupBy(*group, "old_name").agg(F.min(rank).alias("best"))
@@ -354,9 +355,11 @@ def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None, max_ro
         right = by_new.select(*group, F.col("best.o").alias("old_name"), "new_name")
         chosen = materialize(left.join(right, [*group, "old_name", "new_name"]), "matches")
         taken = chosen if taken is None else taken.unionByName(chosen)
+        if round_number % _COMPACT == 0:
+            taken = materialize(taken, "matches")
         left_over = rest.join(chosen.select(*group, "old_name"), [*group, "old_name"], "left_anti")
         left_over = left_over.join(chosen.select(*group, "new_name"), [*group, "new_name"], "left_anti")
-        rest = materialize(left_over.select(*group, "old_name", "new_name", "score"), "pairs")
+        rest = materialize(left_over.select(*group, "old_name", "new_name", "score"), "pairs", replaces=rest)
     else:
         raise RuntimeError(f"no end after {max_rounds} rounds")
     return rest if taken is None else taken
@@ -401,7 +404,8 @@ def match_names(
                 )
             )
             used = found.select(*group, side.alias("u")).select(*group, "u.side", "u.name")
-            names = materialize(names.join(used, [*group, "side", "name"], "left_anti").select(names.columns), "names")
+            left = names.join(used, [*group, "side", "name"], "left_anti").select(names.columns)
+            names = materialize(left, "names", replaces=names)
     if taken is None:
         schema = ", ".join([*_fields(names, group), "old_name string, new_name string, score double"])
         taken = names.sparkSession.createDataFrame([], schema)

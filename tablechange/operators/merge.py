@@ -85,7 +85,7 @@ def apply_until_stable(
     while not is_empty(to_apply(left, force_drop)):
         if rounds == max_rounds:
             raise RuntimeError(f"changes are left after {rounds} rounds")
-        current = materialize(apply_changes(current, new, left, keys, force_drop), "applied")
-        left = materialize(differ(current, new, keys, attrs), "changes")
+        current = materialize(apply_changes(current, new, left, keys, force_drop), "applied", replaces=current if rounds else None)
+        left = materialize(differ(current, new, keys, attrs), "changes", replaces=left)
         rounds += 1
     return current, left, rounds

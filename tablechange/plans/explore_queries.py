@@ -190,12 +190,16 @@ _pack(
     """SELECT a.event_id AS earlier, l.event_id AS later FROM events a JOIN events l
     ON a.user_id = l.user_id AND a.ts < l.ts AND l.ts <= a.ts + INTERVAL 1 HOUR""",
 )
+# inside a day by a window per user and day, before it by one row per user and day, so that a
+# user with very many events is no single task
 _pack(
     "sql_asof_join",
-    """SELECT event_id, last_view FROM (SELECT event_id, event_type,
-      last(CASE WHEN event_type = 'view' THEN ts END, true) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'purchase'
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_view FROM events WHERE event_type IN ('view', 'purchase'))
-    WHERE event_type = 'purchase'""",
+    """WITH e AS (SELECT event_id, user_id, ts, event_type, CAST(ts AS DATE) AS day FROM events WHERE event_type IN ('view', 'purchase')),
+    days AS (SELECT user_id, day, max(ts) FILTER (WHERE event_type = 'view') AS day_view FROM e GROUP BY user_id, day),
+    before AS (SELECT user_id, day, max(day_view) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      AS earlier FROM days),
+    inside AS (SELECT *, max(CASE WHEN event_type = 'view' THEN ts END) OVER (PARTITION BY user_id, day ORDER BY ts) AS today FROM e)
+    SELECT event_id, coalesce(today, earlier) AS last_view FROM inside JOIN before USING (user_id, day) WHERE event_type = 'purchase'""",
     """SELECT p.event_id, v.ts AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') p
     ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
 )

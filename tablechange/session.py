@@ -48,13 +48,28 @@ def scratch_path(spark: SparkSession, label: str = "table") -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", replaces: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    This cuts the lineage like a checkpoint does, survives lost executors, and gives the
-    next plan real sizes, so that Catalyst broadcasts only what is measured as small.
+    This cuts the lineage like a checkpoint does, survives lost executors, and gives the next
+    plan real sizes, so that Catalyst broadcasts only what is measured as small. ``replaces`` is
+    an earlier result of this function that nothing needs any more; its files are removed, so a
+    loop holds one table and not one per round.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    if replaces is not None:
+        discard(replaces)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a materialized DataFrame; any other DataFrame is left alone."""
+    path = getattr(df, "_scratch_path", None)
+    if path is not None:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

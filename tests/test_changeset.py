@@ -149,3 +149,16 @@ def test_pulled_back_rows_leave_the_diff(spark):
     assert [r["kind"] for r in diff(old, back, ["k"]).collect()] == ["change"]
     some = spark.createDataFrame([("zz",)], "key string")
     assert pull_back(new, old, some, ["k"]).count() == 1
+
+
+def test_a_rename_follows_either_name(spark):
+    cs = changes(spark, [("rename", "new_a", "a"), ("rename", "b2", "b"), ("create", "c")])
+    edges = spark.createDataFrame([("a", "b2")], "src string, dst string")
+    got = select_changes(cs, spark.createDataFrame([("a",)], "k string"), edges).collect()
+    assert {r["key"]: (r["selected"], r["locked"]) for r in got} == {"new_a": (False, False), "b2": (False, True), "c": (True, False)}
+
+
+def test_a_deep_chain(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)], "src string, dst string")
+    reach = impact_closure(edges, spark.createDataFrame([("n0",)], "node string"))
+    assert {r["node"]: r["depth"] for r in reach.collect()} == {f"n{i}": i for i in range(31)}
