@@ -26,14 +26,15 @@ def apply_changes(
     """``current`` with the chosen changes: inserts, updates of single attributes, renames of the
     key, and deletes only if forced. Values come typed from ``new``, not from the change texts.
 
-    All changes of one row are first gathered under its present key, so ``current`` is shuffled
-    once. ``before`` and ``after`` are the caller's own steps on either side.
+    All changes of one row are first gathered under its present key and written, then the new
+    values of those rows alone are taken from ``new``. Both are as small as the change set, and
+    their size is known to the plan: a small change set is broadcast, and the rows of ``current``
+    stay where they are. ``before`` and ``after`` are the caller's own steps on either side.
     """
     for step in before:
         current = step(current)
     attrs = [c for c in new.columns if c not in keys]
-
-    actions = (
+    actions = materialize(
         to_apply(changes, force_drop)
         .groupBy(F.coalesce("old_key", "key").alias("__at"))
         .agg(
@@ -43,25 +44,33 @@ def apply_changes(
             # at most one entry per attribute
             F.collect_set(F.when(F.col("kind") == "change", F.col("column"))).alias("__set"),
         )
-        .withColumn("__source", F.coalesce("__to", "__at"))
+        .withColumn("__source", F.coalesce("__to", "__at")),
+        "actions",
     )
     source = new.select(row_key_text(new, keys).alias("__source"), F.struct(*[field(c) for c in [*keys, *attrs]]).alias("n"))
-    actions = actions.join(source, "__source", "left")
-    rows = current.select(row_key_text(current, keys).alias("__at"), F.struct(*[field(c) for c in current.columns]).alias("c"), F.lit(True).alias("__here"))
-    both = rows.join(actions, "__at", "full_outer")
-    here = F.col("__here").isNotNull()
-    kept = both.filter(F.when(here, ~F.coalesce("__drop", F.lit(False))).otherwise(F.coalesce("__create", F.lit(False))))
+    valued = materialize(actions.filter(~F.col("__drop")).join(source, "__source"), "values")
+    gone = actions.filter("__drop").select("__at", "__drop")
+    edits = valued.filter(F.col("__to").isNotNull() | (F.size("__set") > 0)).select("__at", "__drop", "__to", "__set", "n")
+    edits = edits.unionByName(gone, allowMissingColumns=True)
+
+    def typed(value, c: str):
+        return value.cast(current.schema[c].dataType).alias(c)
+
+    at = row_key_text(current, keys).alias("__at")
+    rows = current.select(at, F.struct(*[field(c) for c in current.columns]).alias("c")).join(edits, "__at", "left")
     out = []
     for c in current.columns:
-        was, now = F.col(f"c.`{c}`"), F.col(f"n.`{c}`") if c in new.columns else F.lit(None)
+        was, now = F.col(f"c.`{c}`"), F.col(f"n.`{c}`")
         if c in keys:
-            value = F.when(here & F.col("__to").isNull(), was).otherwise(now)
+            was = F.when(F.col("__to").isNull(), was).otherwise(now)
         elif c in attrs:
-            value = F.when(here & ~F.coalesce(F.array_contains("__set", c), F.lit(False)), was).otherwise(now)
-        else:
-            value = was
-        out.append(value.cast(current.schema[c].dataType).alias(c))
-    result = kept.select(out)
+            was = F.when(F.array_contains("__set", c), now).otherwise(was)
+        out.append(typed(was, c))
+    kept = rows.filter(~F.coalesce("__drop", F.lit(False))).select(out)
+    # a row to create that is there already is left as it is
+    fresh = valued.filter("__create").join(current.select(at), "__at", "left_anti")
+    added = fresh.select([typed(F.col(f"n.`{c}`") if c in new.columns else F.lit(None), c) for c in current.columns])
+    result = kept.unionByName(added)
     for step in after:
         result = step(result)
     return result
