@@ -317,11 +317,10 @@ def q_stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     return run_to_table(stream, scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
 
 
-@query("stream_apply_changes", fx.ORDERS_NEW)
-def q_stream_apply(spark: SparkSession, sf: str) -> DataFrame:
+def _apply_stream(spark: SparkSession, sf: str, **layout) -> DataFrame:
     """Each order is changed twice, first wrongly; the later change counts."""
     base = scratch_path(spark, "published")
-    publish(fx.orders_old(spark, sf), base, "orders")
+    publish(fx.orders_old(spark, sf), base, "orders", **layout)
     schema = table(spark, sf, "orders").schema
     stream = fx.edited_order(spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf))
     gone = F.col("o_orderkey") % 10 == 7
@@ -330,3 +329,13 @@ def q_stream_apply(spark: SparkSession, sf: str) -> DataFrame:
     twice = twice.withColumn("op", F.when(gone & (F.col("version") == 2), "delete").otherwise("upsert"))
     stream_apply_changes(twice, base, "orders", ["o_orderkey"], ["version"], scratch_path(spark, "stream-state"))
     return read_dataset(spark, base, "orders")
+
+
+@query("stream_apply_changes", fx.ORDERS_NEW)
+def q_stream_apply(spark: SparkSession, sf: str) -> DataFrame:
+    return _apply_stream(spark, sf)
+
+
+@query("stream_apply_changes_buckets", fx.ORDERS_NEW)
+def q_stream_apply_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return _apply_stream(spark, sf, keys=["o_orderkey"], buckets=16)

@@ -5,6 +5,10 @@ dataset name has numbered pointer files ``pointers/<name>/<n>.json``; the highes
 where the current version lies, or that the dataset is dropped. A new version is written beside
 the old one, checked, and becomes current by one small file; until then, and after any failure,
 readers see the old version. Two writers cannot create the same pointer number.
+
+A dataset may be cut into buckets by a hash of its keys. Then a pointer names one folder per
+bucket, and ``republish`` writes only the buckets a set of changes touches; the others stay where
+an earlier version put them.
 """
 
 from __future__ import annotations
@@ -12,10 +16,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field as dc_field
+from dataclasses import asdict, dataclass, field as dc_field, replace
 from urllib.parse import quote, unquote
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from tablechange.functions.render import field
 
 
 class PublishError(RuntimeError):
@@ -29,6 +35,10 @@ class Pointer:
     version: int
     dropped: bool = False
     tags: dict = dc_field(default_factory=dict)
+    schema: str | None = None
+    keys: list[str] = dc_field(default_factory=list)
+    buckets: int = 0
+    parts: dict[str, str] = dc_field(default_factory=dict)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -85,11 +95,45 @@ def current_version(spark: SparkSession, base: str, name: str) -> Pointer | None
     return None if pointer is None or pointer.dropped else pointer
 
 
+def _read(spark: SparkSession, pointer: Pointer, only: list[int] | None = None) -> DataFrame:
+    schema = T.StructType.fromJson(json.loads(pointer.schema))
+    if not pointer.buckets:
+        return spark.read.schema(schema).parquet(pointer.location)
+    wanted = pointer.parts if only is None else {str(b): pointer.parts[str(b)] for b in only if str(b) in pointer.parts}
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*sorted(wanted.values()))
+
+
 def read_dataset(spark: SparkSession, base: str, name: str) -> DataFrame:
     pointer = current_version(spark, base, name)
     if pointer is None:
         raise LookupError(f"no dataset {name}")
-    return spark.read.parquet(pointer.location)
+    return _read(spark, pointer)
+
+
+def read_buckets(spark: SparkSession, base: str, name: str, buckets: list[int]) -> DataFrame:
+    """Only the rows of some buckets."""
+    return _read(spark, current_version(spark, base, name), buckets)
+
+
+def bucket_of(keys: list[str], buckets: int) -> Column:
+    """The bucket of a row. Key columns must have the types of the dataset."""
+    return F.pmod(F.xxhash64(*[field(k) for k in keys]), F.lit(buckets)).cast("int")
+
+
+def _write(df: DataFrame, pointer: Pointer) -> None:
+    """Write the rows at the pointer's location; of a bucketed dataset only the buckets in ``df``."""
+    if not pointer.buckets:
+        df.write.mode("errorifexists").parquet(pointer.location)
+        return
+    rows = df.withColumn("__bucket", bucket_of(pointer.keys, pointer.buckets)).repartition("__bucket")
+    rows.write.mode("errorifexists").partitionBy("__bucket").parquet(pointer.location)
+    fs, p, _ = _fs(df.sparkSession, pointer.location)
+    for status in fs.listStatus(p):
+        folder = status.getPath().getName()
+        if folder.startswith("__bucket="):
+            pointer.parts[folder.removeprefix("__bucket=")] = f"{pointer.location}/{folder}"
 
 
 def list_published(spark: SparkSession, base: str) -> list[str]:
@@ -102,32 +146,70 @@ def list_published(spark: SparkSession, base: str) -> list[str]:
 
 
 def publish(
-    df: DataFrame, base: str, name: str, validate: Callable[[DataFrame], object] | None = None, tags: dict | None = None
+    df: DataFrame,
+    base: str,
+    name: str,
+    validate: Callable[[DataFrame], object] | None = None,
+    tags: dict | None = None,
+    keys: list[str] | None = None,
+    buckets: int = 0,
 ) -> Pointer:
     """Write ``df`` as the next version, check the written data, make it current.
 
     ``validate`` gets the written version; it fails by raising or by returning False. Then the
     new files are removed and the version before stays. ``df`` may read the current version.
+    With ``keys`` and ``buckets`` the dataset is cut into buckets (about one per gigabyte).
     """
-    spark = df.sparkSession
-    last = last_pointer(spark, base, name)
+    last = last_pointer(df.sparkSession, base, name)
+    pointer = _next(base, last)
+    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = tags or {}, df.schema.json(), list(keys or []), buckets
+    if buckets and not keys:
+        raise ValueError("buckets need keys")
+    return _make_current(df, base, name, pointer, validate)
+
+
+def republish(
+    df: DataFrame,
+    base: str,
+    name: str,
+    touched: list[int],
+    validate: Callable[[DataFrame], object] | None = None,
+    tags: dict | None = None,
+) -> Pointer:
+    """The next version of a bucketed dataset: ``df`` holds all rows of the ``touched`` buckets,
+    every other bucket stays as it is."""
+    last = current_version(df.sparkSession, base, name)
+    if last is None or not last.buckets:
+        raise LookupError(f"no bucketed dataset {name}")
+    pointer = _next(base, last)
+    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = tags or {}, last.schema, last.keys, last.buckets
+    pointer.parts = {b: path for b, path in last.parts.items() if int(b) not in set(touched)}
+    return _make_current(df, base, name, pointer, validate)
+
+
+def _next(base: str, last: Pointer | None) -> Pointer:
     live = last is not None and not last.dropped
     home = last.location.rsplit("/v=", 1)[0] if live else f"{base}/data/{uuid.uuid4().hex}"
     number, version = (last.number + 1 if last else 1), (last.version + 1 if live else 1)
     # the suffix keeps the files of two writers apart until one of them wins the pointer
-    location = f"{home}/v={version}-{uuid.uuid4().hex[:8]}"
-    pointer = Pointer(number, location, version, False, tags or {})
+    return Pointer(number, f"{home}/v={version}-{uuid.uuid4().hex[:8]}", version)
+
+
+def _make_current(
+    df: DataFrame, base: str, name: str, pointer: Pointer, validate: Callable[[DataFrame], object] | None
+) -> Pointer:
+    spark = df.sparkSession
     try:
-        df.write.mode("errorifexists").parquet(location)
-        if validate is not None and validate(spark.read.schema(df.schema).parquet(location)) is False:
-            raise PublishError(f"{name}: version {version} failed validation")
+        _write(df, pointer)
+        if validate is not None and validate(_read(spark, pointer)) is False:
+            raise PublishError(f"{name}: version {pointer.version} failed validation")
         _write_pointer(spark, base, name, pointer)
     except Exception as error:
-        fs, p, _ = _fs(spark, location)
+        fs, p, _ = _fs(spark, pointer.location)
         fs.delete(p, True)
         if isinstance(error, PublishError):
             raise
-        raise PublishError(f"{name}: version {version} was not published") from error
+        raise PublishError(f"{name}: version {pointer.version} was not published") from error
     return pointer
 
 
@@ -146,7 +228,7 @@ def rename_dataset(spark: SparkSession, base: str, old: str, new: str) -> Pointe
     there = last_pointer(spark, base, new)
     if there is not None and not there.dropped:
         raise PublishError(f"dataset {new} exists")
-    moved = Pointer(there.number + 1 if there else 1, pointer.location, pointer.version, False, pointer.tags)
+    moved = replace(pointer, number=there.number + 1 if there else 1)
     _write_pointer(spark, base, new, moved)
     _write_pointer(spark, base, old, Pointer(pointer.number + 1, None, pointer.version, True))
     return moved

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablechange.functions.render import field
+from tablechange.session import discard, materialize
 from tablechange.sources.inventory import fields_of
-from tablechange.sources.publish import current_version, publish, read_dataset
+from tablechange.sources.publish import bucket_of, current_version, publish, read_buckets, read_dataset, republish
 
 
 def _windowed(stream: DataFrame, ts: str, window: str, watermark: str) -> tuple[DataFrame, Column]:
@@ -65,22 +66,39 @@ def apply_batch(base: str, name: str, keys: list[str], order: list[str], op: str
 
     A batch has the dataset's columns, an ``op`` column (``upsert`` or ``delete``) and the columns
     of ``order``; per key only the latest change counts. The batch id is stored with the version,
-    so a batch delivered again changes nothing.
+    so a batch delivered again changes nothing. Of a dataset published in buckets by the same
+    keys only the buckets with changes are read and written.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = current_version(spark, base, name)
-        if now is not None and now.tags.get("batch", -1) >= batch_id:
+        if now is None:
+            raise LookupError(f"no dataset {name}")
+        if now.tags.get("batch", -1) >= batch_id:
             return
-        current = read_dataset(spark, base, name)
+        types = {f.name: f.dataType for f in read_dataset(spark, base, name).schema}
+        batch = batch.select([field(c).cast(types[c]).alias(c) if c in types else field(c) for c in batch.columns])
         # the latest change per key as a partial aggregate, so a key changed very often is no hot spot
         body = F.struct(*[field(c) for c in batch.columns])
         latest = batch.groupBy(*[field(k) for k in keys]).agg(F.max_by(body, F.struct(*[field(o) for o in order])).alias("b"))
-        latest = latest.select("b.*")
+        latest = materialize(latest.select("b.*"), "latest")
+        bucketed = now.buckets > 0 and now.keys == keys
+        touched = []
+        if bucketed:
+            # at most one number per bucket
+            found = latest.select(bucket_of(keys, now.buckets).alias("b")).distinct()
+            touched = sorted(r["b"] for r in found.collect())
+            current = read_buckets(spark, base, name, touched)
+        else:
+            current = read_dataset(spark, base, name)
         upserts = latest.filter(F.col(op) == "upsert").select([field(c) for c in current.columns])
-        kept = current.join(latest.select([field(k) for k in keys]), keys, "left_anti")
-        publish(kept.unionByName(upserts), base, name, tags={"batch": batch_id})
+        result = current.join(latest.select([field(k) for k in keys]), keys, "left_anti").unionByName(upserts)
+        if bucketed:
+            republish(result, base, name, touched, tags={"batch": batch_id})
+        else:
+            publish(result, base, name, tags={"batch": batch_id}, keys=now.keys, buckets=now.buckets)
+        discard(latest)
 
     return run
 

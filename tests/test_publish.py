@@ -165,3 +165,27 @@ def test_stream_windows_equal_batch_and_restart(spark, tmp_path):
     assert run() == [(4, 3)]  # the second window is open
     write([2, 9, 16])  # day 2 is too late
     assert run() == [(4, 3), (11, 2)]
+
+
+def test_only_touched_buckets_are_written(spark, base):
+    from tablechange.sources.publish import bucket_of, republish
+
+    df = spark.range(200).withColumn("v", F.lit("a"))
+    first = publish(df, base, "t", keys=["id"], buckets=8)
+    assert ids(read_dataset(spark, base, "t")) == list(range(200)) and len(first.parts) == 8
+    batch = spark.createDataFrame([(5, "new", "upsert", 1), (7, "x", "delete", 1)], "id int, v string, op string, n int")
+    apply_batch(base, "t", ["id"], ["n"])(batch, 0)
+    now = current_version(spark, base, "t")
+    touched = {r[0] for r in spark.createDataFrame([(5,), (7,)], "id long").select(bucket_of(["id"], 8)).collect()}
+    assert {int(b) for b in now.parts if now.parts[b] != first.parts[b]} == touched
+    got = {r["id"]: r["v"] for r in read_dataset(spark, base, "t").collect()}
+    assert got == {i: "new" if i == 5 else "a" for i in range(200) if i != 7}
+    # a bucket may become empty, and the dataset as a whole
+    everything = republish(read_dataset(spark, base, "t").limit(0), base, "t", list(range(8)))
+    assert everything.parts == {} and read_dataset(spark, base, "t").columns == ["id", "v"]
+    assert read_dataset(spark, base, "t").count() == 0
+    rename_dataset(spark, base, "t", "u")
+    publish(spark.range(3), base, "u", keys=["id"], buckets=2)
+    assert ids(read_dataset(spark, base, "u")) == [0, 1, 2]
+    with pytest.raises(ValueError):
+        publish(spark.range(3), base, "u", buckets=2)
