@@ -221,7 +221,7 @@ def q_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 FOLDED = f"""{GREEDY}, folded AS (
-  SELECT 'create' AS kind, CAST(blk AS VARCHAR) AS scope, k AS key, NULL AS old_key, NULL AS "column", NULL AS old_value,
+  SELECT 'create' AS kind, CAST(blk AS VARCHAR) AS scope, k AS key, NULL AS old_key, CAST(NULL AS VARCHAR) AS "column", NULL AS old_value,
     'v=' || {number_text("v")} AS new_value, NULL AS score FROM come WHERE NOT EXISTS (SELECT 1 FROM ren WHERE new_name = k)
   UNION ALL
   SELECT 'drop', CAST(blk AS VARCHAR), k, NULL, NULL, 'v=' || {number_text("v")}, NULL, NULL
@@ -282,7 +282,7 @@ SCHEMA_CHANGES = """SELECT * FROM (VALUES
 
 @query(
     "diff_schemas",
-    f"SELECT s.*, n.num_rows FROM ({SCHEMA_CHANGES}) s CROSS JOIN (SELECT count(*) AS num_rows FROM orders) n",
+    f"SELECT s.*, (SELECT count(*) FROM orders) AS num_rows FROM ({SCHEMA_CHANGES}) s",
 )
 def q_schemas(spark: SparkSession, sf: str) -> DataFrame:
     changes = order_schema_changes(spark, sf)

@@ -5,7 +5,7 @@ from tablechange.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("tests", partitions=4)
+    session = local_session("tests", cpus="4", partitions=2)
     session.sparkContext.setLogLevel("ERROR")
     if session.conf.get("spark.checkpoint.dir", None) is None:
         session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
