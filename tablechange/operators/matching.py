@@ -380,7 +380,8 @@ def match_names(
     The greedy takes high scores first, so the names are matched above the highest band, the
     matched ones leave, and only the remaining names go on to the next band, down to the
     threshold. The result is the same; a scope of very many names all alike needs only its
-    near-equal pairs. Few names (counted first) go straight to the threshold.
+    near-equal pairs. Few names (counted first) go straight to the threshold. The result reads
+    written tables, so using it more than once costs no second search.
     """
     group, scorer = _group(on), _Scorer(**weights)
     wide = group + ([block] if block and block not in group else [])
@@ -466,7 +467,7 @@ def diff_with_renames(
     columns = [*(["scope"] if block else []), F.col("key").alias("name")]
     gone = changes.filter("kind = 'drop'").select(*columns)
     come = changes.filter("kind = 'create'").select(*columns)
-    matches = materialize(match_names(gone, come, on, threshold, **weights), "matches")
+    matches = match_names(gone, come, on, threshold, **weights)
     folded = fold_renames(changes, matches, scoped=block is not None)
 
     def keyed(df: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def diff_schemas(
     # datasets
     old_sets, new_sets = old_inv.select("dataset").distinct(), new_inv.select("dataset").distinct()
     gone, come = dropped(old_sets, new_sets, ["dataset"]), created(old_sets, new_sets, ["dataset"])
-    moved = materialize(match_names(gone, come, None, threshold, name="dataset", **weights), "matches")
+    moved = match_names(gone, come, None, threshold, name="dataset", **weights)
 
     def listing(inv: DataFrame, sets: DataFrame) -> DataFrame:
         # the column list is bounded by the width of one dataset
@@ -85,7 +85,7 @@ def diff_schemas(
     shared = was.select("scope").distinct().join(now.select("scope").distinct(), "scope", "left_semi")
     was, now = was.join(shared, "scope", "left_semi"), now.join(shared, "scope", "left_semi")
     lost, gained = dropped(was, now, ["scope", "name"]), created(was, now, ["scope", "name"])
-    renamed = materialize(match_names(lost, gained, "scope", threshold, **weights), "matches")
+    renamed = match_names(lost, gained, "scope", threshold, **weights)
     adds = gained.select(F.lit("add_column").alias("kind"), "scope", F.col("name").alias("key"), F.col("type").alias("new_value"))
     drops = lost.select(F.lit("drop_column").alias("kind"), "scope", F.col("name").alias("key"), F.col("type").alias("old_value"))
     columns = fold_renames(
