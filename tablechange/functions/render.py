@@ -28,7 +28,7 @@ def _float_sql(ref: str) -> str:
     mantissa = f"regexp_replace(substring_index({body}, 'E', 1), r'\\.0$', '')"
     digits = f"replace({mantissa}, '.', '')"
     # position of the decimal point inside the digits, counted from the left
-    point = f"(length(substring_index({mantissa}, '.', 1)) + CAST(substring_index({body}, 'E', -1) AS INT))"
+    point = f"(length(substring_index({mantissa}, '.', 1)) + TRY_CAST(substring_index({body}, 'E', -1) AS INT))"
     return f"""CASE WHEN {raw} = 'NaN' THEN 'NaN'
         WHEN endswith({raw}, 'Infinity') THEN concat({sign}, 'inf')
         WHEN NOT contains({raw}, 'E') THEN regexp_replace({raw}, r'\\.0$', '')

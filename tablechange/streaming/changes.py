@@ -12,6 +12,10 @@ from tablechange.sources.inventory import fields_of
 from tablechange.sources.publish import bucket_of, current_version, publish, read_buckets, read_dataset, republish
 
 
+_FEW_GROUPS = 10_000
+_SALTS = 16
+
+
 def _windowed(stream: DataFrame, ts: str, window: str, watermark: str) -> tuple[DataFrame, Column]:
     """Event time as a zoned timestamp, which watermarks need."""
     timed = stream.withColumn(ts, field(ts).cast("timestamp")).withWatermark(ts, watermark)
@@ -45,12 +49,17 @@ def stream_schema_drift(
     join as one array per group (bounded by the number of fields). A field outside it is ``new``;
     an expected field the row lacks is ``missing``, and ``n`` counts such rows.
     """
-    wanted = expected.groupBy(*by).agg(F.collect_set("field").alias("__wanted"))
+    # written first: its size is known, so a small one is broadcast. Streams with state are not
+    # re-planned at run time, so with very many groups a busy one is split by a salt
+    wanted = materialize(expected.groupBy(*by).agg(F.collect_set("field").alias("__wanted")), "expected")
+    salts = 1 if wanted.count() <= _FEW_GROUPS else _SALTS
+    wanted = wanted.withColumn("__salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
     timed, span = _windowed(stream, ts, window, watermark)
     present = F.map_keys(F.from_json(field(json_col), "map<string,variant>"))
     empty = F.array().cast("array<string>")
     rows = timed.select(field(ts), *[field(b) for b in by], F.coalesce(present, empty).alias("__have"))
-    rows = rows.join(wanted, by, "left").withColumn("__wanted", F.coalesce("__wanted", empty))
+    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(field(ts)), F.lit(salts)).cast("int"))
+    rows = rows.join(wanted, [*by, "__salt"], "left").withColumn("__wanted", F.coalesce("__wanted", empty))
 
     def tagged(names: Column, drift: str) -> Column:
         return F.transform(names, lambda f: F.struct(F.lit(drift).alias("drift"), f.alias("field")))

@@ -189,3 +189,28 @@ def test_only_touched_buckets_are_written(spark, base):
     assert ids(read_dataset(spark, base, "u")) == [0, 1, 2]
     with pytest.raises(ValueError):
         publish(spark.range(3), base, "u", buckets=2)
+
+
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_drift_with_and_without_salt(spark, tmp_path, monkeypatch, few):
+    from datetime import datetime, timedelta
+
+    import tablechange.streaming.changes as changes
+
+    monkeypatch.setattr(changes, "_FEW_GROUPS", few)
+    feed, schema = str(tmp_path / "feed"), "ts timestamp_ntz, g string, j string"
+    texts = ['{"a": 1}', '{"a": 1, "b": 2}', "{}", None, "no json"]
+    rows = [(datetime(2024, 1, 4) + timedelta(days=i % 20, seconds=i), "gh"[i % 2], texts[i % 5]) for i in range(200)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(feed)
+    expected = spark.createDataFrame([("g", "a")], "g string, field string")
+    drift = changes.stream_schema_drift(spark.readStream.schema(schema).parquet(feed), expected, "ts", "j", ["g"])
+    got = {(r["window_start"].day, r["g"], r["field"], r["drift"]): r["n"] for r in run_to_table(drift, str(tmp_path / "out"), str(tmp_path / "state")).collect()}
+    want = {}
+    for ts, g, j in rows:
+        start = 4 + (ts - datetime(2024, 1, 4)).days // 7 * 7
+        have = {None: set(), "{}": set(), "no json": set(), texts[0]: {"a"}, texts[1]: {"a", "b"}}[j]
+        known = {"a"} if g == "g" else set()
+        if start < 18:  # the third window is open
+            for f, kind in [(f, "new") for f in have - known] + [(f, "missing") for f in known - have]:
+                want[(start, g, f, kind)] = want.get((start, g, f, kind), 0) + 1
+    assert got == want
