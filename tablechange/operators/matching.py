@@ -32,7 +32,7 @@ from tablechange.session import materialize
 
 _EXACT_LENGTHS = 64
 _TOKENS_RANKED = 4000
-_FEW_PAIRS = 1_000_000  # up to this many, bands are not worth their jobs
+_FEW_PAIRS = 50_000_000  # up to this many, bands are not worth their jobs
 _CLASS_ROWS = 16000
 _COMPACT = 25  # rounds after which their results become one table
 BANDS = (0.975, 0.95, 0.925, 0.9, 0.875, 0.85)
