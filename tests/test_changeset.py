@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tablechange.operators.changeset import (
     gate_destructive,

@@ -1,8 +1,8 @@
 import random
-from datetime import date, datetime, time
+from datetime import date, datetime
 
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import types as T
 
 from tablechange.functions.linediff import edit_script, equal_items, line_diff, side_by_side
 from tablechange.functions.render import csv_line, quote_name, render_text
