@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablechange.llm.bpe import bpe_encode
 from tablechange.llm.exact_dedup import exact_dedup
 from tablechange.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401  the entry reads both
 
@@ -18,3 +19,20 @@ _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def vocabulary_path() -> str:
+    """The public vocabulary file that the query encodes with."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_bpe_round_trip")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), decoded_col="decoded")
+    return tokens.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
