@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablechange.llm.bpe import bpe_encode
 from tablechange.llm.exact_dedup import exact_dedup
+from tablechange.llm.simhash import simhash_classes
 from tablechange.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401  the entry reads both
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -36,3 +37,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op2_simhash_classes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
