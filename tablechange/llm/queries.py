@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablechange.llm.bpe import bpe_encode
 from tablechange.llm.exact_dedup import exact_dedup
 from tablechange.llm.simhash import simhash_classes
+from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401  the entry reads both
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -43,3 +44,15 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def may_learn(rows: DataFrame) -> DataFrame:
+    """The rows that may be learned from: a third of the ids is held out."""
+    return rows.filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train_toxicity(docs, may_learn(table(spark, sf_dir, "labels"))))
+    return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
