@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablechange.llm.bpe import bpe_encode
 from tablechange.llm.exact_dedup import exact_dedup
+from tablechange.llm.mixing import mix_rates
 from tablechange.llm.simhash import simhash_classes
 from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401  the entry reads both
@@ -56,3 +57,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, train_toxicity(docs, may_learn(table(spark, sf_dir, "labels"))))
     return scored.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", "predicted")
+
+
+#: Shares of tokens that the mixture is to have, by language.
+TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(text, domain)`` of the labelled documents: their language is the domain to be learned."""
+    labels = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
+    return docs.join(labels, "doc_id", "left_semi")
+
+
+@query("op4_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rates(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS)

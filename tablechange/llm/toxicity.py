@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablechange.session import discard, materialize
 
@@ -232,20 +232,25 @@ def _counts(total: Counter) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([total[t] for t in part], pa.int64())], names=["term", "n"])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``(id, score, predicted)`` for every row of ``docs``, repeated rows and null ids included.
+def score_toxicity(
+    docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep_columns: bool = False
+) -> DataFrame:
+    """``(id, score, predicted)`` for every row of ``docs``, repeated rows and null ids included; with
+    ``keep_columns`` all columns of ``docs`` with ``__score`` and ``__predicted``.
 
     Only the text enters the score; null texts count as empty and get a score too. An empty table
-    gives no rows; other columns are ignored.
+    gives no rows.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
+    kept = docs if keep_columns else docs.select(F.col(id_col), F.col(text_col))
+    rows = kept.withColumn("__whole", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    schema = T.StructType([*kept.schema.fields, T.StructField("__score", T.DoubleType())])
 
     def run(batches):
         for b in batches:
             # one text at a time leaves memory bounded whatever the length
-            scores = pa.array([given.value.score(t.as_py()) for t in b.column(1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), scores], names=["__id", "score"])
+            scores = pa.array([given.value.score(t.as_py()) for t in b.column(b.num_columns - 1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names=[f.name for f in schema.fields])
 
-    scored = rows.mapInArrow(run, "__id long, score double")
-    return scored.select(F.col("__id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = rows.mapInArrow(run, schema).withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
+    return scored if keep_columns else scored.select(F.col(id_col), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
