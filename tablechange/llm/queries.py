@@ -9,6 +9,8 @@ from tablechange.llm.exact_dedup import exact_dedup
 from tablechange.llm.mixing import mix_rates
 from tablechange.llm.simhash import simhash_classes
 from tablechange.llm.toxicity import score_toxicity, train_toxicity
+from tablechange.llm.html_text import extract_text
+from tablechange.llm.url_rules import judge_urls
 from tablechange.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401  the entry reads both
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -73,3 +75,29 @@ def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_mixing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_rates(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), TARGETS)
+
+
+#: Explicit rules: verdict, host, beginning of the path.
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose id is labelled; poor or toxic ones are to be blocked."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return table(spark, sf_dir, "pages").select("page_id", "url").join(labels, "page_id")
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labelled_pages(spark, sf_dir), URL_RULES)
+
+
+@query("op10_html_text")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "html"))
