@@ -13,6 +13,7 @@ from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.llm.html_text import extract_text
 from tablechange.llm.url_rules import judge_urls
 from tablechange.llm.pii import BASE, KINDS, find_pii, train_pii
+from tablechange.llm.suffix_dedup import cut_repeats
 from tablechange.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401  the entry reads both
 
 _NORM = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -128,3 +129,9 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_nearest_neighbours")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
