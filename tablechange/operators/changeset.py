@@ -45,8 +45,8 @@ def _fragments(name: Column, lengths: list[int], kind: str) -> Column:
 
 def _joined_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     """Names that match a pattern of a table of any size, by equi-joins on whole names, starts
-    and ends of the lengths that occur among the patterns. A pattern with a star at both ends
-    has no such key; those are few by nature and become literals."""
+    and ends of the lengths that occur among the patterns. Patterns with a star at both ends are
+    found as substrings (see ``mentions``), which is an equi-join on pieces of the names."""
     p = F.col("pattern")
     first, last = p.startswith("*"), p.endswith("*")
     split = patterns.select(
@@ -68,11 +68,12 @@ def _joined_matches(names: DataFrame, patterns: DataFrame) -> DataFrame:
     )
     exploded = names.select("name", F.explode(F.array_compact(frags)).alias("f")).select("name", "f.how", "f.text")
     hit = exploded.join(split.filter("how <> 'inside'").select("how", "text"), ["how", "text"], "left_semi").select("name")
-    inside = [r["text"] for r in split.filter("how = 'inside'").select("text").limit(_LITERALS + 1).collect()]
-    if len(inside) > _LITERALS:
-        raise ValueError(f"more than {_LITERALS} patterns with a star at both ends")
-    if inside:
-        hit = hit.unionByName(names.filter(reduce(lambda a, b: a | b, [name.contains(t) for t in inside])).select("name"))
+    inside = split.filter("how = 'inside'").select("text")
+    # a lone star, or two, matches any name
+    every = inside.filter("text = ''").limit(1).select(F.lit(True).alias("any"))
+    hit = hit.unionByName(names.select("name").join(every, F.lit(True), "left_semi"))
+    found = mentions(names.select(F.col("name").alias("def_id"), F.col("name").alias("text")), inside.filter("text <> ''").toDF("name"))
+    hit = hit.unionByName(found.select(F.col("def_id").alias("name")))
     return hit.distinct()
 
 

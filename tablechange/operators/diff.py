@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablechange.functions.render import field, key_text, named_text, reference, value_text
 from tablechange.functions.text import canonical_text
+from tablechange.session import materialize
 
 CHANGE_SCHEMA = T.StructType(
     [
@@ -76,7 +77,9 @@ def dropped(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _comparable(c: Column, dtype: T.DataType) -> Column:
-    """Maps have no equality in Spark; their sorted entries do."""
+    """Maps and variants have no equality in Spark; sorted entries and JSON texts do."""
+    if isinstance(dtype, T.VariantType):
+        return F.to_json(c)
     return F.array_sort(F.map_entries(c)) if isinstance(dtype, T.MapType) else c
 
 
@@ -153,6 +156,9 @@ def _keep_differing(old: DataFrame, new: DataFrame, keys: list[str], attrs: list
     o = old.select(*[field(k) for k in keys], _digest(old, attrs).alias("__o"))
     n = new.select(*[field(k) for k in keys], _digest(new, attrs).alias("__n"))
     touched = o.join(n, keys, "full_outer").filter(~F.col("__o").eqNullSafe(F.col("__n"))).select(*[field(k) for k in keys])
+    # written once: its size is then known, so a small set is broadcast to both sides and the rows
+    # of neither are shuffled before they are filtered
+    touched = materialize(touched, "touched")
     return old.join(touched, keys, "left_semi"), new.join(touched, keys, "left_semi")
 
 

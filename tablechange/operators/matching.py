@@ -335,20 +335,24 @@ def similar_pairs(
     return scored.select(*_group(on), "old_name", "new_name", "score")
 
 
-def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None, max_rounds: int = 1000) -> DataFrame:
-    """Each old and each new name at most once: the greedy choice by ``(score desc, old, new)``.
+def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None) -> DataFrame:
+    """Each old and each new name at most once: the greedy choice by ``(score desc, md5 of the pair,
+    old, new)``, where the pair is both names with a zero character between.
 
     A pair that is the best of both its names is what the greedy would take, so all of those are
     taken at once, their names leave, and the rest goes on. The best per name is a partial
-    aggregate (a minimum), so a name with very many partners is no hot key. One round per link
-    of the longest chain of ever worse pairs.
+    aggregate (a minimum), so a name with very many partners is no hot key. Equal scores are taken
+    in the order of a hash: ties by name would settle one pair per round, a random order takes a
+    number of rounds that grows with the logarithm of the names. Every round takes a pair, so it
+    always ends.
     """
     group = _group(on)
-    rank = F.struct((-F.col("score")).alias("s"), F.col("old_name").alias("o"), F.col("new_name").alias("n"))
+    tie = F.md5(F.concat(F.col("old_name"), F.chr(F.lit(0)), F.col("new_name")))
+    rank = F.struct((-F.col("score")).alias("s"), tie.alias("t"), F.col("old_name").alias("o"), F.col("new_name").alias("n"))
     rest, taken = materialize(pairs.select(*group, "old_name", "new_name", "score"), "pairs"), None
-    for round_number in range(1, max_rounds + 1):
-        if rest.isEmpty():
-            break
+    round_number = 0
+    while not rest.isEmpty():
+        round_number += 1
         by_old = rest.groupBy(*group, "old_name").agg(F.min(rank).alias("best"))
         by_new = rest.groupBy(*group, "new_name").agg(F.min(rank).alias("best"))
         left = by_old.select(*group, "old_name", F.col("best.n").alias("new_name"), (-F.col("best.s")).alias("score"))
@@ -360,8 +364,6 @@ def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None, max_ro
         left_over = rest.join(chosen.select(*group, "old_name"), [*group, "old_name"], "left_anti")
         left_over = left_over.join(chosen.select(*group, "new_name"), [*group, "new_name"], "left_anti")
         rest = materialize(left_over.select(*group, "old_name", "new_name", "score"), "pairs", replaces=rest)
-    else:
-        raise RuntimeError(f"no end after {max_rounds} rounds")
     return rest if taken is None else taken
 
 

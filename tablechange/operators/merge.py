@@ -34,19 +34,23 @@ def apply_changes(
     for step in before:
         current = step(current)
     attrs = [c for c in new.columns if c not in keys]
+    kind, chosen = F.col("kind"), to_apply(changes, force_drop)
+    # edits of rows that are there; a change under a rename keeps its key in ``new`` even if the
+    # rename itself is not carried out
     actions = materialize(
-        to_apply(changes, force_drop)
+        chosen.filter(kind != "create")
         .groupBy(F.coalesce("old_key", "key").alias("__at"))
         .agg(
-            F.max(F.col("kind") == "create").alias("__create"),
-            F.max(F.col("kind") == "drop").alias("__drop"),
-            F.max(F.when(F.col("kind") == "rename", F.col("key"))).alias("__to"),
+            F.max(kind == "drop").alias("__drop"),
+            F.max(F.when(kind == "rename", F.col("key"))).alias("__to"),
+            F.max(F.when(F.col("old_key").isNotNull(), F.col("key"))).alias("__new"),
             # at most one entry per attribute
-            F.collect_set(F.when(F.col("kind") == "change", F.col("column"))).alias("__set"),
+            F.collect_set(F.when(kind == "change", F.col("column"))).alias("__set"),
         )
-        .withColumn("__source", F.coalesce("__to", "__at")),
+        .withColumn("__source", F.coalesce("__to", "__new", "__at")),
         "actions",
     )
+    creates = chosen.filter(kind == "create").select(F.col("key").alias("__source")).distinct()
     source = new.select(row_key_text(new, keys).alias("__source"), F.struct(*[field(c) for c in [*keys, *attrs]]).alias("n"))
     valued = materialize(actions.filter(~F.col("__drop")).join(source, "__source"), "values")
     gone = actions.filter("__drop").select("__at", "__drop")
@@ -67,8 +71,12 @@ def apply_changes(
             was = F.when(F.array_contains("__set", c), now).otherwise(was)
         out.append(typed(was, c))
     kept = rows.filter(~F.coalesce("__drop", F.lit(False))).select(out)
-    # a row to create that is there already is left as it is
-    fresh = valued.filter("__create").join(current.select(at), "__at", "left_anti")
+    # a row to create that is there already is left as it is; what counts are the keys once renames
+    # and drops are done
+    left = actions.filter(F.col("__drop") | F.col("__to").isNotNull()).select("__at")
+    taken = current.select(at).join(left, "__at", "left_anti").union(valued.filter(F.col("__to").isNotNull()).select("__to"))
+    new_rows = materialize(source.join(creates, "__source"), "creates")
+    fresh = new_rows.join(taken, F.col("__source") == F.col("__at"), "left_anti")
     added = fresh.select([typed(F.col(f"n.`{c}`") if c in new.columns else F.lit(None), c) for c in current.columns])
     result = kept.unionByName(added)
     for step in after:

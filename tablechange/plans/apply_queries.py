@@ -170,12 +170,10 @@ def q_rename(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "evolve_retype",
-    """SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, TRY_CAST(o_orderpriority AS INTEGER) AS o_orderpriority,
-    o_orderstatus FROM orders""",
+    "SELECT * REPLACE (CAST(o_custkey AS INTEGER) AS o_custkey, TRY_CAST(o_orderpriority AS INTEGER) AS o_orderpriority) FROM orders",
 )
 def q_retype(spark: SparkSession, sf: str) -> DataFrame:
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
-    return retype_column(retype_column(orders, "o_custkey", "int"), "o_orderpriority", "int", on_error="null")
+    return retype_column(retype_column(table(spark, sf, "orders"), "o_custkey", "int"), "o_orderpriority", "int", on_error="null")
 
 
 @query(

@@ -118,15 +118,15 @@ def q_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "diff_bags",
-    """WITH o AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_quantity FROM lineitem),
-    n AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN l_quantity > 45 THEN 'X' ELSE l_linestatus END AS l_linestatus,
-          l_quantity FROM lineitem WHERE l_returnflag <> 'R' OR l_quantity > 5)
+    """WITH o AS (SELECT * FROM lineitem),
+    n AS (SELECT * REPLACE (CASE WHEN l_quantity > 45 THEN 'X' ELSE l_linestatus END AS l_linestatus)
+          FROM lineitem WHERE l_returnflag <> 'R' OR l_quantity > 5)
     SELECT 'create' AS change, *, count(*) AS copies FROM (SELECT * FROM n EXCEPT ALL SELECT * FROM o) GROUP BY ALL
     UNION ALL
     SELECT 'drop', *, count(*) FROM (SELECT * FROM o EXCEPT ALL SELECT * FROM n) GROUP BY ALL""",
 )
 def q_bags(spark: SparkSession, sf: str) -> DataFrame:
-    old = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
+    old = table(spark, sf, "lineitem")
     new = old.filter("l_returnflag <> 'R' OR l_quantity > 5")
     status = F.when(F.col("l_quantity") > 45, "X").otherwise(F.col("l_linestatus"))
     return diff_bags(old, new.withColumn("l_linestatus", status))
@@ -189,7 +189,7 @@ RENAMES = f"""WITH RECURSIVE o AS ({fx.CUSTOMERS_OLD}), n AS ({fx.CUSTOMERS_NEW}
           FROM gone JOIN come USING (blk) WHERE jaro_winkler_similarity(gone.k, come.k) > 0.8)"""
 # the greedy choice, one pair after the other inside a block
 GREEDY = f"""{RENAMES},
-  ranked AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY score DESC, old_name, new_name) AS i FROM sim),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY blk ORDER BY score DESC, md5(old_name || chr(0) || new_name), old_name, new_name) AS i FROM sim),
   walk AS (
     SELECT blk, CAST(0 AS BIGINT) AS i, [''] AS olds, [''] AS news, false AS taken FROM (SELECT DISTINCT blk FROM sim)
     UNION ALL

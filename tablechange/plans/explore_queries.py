@@ -176,9 +176,11 @@ _pack(
 )
 _pack(
     "sql_outer_joins",
-    """SELECT c_custkey, s_suppkey, c_nationkey, s_nationkey FROM (SELECT c_custkey, c_nationkey, c_acctbal FROM customer WHERE c_acctbal < 0) c
-    FULL JOIN (SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier) s ON c.c_custkey = s.s_suppkey""",
+    """SELECT c_custkey, s_suppkey, c_nationkey, s_nationkey FROM customer c
+    FULL JOIN supplier s ON c.c_custkey = s.s_suppkey""",
 )
+_pack("sql_left_join", "SELECT c_custkey, c_name, o_orderkey, o_totalprice FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'")
+_pack("sql_right_join", "SELECT o_orderkey, c_custkey, c_name FROM orders RIGHT JOIN customer ON o_custkey = c_custkey AND o_totalprice > 100000")
 _pack("sql_semi_join", "SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON o_custkey = c_custkey", "SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON o_custkey = c_custkey")
 _pack("sql_anti_join", "SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') u ON o_custkey = c_custkey", "SELECT c_custkey, c_name FROM customer ANTI JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') u ON o_custkey = c_custkey")
 # an hour reaches into this or the next hour only, so the buckets make it an equi-join
@@ -262,10 +264,22 @@ _pack(
 )
 _pack(
     "sql_recursive",
-    """WITH RECURSIVE days(d, n) AS (SELECT CAST(0 AS BIGINT), (SELECT count(*) FROM orders) UNION ALL SELECT d + 1, n FROM days WHERE d < 6)
-    SELECT d, n, (SELECT count(*) FROM orders WHERE dayofweek(o_orderdate) - 1 = d) AS n_orders FROM days""",
-    """WITH RECURSIVE days(d, n) AS (SELECT CAST(0 AS BIGINT), (SELECT count(*) FROM orders) UNION ALL SELECT d + 1, n FROM days WHERE d < 6)
-    SELECT d, n, (SELECT count(*) FROM orders WHERE dayofweek(o_orderdate) = d) AS n_orders FROM days""",
+    """WITH RECURSIVE place(kind, id, parent) AS (
+      SELECT 'region', CAST(r_regionkey AS BIGINT), CAST(NULL AS STRING) FROM region
+      UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), concat('region ', n_regionkey) FROM nation
+      UNION ALL SELECT 'customer', CAST(c_custkey AS BIGINT), concat('nation ', c_nationkey) FROM customer),
+    walk(node, root, depth) AS (
+      SELECT concat(kind, ' ', id), concat(kind, ' ', id), 0 FROM place WHERE parent IS NULL
+      UNION ALL SELECT concat(p.kind, ' ', p.id), w.root, w.depth + 1 FROM walk w JOIN place p ON p.parent = w.node)
+    SELECT node, root, depth FROM walk""",
+    """WITH RECURSIVE place(kind, id, parent) AS (
+      SELECT 'region', CAST(r_regionkey AS BIGINT), CAST(NULL AS VARCHAR) FROM region
+      UNION ALL SELECT 'nation', CAST(n_nationkey AS BIGINT), concat('region ', n_regionkey) FROM nation
+      UNION ALL SELECT 'customer', CAST(c_custkey AS BIGINT), concat('nation ', c_nationkey) FROM customer),
+    walk(node, root, depth) AS (
+      SELECT concat(kind, ' ', id), concat(kind, ' ', id), 0 FROM place WHERE parent IS NULL
+      UNION ALL SELECT concat(p.kind, ' ', p.id), w.root, w.depth + 1 FROM walk w JOIN place p ON p.parent = w.node)
+    SELECT node, root, depth FROM walk""",
 )
 
 

@@ -158,11 +158,13 @@ def publish(
 
     ``validate`` gets the written version; it fails by raising or by returning False. Then the
     new files are removed and the version before stays. ``df`` may read the current version.
-    With ``keys`` and ``buckets`` the dataset is cut into buckets (about one per gigabyte).
+    With ``keys`` and ``buckets`` the dataset is cut into buckets (about one per gigabyte). Tags of
+    the version before stay, unless ``tags`` gives them anew.
     """
     last = last_pointer(df.sparkSession, base, name)
     pointer = _next(base, last)
-    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = tags or {}, df.schema.json(), list(keys or []), buckets
+    kept = last.tags if last is not None and not last.dropped else {}
+    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = {**kept, **(tags or {})}, df.schema.json(), list(keys or []), buckets
     if buckets and not keys:
         raise ValueError("buckets need keys")
     return _make_current(df, base, name, pointer, validate)
@@ -182,7 +184,7 @@ def republish(
     if last is None or not last.buckets:
         raise LookupError(f"no bucketed dataset {name}")
     pointer = _next(base, last)
-    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = tags or {}, last.schema, last.keys, last.buckets
+    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = {**last.tags, **(tags or {})}, last.schema, last.keys, last.buckets
     pointer.parts = {b: path for b, path in last.parts.items() if int(b) not in set(touched)}
     return _make_current(df, base, name, pointer, validate)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -59,7 +61,10 @@ def stream_schema_drift(
     empty = F.array().cast("array<string>")
     rows = timed.select(field(ts), *[field(b) for b in by], F.coalesce(present, empty).alias("__have"))
     rows = rows.withColumn("__salt", F.pmod(F.xxhash64(field(ts)), F.lit(salts)).cast("int"))
-    rows = rows.join(wanted, [*by, "__salt"], "left").withColumn("__wanted", F.coalesce("__wanted", empty))
+    # a null group is a group
+    named = wanted.select(*[field(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col("__salt").alias("__of"), "__wanted")
+    alike = reduce(lambda x, y: x & y, [field(b).eqNullSafe(F.col(f"__by{i}")) for i, b in enumerate(by)], F.col("__salt") == F.col("__of"))
+    rows = rows.join(named, alike, "left").withColumn("__wanted", F.coalesce("__wanted", empty))
 
     def tagged(names: Column, drift: str) -> Column:
         return F.transform(names, lambda f: F.struct(F.lit(drift).alias("drift"), f.alias("field")))
@@ -70,12 +75,31 @@ def stream_schema_drift(
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), *by, "field", "drift", "n")
 
 
-def apply_batch(base: str, name: str, keys: list[str], order: list[str], op: str = "op") -> Callable[[DataFrame, int], None]:
+class StreamName:
+    """The name of a stream, which is known once it has started."""
+
+    def __init__(self):
+        self._known, self._name = threading.Event(), ""
+
+    def set(self, name: str) -> None:
+        self._name = name
+        self._known.set()
+
+    def __str__(self) -> str:
+        self._known.wait()
+        return self._name
+
+
+def apply_batch(
+    base: str, name: str, keys: list[str], order: list[str], op: str = "op", stream: str | StreamName = ""
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function that applies a batch of row changes to a published dataset.
 
     A batch has the dataset's columns, an ``op`` column (``upsert`` or ``delete``) and the columns
-    of ``order``; per key only the latest change counts. The batch id is stored with the version,
-    so a batch delivered again changes nothing. Of a dataset published in buckets by the same
+    of ``order``; per key only the latest change counts. The last batch id of each stream is stored
+    with the version and kept by later ones, so a batch delivered again changes nothing, and
+    batches of several streams into one dataset do not shadow each other: ``stream`` tells them
+    apart. Of a dataset published in buckets by the same
     keys only the buckets with changes are read and written.
     """
 
@@ -84,7 +108,8 @@ def apply_batch(base: str, name: str, keys: list[str], order: list[str], op: str
         now = current_version(spark, base, name)
         if now is None:
             raise LookupError(f"no dataset {name}")
-        if now.tags.get("batch", -1) >= batch_id:
+        mark = f"batch of {stream}"
+        if now.tags.get(mark, -1) >= batch_id:
             return
         types = {f.name: f.dataType for f in read_dataset(spark, base, name).schema}
         batch = batch.select([field(c).cast(types[c]).alias(c) if c in types else field(c) for c in batch.columns])
@@ -104,9 +129,9 @@ def apply_batch(base: str, name: str, keys: list[str], order: list[str], op: str
         upserts = latest.filter(F.col(op) == "upsert").select([field(c) for c in current.columns])
         result = current.join(latest.select([field(k) for k in keys]), keys, "left_anti").unionByName(upserts)
         if bucketed:
-            republish(result, base, name, touched, tags={"batch": batch_id})
+            republish(result, base, name, touched, tags={mark: batch_id})
         else:
-            publish(result, base, name, tags={"batch": batch_id}, keys=now.keys, buckets=now.buckets)
+            publish(result, base, name, tags={mark: batch_id}, keys=now.keys, buckets=now.buckets)
         discard(latest)
 
     return run
@@ -115,9 +140,12 @@ def apply_batch(base: str, name: str, keys: list[str], order: list[str], op: str
 def stream_apply_changes(
     stream: DataFrame, base: str, name: str, keys: list[str], order: list[str], checkpoint: str, op: str = "op"
 ):
-    """Run a stream of row changes into a published dataset until its input is used up."""
-    writer = stream.writeStream.foreachBatch(apply_batch(base, name, keys, order, op))
+    """Run a stream of row changes into a published dataset until its input is used up. The stream is
+    known by the id that its checkpoint folder keeps."""
+    own = StreamName()
+    writer = stream.writeStream.foreachBatch(apply_batch(base, name, keys, order, op, own))
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    own.set(query.id)
     query.awaitTermination()
     return query
 

@@ -14,6 +14,7 @@ from tablechange.operators.changeset import (
 )
 from tablechange.operators.closure import impact_closure
 from tablechange.operators.diff import change_rows, diff
+from tablechange.operators.merge import apply_changes
 from tablechange.operators.sequence import number_rows
 
 
@@ -161,3 +162,34 @@ def test_a_deep_chain(spark):
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)], "src string, dst string")
     reach = impact_closure(edges, spark.createDataFrame([("n0",)], "node string"))
     assert {r["node"]: r["depth"] for r in reach.collect()} == {f"n{i}": i for i in range(31)}
+
+
+def test_many_patterns_with_two_stars(spark):
+    rows = [{"kind": "drop", "key": f"table_{i:04d}_x"} for i in range(300)] + [{"kind": "drop", "key": None}, {"kind": "drop", "key": ""}]
+    changes = change_rows(spark.createDataFrame(rows, "kind string, key string"))
+    patterns = [f"*{i:04d}*" for i in range(0, 3000, 3)]
+    got = {r["key"] for r in mark_ignored(changes, patterns).filter("ignored").collect()}
+    assert got == {f"table_{i:04d}_x" for i in range(0, 300, 3)}
+    every = mark_ignored(changes, [*patterns, "**"]).filter("ignored")
+    assert every.count() == 301  # any name, also the empty one; no name is no match
+
+
+def test_changes_under_a_deselected_rename(spark):
+    old = spark.createDataFrame([("a", 1), ("c", 3)], "k string, v int")
+    new = spark.createDataFrame([("b", 5), ("c", 3)], "k string, v int")
+    changes = change_rows(
+        spark.createDataFrame(
+            [("rename", "b", "a", None, False), ("change", "b", "a", "v", True)],
+            "kind string, key string, old_key string, column string, selected boolean",
+        )
+    )
+    assert sorted(map(tuple, apply_changes(old, new, changes, ["k"]).collect())) == [("a", 5), ("c", 3)]
+
+
+def test_rename_and_create_of_the_old_key(spark):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    new = spark.createDataFrame([("a", 7), ("b", 1)], "k string, v int")
+    changes = change_rows(spark.createDataFrame([("rename", "b", "a"), ("create", "a", None)], "kind string, key string, old_key string"))
+    assert sorted(map(tuple, apply_changes(old, new, changes, ["k"]).collect())) == [("a", 7), ("b", 1)]
+    there = change_rows(spark.createDataFrame([("create", "a")], "kind string, key string"))
+    assert [tuple(r) for r in apply_changes(old, new, there, ["k"]).collect()] == [("a", 1)]

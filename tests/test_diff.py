@@ -166,3 +166,17 @@ def test_same_result_under_any_partitioning(spark, partitions):
         assert rows(diff(old, new, ["k"])) == rows(diff(frame(spark, OLD), frame(spark, NEW), ["k"]))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_variant_attributes(spark):
+    old = spark.sql("SELECT 1 AS k, parse_json('{\"a\": 1}') AS v UNION ALL SELECT 2, parse_json('[1]') UNION ALL SELECT 3, null")
+    new = spark.sql("SELECT 1 AS k, parse_json('{\"a\": 2}') AS v UNION ALL SELECT 2, parse_json('[1]') UNION ALL SELECT 3, null")
+    assert [(r["kind"], r["key"], r["column"]) for r in diff(old, new, ["k"]).collect()] == [("change", "1", "v")]
+
+
+def test_digests_first_shuffle_keys_only(spark):
+    old = spark.range(1000).selectExpr("id AS k", "repeat(cast(id AS string), 50) AS body")
+    new = old.selectExpr("k", "CASE WHEN k = 7 THEN 'other' ELSE body END AS body")
+    rows = diff(old, new, ["k"], digest_first=True)
+    assert [(r["kind"], r["key"]) for r in rows.collect()] == [("change", "7")]
+    assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()

@@ -15,7 +15,7 @@ from tablechange.sources.publish import (
     read_dataset,
     rename_dataset,
 )
-from tablechange.streaming.changes import apply_batch, run_to_table, stream_field_inventory, stream_apply_changes
+from tablechange.streaming.changes import apply_batch, run_to_table, stream_apply_changes, stream_field_inventory, stream_schema_drift
 
 
 def ids(df):
@@ -142,10 +142,41 @@ def test_stream_of_changes_with_replay(spark, base, tmp_path):
     stream_apply_changes(stream(), base, "t", ["id"], ["n"], str(tmp_path / "state"))
     assert sorted(tuple(r) for r in read_dataset(spark, base, "t").collect()) == [(1, "y"), (4, "d")]
     before = current_version(spark, base, "t")
-    apply_batch(base, "t", ["id"], ["n"])(spark.createDataFrame([(4, "z", "upsert", 9)], schema), before.tags["batch"])
+    (mark, last), = before.tags.items()
+    again = apply_batch(base, "t", ["id"], ["n"], stream=mark.removeprefix("batch of "))
+    again(spark.createDataFrame([(4, "z", "upsert", 9)], schema), last)
     assert current_version(spark, base, "t") == before  # a batch delivered again
 
 
+@pytest.mark.parametrize("buckets", [0, 4])
+def test_two_streams_and_an_ordinary_publish(spark, base, buckets):
+    kept = {"keys": ["id"], "buckets": buckets} if buckets else {}
+    schema = "id int, v string, op string, n int"
+    publish(spark.createDataFrame([(1, "a")], "id int, v string"), base, "t", **kept)
+    first, second = (apply_batch(base, "t", ["id"], ["n"], stream=s) for s in ("one", "two"))
+    first(spark.createDataFrame([(2, "b", "upsert", 1)], schema), 0)
+    second(spark.createDataFrame([(3, "c", "upsert", 1)], schema), 0)
+    rows = lambda: sorted(tuple(r) for r in read_dataset(spark, base, "t").collect())
+    assert rows() == [(1, "a"), (2, "b"), (3, "c")]
+    publish(read_dataset(spark, base, "t").withColumn("v", F.upper("v")), base, "t", **kept)
+    first(spark.createDataFrame([(2, "b", "upsert", 1)], schema), 0)  # delivered again after it
+    assert rows() == [(1, "A"), (2, "B"), (3, "C")]
+    first(spark.createDataFrame([(2, "z", "upsert", 1)], schema), 1)
+    assert rows() == [(1, "A"), (2, "z"), (3, "C")]
+
+
+def test_drift_of_a_null_group(spark, tmp_path):
+    from datetime import datetime
+
+    feed, schema = str(tmp_path / "feed"), "ts timestamp_ntz, g string, j string"
+    days = [datetime(2024, 1, 4), datetime(2024, 3, 1)]
+    spark.createDataFrame([(d, g, '{"k": 1, "x": 2}') for d in days for g in ("a", None)], schema).coalesce(1).write.parquet(feed)
+    expected = spark.createDataFrame([(None, "k"), (None, "x"), ("a", "k")], "g string, field string")
+    drift = stream_schema_drift(spark.readStream.schema(schema).parquet(feed), expected, "ts", "j", ["g"])
+    got = run_to_table(drift, str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    assert {(r["g"], r["field"], r["drift"]) for r in got} == {("a", "x", "new")}
+
+
 def test_stream_windows_equal_batch_and_restart(spark, tmp_path):
     from datetime import datetime, timedelta
 
