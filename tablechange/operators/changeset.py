@@ -210,27 +210,58 @@ def _dotted(name: Column) -> Column:
 
 
 def _literal(text: Column) -> Column:
-    return F.when(text.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'")))
+    """A string literal; Spark reads a backslash in one as an escape, so it is doubled."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("''"))
+    return F.when(text.isNull(), F.lit("NULL")).otherwise(F.concat(F.lit("'"), plain, F.lit("'")))
 
 
-def render_changes(changes: DataFrame, table: str | None = None, key: str = "key", force_drop: bool = False) -> DataFrame:
+# stand for an escaped backslash and an escaped dot while a compound key is taken apart
+_SLASH, _DOT = "\ue001", "\ue002"
+
+
+def _key_parts(key: Column, n: int) -> list[Column]:
+    """The parts of a compound key's text (see ``key_text``), null where it has none."""
+    if n == 1:
+        return [key]
+    parts = F.split(F.replace(F.replace(key, F.lit("\\\\"), F.lit(_SLASH)), F.lit("\\."), F.lit(_DOT)), r"\.")
+
+    def plain(part: Column) -> Column:
+        return F.when(part != "\\N", F.replace(F.replace(part, F.lit(_DOT), F.lit(".")), F.lit(_SLASH), F.lit("\\")))
+
+    return [plain(F.get(parts, F.lit(i))) for i in range(n)]
+
+
+def _object_kind(definition: Column) -> Column:
+    """What a definition makes: ``VIEW``, ``FUNCTION`` or, without a telling text, ``TABLE``."""
+    found = F.regexp_extract(definition, r"(?i)^\s*CREATE\s+(?:OR\s+REPLACE\s+)?(?:GLOBAL\s+)?(?:TEMPORARY\s+|TEMP\s+)?(VIEW|FUNCTION|SCHEMA|DATABASE)\b", 1)
+    return F.when(F.coalesce(found, F.lit("")) == "", "TABLE").otherwise(F.upper(found))
+
+
+def render_changes(changes: DataFrame, table: str | None = None, key: str | list[str] = "key", force_drop: bool = False) -> DataFrame:
     """``(phase, scope, seq, statement)``: one statement per change, ending in ``;``; what is
     deselected, ignored or (unless forced) destructive has none, and blank ones are left out.
 
-    With ``table`` the changes are rows of that table and ``key`` its key column; new rows come
-    from ``<table>_new``. Without, they are schema or definition changes. Changes that were not
-    ordered before are numbered here.
+    With ``table`` the changes are rows of that table and ``key`` its key column, or columns; new
+    rows come from ``<table>_new``. Without, they are schema or definition changes; what a dropped
+    definition was is read from its text. Changes that were not ordered before are numbered here.
     """
     rows = to_apply(changes, force_drop)
     kind, col, k, old = F.col("kind"), F.col("column"), F.col("key"), F.col("old_key")
     if table is not None:
-        t, kc = _dotted(F.lit(table)), _quoted(F.lit(key))
-        where = F.concat(F.lit(" WHERE "), kc, F.lit(" = "))
+        t, names = _dotted(F.lit(table)), [_quoted(F.lit(c)) for c in ([key] if isinstance(key, str) else key)]
+
+        def equal(text: Column, between: str, missing: str) -> Column:
+            pairs = [F.concat(c, F.when(p.isNull(), missing).otherwise(F.concat(F.lit(" = "), _literal(p)))) for c, p in zip(names, _key_parts(text, len(names)))]
+            return F.concat_ws(between, *pairs)
+
+        def where(text: Column) -> Column:
+            return F.concat(F.lit(" WHERE "), equal(text, " AND ", " IS NULL"))
+
         statement = (
-            F.when(kind == "create", F.concat(F.lit("INSERT INTO "), t, F.lit(" SELECT * FROM "), _dotted(F.lit(f"{table}_new")), where, _literal(k)))
-            .when(kind == "drop", F.concat(F.lit("DELETE FROM "), t, where, _literal(k)))
-            .when(kind == "rename", F.concat(F.lit("UPDATE "), t, F.lit(" SET "), kc, F.lit(" = "), _literal(k), where, _literal(old)))
-            .when(kind == "change", F.concat(F.lit("UPDATE "), t, F.lit(" SET "), _quoted(col), F.lit(" = "), _literal(F.col("new_value")), where, _literal(k)))
+            F.when(kind == "create", F.concat(F.lit("INSERT INTO "), t, F.lit(" SELECT * FROM "), _dotted(F.lit(f"{table}_new")), where(k)))
+            .when(kind == "drop", F.concat(F.lit("DELETE FROM "), t, where(k)))
+            .when(kind == "rename", F.concat(F.lit("UPDATE "), t, F.lit(" SET "), equal(k, ", ", " = NULL"), where(old)))
+            .when(kind == "change", F.concat(F.lit("UPDATE "), t, F.lit(" SET "), _quoted(col), F.lit(" = "), _literal(F.col("new_value")), where(k)))
         )
     else:
         alter = F.concat(F.lit("ALTER TABLE "), _dotted(F.col("scope")))
@@ -242,7 +273,7 @@ def render_changes(changes: DataFrame, table: str | None = None, key: str = "key
             .when(kind == "retype_column", F.concat(alter, F.lit(" ALTER COLUMN "), _quoted(k), F.lit(" TYPE "), F.col("new_value")))
             .when(kind == "create", F.concat(F.lit("CREATE TABLE "), _dotted(k), F.lit(" ("), F.col("new_value"), F.lit(")")))
             .when(kind == "rename", F.concat(F.lit("ALTER TABLE "), _dotted(old), F.lit(" RENAME TO "), _dotted(k)))
-            .when(kind == "drop", F.concat(F.lit("DROP TABLE "), _dotted(k)))
+            .when(kind == "drop", F.concat(F.lit("DROP "), _object_kind(F.col("old_value")), F.lit(" "), _dotted(k)))
             .when(kind == "replace", replaced)
         )
     out = rows.withColumn("statement", F.rtrim(statement)).filter("trim(statement) <> ''")

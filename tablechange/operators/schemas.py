@@ -41,6 +41,24 @@ def keeps_values(old_type: Column, new_type: Column) -> Column:
     return F.coalesce(new_type == "string", F.lit(False)) | F.coalesce(listed, F.lit(False)) | F.coalesce(grows, F.lit(False)) | F.coalesce(holds, F.lit(False))
 
 
+def _fits(old: Column, new: Column) -> Column:
+    """``keeps_values`` of types that may end in ``NOT NULL``."""
+    plain = [F.regexp_replace(t, " NOT NULL$", "") for t in (old, new)]
+    stricter = new.endswith(" NOT NULL") & ~old.endswith(" NOT NULL")
+    return ((plain[0] == plain[1]) | keeps_values(*plain)) & ~stricter
+
+
+def quoted(column: str) -> Column:
+    """A column's name as it stands in a statement: in backticks, unless it is a plain name."""
+    name = F.col(column)
+    return F.when(name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), name).otherwise(F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`")))
+
+
+def bare_type(text: str) -> str:
+    """A type without its nullability."""
+    return text.removesuffix(" NOT NULL")
+
+
 def diff_schemas(
     old_inv: DataFrame, new_inv: DataFrame, threshold: float = THRESHOLD, compare_nullable: bool = False, **weights
 ) -> DataFrame:
@@ -66,7 +84,7 @@ def diff_schemas(
 
     def listing(inv: DataFrame, sets: DataFrame) -> DataFrame:
         # the column list is bounded by the width of one dataset
-        entry = F.struct("ordinal", F.concat_ws(" ", "column", "type").alias("c"))
+        entry = F.struct("ordinal", F.concat_ws(" ", quoted("column"), "type").alias("c"))
         lists = inv.join(sets, "dataset", "left_semi").groupBy("dataset").agg(F.array_sort(F.collect_list(entry)).alias("l"))
         return lists.select("dataset", F.array_join(F.transform("l", lambda e: e["c"]), ", ").alias("columns"))
 
@@ -108,7 +126,8 @@ def diff_schemas(
         F.lit("type").alias("column"),
         F.col("old_type").alias("old_value"),
         F.col("type").alias("new_value"),
-        (~keeps_values(F.col("old_type"), F.col("type"))).alias("destructive"),
+        # what is required from now on may be missing in old rows
+        (~_fits(F.col("old_type"), F.col("type"))).alias("destructive"),
     )
     return sets.unionByName(columns).unionByName(change_rows(retyped))
 
@@ -155,8 +174,9 @@ def lost_values(df: DataFrame, types: dict[str, str]) -> dict[str, int]:
     counts = []
     for name, dtype in types.items():
         c = field(name)
-        back = c.try_cast(dtype).try_cast(df.schema[name].dataType)
-        counts.append(F.count(F.when(~c.eqNullSafe(back), 1)).alias(name))
+        back = c.try_cast(bare_type(dtype)).try_cast(df.schema[name].dataType)
+        lost = ~c.eqNullSafe(back)
+        counts.append(F.count(F.when(lost | c.isNull() if dtype.endswith(" NOT NULL") else lost, 1)).alias(name))
     return df.agg(*counts).first().asDict()
 
 
@@ -172,16 +192,17 @@ def evolve(
 
     The change list (at most a few rows per column) is read on the driver. A destructive retype
     is carried out without force when ``check_values`` finds in one pass that no value is lost.
+    Changes of nullability alone leave the data as it is (a DataFrame cannot promise it), but a
+    column that becomes required is checked for nulls like any narrowing.
     ``columns`` gives the order of the result; else renamed columns keep their place and new ones
     follow. Drops wait for ``force_drop``; such columns come last.
     """
     wanted = changes.filter(F.col("kind").isin("add_column", "drop_column", "rename_column", "retype_column"))
-    limit = 4 * (len(df.columns) + len(columns or [])) + 10000
-    rows = to_apply(wanted, force_drop=True).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("more column changes than one dataset can have")
+    # what is new, and what concerns a column of the dataset, each once
+    mine = (F.col("kind") == "add_column") | F.coalesce("old_key", "key").isin(df.columns)
+    rows = to_apply(wanted.filter(mine), force_drop=True).select("kind", "key", "old_key", "new_value", "destructive").distinct().collect()
     renames = {r["old_key"]: r["key"] for r in rows if r["kind"] == "rename_column"}
-    adds = [(r["key"], r["new_value"]) for r in rows if r["kind"] == "add_column"]
+    adds = [(r["key"], bare_type(r["new_value"])) for r in rows if r["kind"] == "add_column"]
     drops = {r["key"] for r in rows if r["kind"] == "drop_column"} if force_drop else set()
     retypes = {r["old_key"] or r["key"]: r["new_value"] for r in rows if r["kind"] == "retype_column"}
     risky = {r["old_key"] or r["key"] for r in rows if r["kind"] == "retype_column" and r["destructive"]}
@@ -191,7 +212,7 @@ def evolve(
     out: dict[str, Column] = {}
     for c in df.columns:
         if c not in drops:
-            value = _retyped(field(c), retypes[c], on_error) if c in retypes else field(c)
+            value = _retyped(field(c), bare_type(retypes[c]), on_error) if c in retypes else field(c)
             out[renames.get(c, c)] = value
     for name, dtype in adds:
         if name in out:

@@ -141,6 +141,30 @@ def test_rendered_definitions(spark):
     assert got == {" create  OR REPLACE VIEW v AS SELECT 1;", "CREATE OR REPLACE VIEW w AS SELECT 2;"}
 
 
+def test_rendered_compound_keys_run(spark):
+    schema = "a string, b string, v string"
+    old = spark.createDataFrame([("1.2", "x\\", "it\\n's"), ("1", "2.x", "u"), ("gone", ".", "w")], schema)
+    new = spark.createDataFrame([("1.2", "x\\", "a\\tb'c"), ("1", "2.x", "u"), ("new.", "\\.", "z")], schema)
+    changes = order_changes(diff(old, new, ["a", "b"]), "apply")
+    statements = [r["statement"] for r in render_changes(changes, "t", ["a", "b"], force_drop=True).orderBy("phase", "seq").collect()]
+    old.createOrReplaceTempView("t")
+    new.createOrReplaceTempView("t_new")
+    for text in statements:
+        where = text[text.index(" WHERE ") : -1]
+        source = "t_new" if text.startswith("INSERT") else "t"
+        assert spark.sql(f"SELECT * FROM {source}{where}").count() == 1, text
+    update = next(t for t in statements if t.startswith("UPDATE"))
+    value = update[update.index("SET `v` = ") + len("SET `v` = ") : update.index(" WHERE ")]
+    assert spark.sql(f"SELECT {value}").first()[0] == "a\\tb'c"
+
+
+def test_dropped_objects_by_kind(spark):
+    rows = [("drop", "v1", "CREATE OR REPLACE VIEW v1 AS SELECT 1"), ("drop", "f1", "create function f1() returns int return 1"), ("drop", "t1", "a int"), ("drop", "t2", None)]
+    cs = change_rows(spark.createDataFrame(rows, "kind string, key string, old_value string"))
+    got = {r["statement"] for r in render_changes(cs, force_drop=True).collect()}
+    assert got == {"DROP VIEW `v1`;", "DROP FUNCTION `f1`;", "DROP TABLE `t1`;", "DROP TABLE `t2`;"}
+
+
 def test_pulled_back_rows_leave_the_diff(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("a", 3)], "k string, v int")

@@ -124,3 +124,19 @@ def test_fields_of_json(spark):
         ("a", "integer"): (2, 0), ("b", "string"): (1, 0), ("c", "null"): (1, 1), ("d", "number"): (1, 0),
         ("e", "boolean"): (1, 0), ("f", "object"): (1, 0), ("h", "array"): (1, 0),
     }
+
+
+def test_nullability_through_evolve(spark):
+    schema = "dataset string, ordinal int, column string, type string, nullable boolean"
+    old = spark.createDataFrame([("t", 1, "a", "int", True), ("t", 2, "b", "int", True)], schema)
+    new = spark.createDataFrame([("t", 1, "a", "bigint", False), ("t", 2, "b", "int", False), ("t", 3, "my col", "string", False)], schema)
+    changes = diff_schemas(old, new, compare_nullable=True)
+    assert {r["key"]: (r["new_value"], r["destructive"]) for r in changes.collect()} == {
+        "a": ("bigint NOT NULL", True), "b": ("int NOT NULL", True), "my col": ("string NOT NULL", False),
+    }
+    full = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in evolve(full, changes).schema] == ["a bigint", "b int", "my col string"]
+    gaps = spark.createDataFrame([(None, None)], "a int, b int")
+    assert evolve(gaps, changes).schema["a"].dataType.simpleString() == "int"  # a required column with nulls waits
+    created = diff_schemas(old.limit(0), new)
+    assert created.filter("kind = 'create'").first()["new_value"] == "a bigint, b int, `my col` string"
