@@ -184,6 +184,15 @@ def mentions(
     return checked.filter(found).select(def_id, "name")
 
 
+def change_edges(changes: DataFrame, whole_word: bool = True) -> DataFrame:
+    """``(src, dst)`` as ``select_changes`` takes them: the new text of change ``dst`` mentions ``src``, the
+    key or old key of another change."""
+    texts = changes.filter("new_value IS NOT NULL AND key IS NOT NULL").select(F.col("key").alias("def_id"), F.col("new_value").alias("text"))
+    names = changes.select(F.explode(F.array("key", "old_key")).alias("name")).filter("name IS NOT NULL").distinct()
+    found = mentions(texts, names, whole_word).filter("def_id <> name")
+    return found.select(F.col("name").alias("src"), F.col("def_id").alias("dst")).distinct()
+
+
 def select_changes(changes: DataFrame, deselected: DataFrame, edges: DataFrame) -> DataFrame:
     """Take some changes out; everything that depends on them is taken out and locked.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tablechange.session import materialize
+from tablechange.session import discard, materialize
 
 
 _COMPACT = 25  # rounds after which the nodes seen become one table
@@ -19,14 +19,20 @@ def impact_closure(edges: DataFrame, seeds: DataFrame, max_depth: int | None = N
     removed; a node with very many edges is split by adaptive execution, as the join is an
     inner one.
     """
-    links = edges.select(F.col("src"), F.col("dst"))
+    # read in every round, so its sources are read once
+    links = materialize(edges.select(F.col("src"), F.col("dst")), "links")
     frontier = materialize(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("depth", F.lit(0)), "frontier")
-    seen, depth = frontier, 0
+    seen, written, depth = frontier, [frontier], 0
     while not frontier.isEmpty() and (max_depth is None or depth < max_depth):
         depth += 1
         reached = links.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         frontier = materialize(reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.unionByName(frontier)
+        written.append(frontier)
         if depth % _COMPACT == 0:
             seen = materialize(seen, "seen")
+            for table in written[:-1]:
+                discard(table)
+            written = [seen, frontier]
+    discard(links)
     return seen

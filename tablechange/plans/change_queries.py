@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablechange.functions.similarity import jaro, jaro_winkler
 from tablechange.operators.changeset import (
+    change_edges,
     gate_destructive,
     mark_ignored,
     mentions,
@@ -383,6 +384,22 @@ def q_select(spark: SparkSession, sf: str) -> DataFrame:
     return select_changes(changes, fx.seeds(spark, sf), links).select("key", "selected", "locked")
 
 
+@query(
+    "select_by_mentions",
+    """WITH hit AS (SELECT DISTINCT doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE item_id % 3 = 0)
+    SELECT 'doc ' || doc_id AS key, doc_id NOT IN (FROM hit) AS selected, doc_id IN (FROM hit) AS locked FROM documents
+    UNION ALL SELECT text, bool_and(item_id % 3 <> 0), false FROM benchmark GROUP BY text""",
+)
+def q_select_by_mentions(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as definitions that may mention benchmark texts; some of those are deselected."""
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc "), "doc_id").alias("key"), F.col("text").alias("new_value"))
+    items = table(spark, sf, "benchmark")
+    named = items.select(F.col("text").alias("key"), F.lit(None).cast("string").alias("new_value")).distinct()
+    changes = change_rows(docs.unionByName(named).withColumn("kind", F.lit("replace")))
+    chosen = select_changes(changes, items.filter("item_id % 3 = 0").select("text"), change_edges(changes, whole_word=False))
+    return chosen.select("key", "selected", "locked")
+
+
 @query(
     "gate_destructive",
     f"""{CHANGES} SELECT 'safe' AS mode, kind, count(*) AS n FROM cs WHERE NOT destructive GROUP BY kind
