@@ -332,17 +332,20 @@ def q_stream_drift(spark: SparkSession, sf: str) -> DataFrame:
     return run_to_table(stream, scratch_path(spark, "stream"), scratch_path(spark, "stream-state"))
 
 
-def _apply_stream(spark: SparkSession, sf: str, **layout) -> DataFrame:
+def _order_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Each order is changed twice, first wrongly; the later change counts."""
-    base = scratch_path(spark, "published")
-    publish(fx.orders_old(spark, sf), base, "orders", **layout)
     schema = table(spark, sf, "orders").schema
     stream = fx.edited_order(spark.readStream.schema(schema).option("pathGlobFilter", "orders.parquet").parquet(sf))
     gone = F.col("o_orderkey") % 10 == 7
     twice = stream.withColumn("version", F.explode(F.array(F.lit(2), F.lit(1))))
     twice = twice.withColumn("o_orderstatus", F.when(F.col("version") == 1, "T").otherwise(F.col("o_orderstatus")))
-    twice = twice.withColumn("op", F.when(gone & (F.col("version") == 2), "delete").otherwise("upsert"))
-    stream_apply_changes(twice, base, "orders", ["o_orderkey"], ["version"], scratch_path(spark, "stream-state"))
+    return twice.withColumn("op", F.when(gone & (F.col("version") == 2), "delete").otherwise("upsert"))
+
+
+def _apply_stream(spark: SparkSession, sf: str, **layout) -> DataFrame:
+    base = scratch_path(spark, "published")
+    publish(fx.orders_old(spark, sf), base, "orders", **layout)
+    stream_apply_changes(_order_stream(spark, sf), base, "orders", ["o_orderkey"], ["version"], scratch_path(spark, "stream-state"))
     return read_dataset(spark, base, "orders")
 
 
@@ -354,3 +357,17 @@ def q_stream_apply(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_apply_changes_buckets", fx.ORDERS_NEW)
 def q_stream_apply_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return _apply_stream(spark, sf, keys=["o_orderkey"], buckets=16)
+
+
+@query("stream_apply_two_sources", fx.ORDERS_NEW)
+def q_stream_apply_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Two streams into one dataset, each counting its batches from 0, an ordinary publish in between,
+    and the first stream started once more."""
+    base, half = scratch_path(spark, "published"), F.col("o_orderkey") % 2
+    publish(fx.orders_old(spark, sf), base, "orders")
+    states = [scratch_path(spark, "stream-state") for _ in range(2)]
+    for part in (0, 1, 0):
+        changes = _order_stream(spark, sf).filter(half == part)
+        stream_apply_changes(changes, base, "orders", ["o_orderkey"], ["version"], states[part])
+        publish(read_dataset(spark, base, "orders"), base, "orders")
+    return read_dataset(spark, base, "orders")
