@@ -38,16 +38,24 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"\s+"), lambda w: w != "")
 
 
-def train_domains(
-    labelled: DataFrame, domains: list[str], text_col: str = "text", domain_col: str = "domain", max_train: int = MAX_TRAIN, features: int = FEATURES
-) -> DomainModel:
-    """A classifier of ``domains`` from at most ``max_train`` labelled rows (those with the smallest
-    hash of their text). Rows with null text or with a domain not asked for are left out. Without any
-    row left, every document belongs to all domains alike."""
+def labelled_sample(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", max_train: int = MAX_TRAIN) -> DataFrame:
+    """The rows of ``docs`` for at most ``max_train`` ids of ``labelled`` (those with the smallest hash).
+
+    The ids are chosen and written before any text is touched, so the join broadcasts a set of bounded
+    size and texts are not shuffled. Null ids are left out.
+    """
+    ids = labelled.select(F.col(id_col).alias("__id")).dropna().distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_train)
+    ids = materialize(ids, "labelled")
+    return docs.join(ids, docs[id_col] == ids["__id"], "left_semi")
+
+
+def train_domains(labelled: DataFrame, domains: list[str], text_col: str = "text", domain_col: str = "domain", features: int = FEATURES) -> DomainModel:
+    """A classifier of ``domains`` from a labelled table, bounded as by ``labelled_sample``. Rows with null
+    text or with a domain not asked for are left out. Without any row left, every document belongs to
+    all domains alike."""
     place = F.array_position(F.array(*map(F.lit, domains)), F.col(domain_col)) - 1
-    rows = labelled.filter(F.col(domain_col).isin(domains) & F.col(text_col).isNotNull()).select(F.col(text_col).alias("__text"), place.cast("double").alias("__label"))
-    sample = rows.orderBy(F.xxhash64("__text"), "__label").limit(max_train).select(words(F.col("__text")).alias("__words"), "__label")
-    sample = materialize(sample, "labelled")
+    rows = labelled.filter(F.col(domain_col).isin(domains) & F.col(text_col).isNotNull())
+    sample = materialize(rows.select(words(F.col(text_col)).alias("__words"), place.cast("double").alias("__label")), "labelled")
     # The classifier counts classes up to the largest label it meets, so each domain gets one empty row.
     empty = sample.sparkSession.range(len(domains)).select(F.array().cast("array<string>").alias("__words"), F.col("id").cast("double").alias("__label"))
     if sample.isEmpty():

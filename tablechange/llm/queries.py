@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablechange.llm.ann import nearest_neighbours
 from tablechange.llm.bpe import bpe_encode
 from tablechange.llm.exact_dedup import exact_dedup
-from tablechange.llm.mixing import mix_rates
+from tablechange.llm.mixing import labelled_sample, mix_rates
 from tablechange.llm.simhash import simhash_classes
 from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.llm.html_text import extract_text
@@ -69,10 +69,10 @@ TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
 
 
 def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(text, domain)`` of the labelled documents: their language is the domain to be learned."""
-    labels = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id").distinct()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
-    return docs.join(labels, "doc_id", "left_semi")
+    """``(text, domain)`` of a bounded sample of the documents labelled as good: their language is the
+    domain to be learned."""
+    labels = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return labelled_sample(table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain")), labels)
 
 
 @query("op4_mixing")
