@@ -15,7 +15,6 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
