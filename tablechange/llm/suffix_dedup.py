@@ -204,6 +204,13 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
 
+def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """``docs`` with the lists of their id and text hash. All joins deal out the same columns of ``docs``
+    by the same keys, so that within one plan the texts are shuffled once and read again."""
+    named = lists.withColumnsRenamed({"__id": "__of", "__th": "__oh"})
+    return docs.join(named, docs["__id"].eqNullSafe(F.col("__of")) & (docs["__th"] == F.col("__oh")), how)
+
+
 def repeated_ranges(docs: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``(__id, __th, from, n)``: runs of suffixes of the texts whose first ``width`` bytes are repeated.
     ``docs`` has ``__id``, ``__th`` (which name a text) and ``__raw`` (its bytes)."""
@@ -225,13 +232,14 @@ def repeated_ranges(docs: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS)
 
     pieces = materialize(docs.select("__id", "__th", "__raw").mapInArrow(cut, "__id long, __th long, start int, n int, a long, f long"), "fragments")
     seen = pieces.groupBy("a").agg(F.count("*").alias("rows"), F.min("f").alias("least"), F.max("f").alias("most")).filter("rows > 1")
-    seen = seen.select("a", F.when(F.col("least") == F.col("most"), 0).when(F.col("rows") <= bucket_rows, 1).otherwise(2).alias("kind"))
+    # written: the join then has a measured side and can split a hot anchor
+    seen = materialize(seen.select("a", F.when(F.col("least") == F.col("most"), 0).when(F.col("rows") <= bucket_rows, 1).otherwise(2).alias("kind")), "anchors")
     shared = materialize(pieces.join(seen, "a"), "shared")
 
     # Texts of fragments in buckets with several fragment texts.
     mixed = shared.filter("kind > 0")
     wanted = mixed.groupBy("__id", "__th").agg(F.collect_list(F.struct("start", "n", "a", "f", "kind")).alias("wanted"))
-    full = docs.select("__id", "__th", "__raw").join(wanted, ["__id", "__th"])
+    full = _with_lists(docs, wanted, "inner")
     sent = pa.schema([("a", pa.int64()), ("f", pa.int64()), ("text", pa.binary())])
 
     def take(kind):
@@ -291,7 +299,7 @@ def repeated_ranges(docs: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS)
                     yield _batch(rows, pa.schema([("a", pa.int64()), ("f", pa.int64()), ("off", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
 
     if not seen.filter("kind = 2").isEmpty():
-        hot = materialize(columns.mapInArrow(take(2), "a long, f long, text binary").mapInArrow(windows, "a long, f long, off int, h1 long, h2 long"), "hot")
+        hot = columns.mapInArrow(take(2), "a long, f long, text binary").mapInArrow(windows, "a long, f long, off int, h1 long, h2 long")
         twice = hot.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
         runs = runs.unionByName(hot.join(twice, ["h1", "h2"]).select("a", "f", "off", F.lit(1).alias("len")))
 
@@ -321,12 +329,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if width < WIDTH:
         raise ValueError(f"width must be at least {WIDTH}")
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    rows = docs.select(F.col(id_col).cast("long").alias("__own"), raw.alias("__raw"))
-    rows = rows.select("__own", "__raw", F.coalesce("__own", F.lit(-(1 << 63))).alias("__id"), F.xxhash64("__raw").alias("__th"))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), raw.alias("__raw")).withColumn("__th", F.xxhash64("__raw"))
     ranges = repeated_ranges(rows, width, bucket_rows)
     listed = ranges.groupBy("__id", "__th").agg(F.collect_list(F.struct("from", "n")).alias("ranges"))
-    joined = rows.join(listed, ["__id", "__th"], "left").select("__own", "__raw", "ranges")
-    schema = "__own long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    joined = _with_lists(rows, listed, "left").select("__id", "__raw", "ranges")
+    schema = "__id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batches):
@@ -350,6 +357,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for column, x in zip(out, (len(raw), sum(e - s for s, e in spans), [{"start": s, "end": e} for s, e in spans], b"".join(kept))):
                         column.append(x)
                 arrays = [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], arrow), pa.array(out[3], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["__own", "n_bytes", "n_removed", "spans", "kept"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["__id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return joined.mapInArrow(cut, schema).withColumnRenamed("__own", id_col)
+    return joined.mapInArrow(cut, schema).withColumnRenamed("__id", id_col)
