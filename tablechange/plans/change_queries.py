@@ -294,6 +294,25 @@ def q_schemas(spark: SparkSession, sf: str) -> DataFrame:
     return shown.join(touched, "scope")
 
 
+_COLUMNS = """SELECT column_name AS c, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' ELSE lower(column_type) END AS t
+      FROM (DESCRIBE SELECT * FROM {})"""
+
+
+@query(
+    "diff_table_schemas",
+    f"""WITH o AS ({_COLUMNS.format("customer")}), n AS ({_COLUMNS.format("supplier")}),
+    ren AS (SELECT o.c AS oc, n.c AS nc, o.t AS ot, n.t AS nt, jaro_winkler_similarity(o.c, n.c) AS s FROM o, n
+      WHERE o.c <> n.c AND jaro_winkler_similarity(o.c, n.c) > 0.8)
+    SELECT 'rename_column' AS kind, nc AS key, oc AS old_key, ot AS old_value, nt AS new_value, round(s, 9) AS score FROM ren
+    UNION ALL SELECT 'drop_column', c, NULL, t, NULL, NULL FROM o WHERE c NOT IN (SELECT oc FROM ren) AND c NOT IN (SELECT c FROM n)
+    UNION ALL SELECT 'add_column', c, NULL, NULL, t, NULL FROM n WHERE c NOT IN (SELECT nc FROM ren) AND c NOT IN (SELECT c FROM o)""",
+)
+def q_table_schemas(spark: SparkSession, sf: str) -> DataFrame:
+    """The schemas of two given tables as two states of one dataset."""
+    old, new = (frame_inventory(spark, {"party": table(spark, sf, t)}) for t in ("customer", "supplier"))
+    return diff_schemas(old, new).select("kind", "key", "old_key", "old_value", "new_value", F.round("score", 9).alias("score"))
+
+
 @query(
     "diff_field_schemas",
     f"""WITH e AS ({fx.EVENTS_DRIFTED}), f AS (
