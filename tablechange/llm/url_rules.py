@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablechange.llm.exact_dedup import LOWER, UPPER
 from tablechange.session import materialize
 
-MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 0.002, 0.6, 10
 _BAD = "=block"
 
 
@@ -52,8 +52,8 @@ def explicit_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
 
 
 def url_tokens(url: Column) -> Column:
-    """The distinct tokens of a URL, in order: scheme, host, each part of the host name, words of host
-    parts, path segments, names of query fields, presence of a fragment. Digits become ``0``."""
+    """The distinct tokens of a URL, in order: scheme, each part of the host name, words of parts with
+    hyphens, path segments, names of query fields, presence of a fragment. Digits become ``0``."""
     host, path = host_of(url), path_of(url)
     query, rest = F.regexp_extract(url, r"\?([^#]*)", 1), F.coalesce(url, F.lit(""))
 
@@ -63,24 +63,27 @@ def url_tokens(url: Column) -> Column:
 
     every = F.concat(
         marked("scheme:", F.array(F.regexp_extract(rest, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))),
-        marked("host:", F.array(host)), marked("part:", F.split(host, r"\.")), marked("word:", F.split(host, r"[.\-]")),
+        marked("part:", F.split(host, r"\.")),
+        marked("word:", F.flatten(F.transform(F.filter(F.split(host, r"\."), lambda p: p.contains("-")), lambda p: F.split(p, "-")))),
         marked("path:", F.split(path, "/")), marked("query:", F.transform(F.split(F.coalesce(query, F.lit("")), "&"), lambda x: F.regexp_extract(x, "^([^=]*)", 1))),
         F.when(rest.contains("#"), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>")),
     )
     return F.array_sort(F.array_distinct(every))
 
 
-def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS) -> DataFrame:
     """``(items, confidence, support)``: token combinations that mark blocked URLs.
 
     Rows with a null label are left out. A combination stays if it holds together with the block
-    label in at least ``min_support`` of the rows and the label follows in at least
+    label in at least ``min_support`` of the rows, and in ``min_rows`` rows, and the label follows in at least
     ``min_confidence`` of its rows; it goes if a part of it is already as confident. No rows give no
     rules.
     """
     bad = F.col(bad_col).cast("boolean")
     baskets = labelled.filter(bad.isNotNull()).select(F.concat(url_tokens(F.col(url_col)), F.when(bad, F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    baskets = materialize(baskets, "baskets")
+    support = min(1.0, max(min_support, min_rows / max(1, baskets.count())))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.filter(F.element_at("consequent", 1) == _BAD).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
     found = materialize(found, "rules")
     # Parts of a rule are met by leaving out one token at a time: by support they are frequent too.
@@ -92,7 +95,7 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
 
 def judge_urls(
     pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url",
-    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
+    min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """``(id, host, path, rule, verdict, confidence)`` per row of ``pages``.
 
@@ -103,7 +106,7 @@ def judge_urls(
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("__tokens"))
-    mined = materialize(mine_rules(labelled, url_col, min_support=min_support, min_confidence=min_confidence), "mined")
+    mined = materialize(mine_rules(labelled, url_col, min_support=min_support, min_confidence=min_confidence, min_rows=min_rows), "mined")
     baskets = rows.groupBy("__tokens").agg(F.count("*").alias("__pages"))
     # The rarest token of each rule is its entry in the index, so hot tokens head few rules.
     often = labelled.select(F.explode(url_tokens(F.col(url_col))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))

@@ -42,14 +42,14 @@ def test_mined_rules_against_brute_force(spark):
     data = [(f"http://{h}.{d}.net/{p}/{n}", h == "ads" and p == "buy" or d == "spam") for h in ("ads", "www") for d in ("good", "spam", "shop") for p in ("buy", "read") for n in range(6)]
     data += [("http://www.good.net/read/9", True), ("http://x.y/z", None)]
     known = labels(spark, data)
-    rules = {tuple(r["items"]): r["confidence"] for r in mine_rules(known, min_support=0.05, min_confidence=0.9).collect()}
+    rules = {tuple(r["items"]): r["confidence"] for r in mine_rules(known, min_support=0.05, min_confidence=0.9, min_rows=1).collect()}
     tokens = [(set(r["t"]), r["bad"]) for r in known.filter("bad IS NOT NULL").select(url_tokens(F.col("url")).alias("t"), "bad").collect()]
     for items, confidence in rules.items():
         held = [bad for t, bad in tokens if set(items) <= t]
         assert sum(held) / len(held) == confidence >= 0.9 and sum(held) >= 0.05 * len(tokens)
-    assert any("word:spam" in r for r in rules) and not any(set(a) < set(b) and rules[a] >= rules[b] for a in rules for b in rules)
+    assert any("part:spam" in r for r in rules) and not any(set(a) < set(b) and rules[a] >= rules[b] for a in rules for b in rules)
     urls = [*enumerate([u for u, _ in data]), (None, None)]
-    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in judge_urls(pages(spark, urls), known, [], min_support=0.05, min_confidence=0.9).collect()}
+    got = {r["page_id"]: (r["verdict"], r["confidence"]) for r in judge_urls(pages(spark, urls), known, [], min_support=0.05, min_confidence=0.9, min_rows=1).collect()}
     every = {r["page_id"]: set(r["t"]) for r in pages(spark, urls).select("page_id", url_tokens(F.col("url")).alias("t")).collect()}
     for i, t in every.items():
         best = max((c for items, c in rules.items() if set(items) <= t), default=None)
