@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablechange.llm.exact_dedup import LOWER, UPPER
 from tablechange.session import materialize
 
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 0.002, 0.6, 10
+MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 0.002, 0.6, 0
 _BAD = "=block"
 
 
@@ -75,9 +75,9 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", bad_col: str = "bad",
     """``(items, confidence, support)``: token combinations that mark blocked URLs.
 
     Rows with a null label are left out. A combination stays if it holds together with the block
-    label in at least ``min_support`` of the rows, and in ``min_rows`` rows, and the label follows in at least
-    ``min_confidence`` of its rows; it goes if a part of it is already as confident. No rows give no
-    rules.
+    label in at least ``min_support`` of the rows, whatever their number, and the label follows in at
+    least ``min_confidence`` of its rows; it goes if a part of it is already as confident. A caller may
+    ask for ``min_rows`` rows besides; by default none are. No rows give no rules.
     """
     bad = F.col(bad_col).cast("boolean")
     baskets = labelled.filter(bad.isNotNull()).select(F.concat(url_tokens(F.col(url_col)), F.when(bad, F.array(F.lit(_BAD))).otherwise(F.array().cast("array<string>"))).alias("items"))

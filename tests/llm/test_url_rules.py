@@ -56,6 +56,14 @@ def test_mined_rules_against_brute_force(spark):
         assert got[i] == ("allow" if best is None else "block", best)
 
 
+def test_one_support_for_every_size(spark):
+    data = [(f"http://www.good.net/read/x{n}y", False) for n in "abcdefgh" * 5] + [("http://ads.good.net/buy/a", True), ("http://ads.good.net/buy/b", True)]
+    few, many = ({tuple(r["items"]): round(r["confidence"], 9) for r in mine_rules(labels(spark, data * k)).collect()} for k in (1, 150))
+    assert few == many and few[("part:ads",)] == 1.0
+    got = judge_urls(pages(spark, [(1, "http://ads.good.net/buy/c"), (2, "http://www.good.net/read/c")]), labels(spark, data), [])
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "allow"}
+
+
 def test_query(spark, sf):
     urls = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()]
     got = {r["page_id"]: r for r in QUERIES["op6_url_filter"](spark, sf).collect()}
