@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tablechange.llm.bpe import bpe_encode
 from tablechange.llm.exact_dedup import exact_dedup
 from tablechange.llm.mixing import mix
+from tablechange.llm.near_copies import near_copy_classes
 from tablechange.llm.queries import TARGETS, labelled_domains, may_learn, vocabulary_path
 from tablechange.llm.registry import table
-from tablechange.llm.simhash import simhash_classes
 from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.session import materialize, scratch_path
 
@@ -31,8 +31,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their SimHash the one with the smallest id stays."""
-    stay = simhash_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    """Of documents linked by a Jaccard similarity of 4/5 over five-word shingles the one with the smallest id stays."""
+    stay = near_copy_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
     return _only(docs, stay)
 
 
