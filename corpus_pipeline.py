@@ -5,10 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablechange.llm.bpe import bpe_encode
-from tablechange.llm.exact_dedup import exact_dedup
+from tablechange.llm.exact_dedup import exact_dedup, normalised
 from tablechange.llm.mixing import mix
 from tablechange.llm.near_copies import near_copy_classes
 from tablechange.llm.queries import TARGETS, labelled_domains, may_learn, vocabulary_path
@@ -25,15 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the largest id stays."""
-    owners = exact_dedup(docs, keep="largest").filter("kept").select("doc_id").distinct()
-    return _only(docs, owners)
+    """Of rows with equal texts one stays, with the largest id."""
+    kept = exact_dedup(docs, keep="largest").filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
+    return _one_each(docs, kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 4/5 over five-word shingles the one with the smallest id stays."""
-    stay = near_copy_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return _only(docs, stay)
+    """Of rows linked by a Jaccard similarity of 4/5 over five-word shingles one stays, with the smallest
+    id; of several texts with that id the one with the smallest hash."""
+    found = near_copy_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    owners = found.groupBy("class").agg(F.min("node").alias("node"))
+    return _one_each(docs, found.join(owners, ["class", "node"]).select("doc_id", F.col("node").alias("sha")), _node)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,10 +48,23 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_encode(docs.select("doc_id", "text"), vocabulary_path(), decoded_col="decoded").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of these ids. The ids are written, so that a small set is broadcast by its measured size."""
-    ids = materialize(ids.withColumnRenamed("doc_id", "__id"), "ids")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+def _sha(text: Column) -> Column:
+    return F.unhex(F.sha2(F.encode(normalised(text), "UTF-8"), 256))
+
+
+def _node(text: Column) -> Column:
+    return F.xxhash64(normalised(text))
+
+
+def _one_each(docs: DataFrame, owners: DataFrame, digest: Callable[[Column], Column] = _sha) -> DataFrame:
+    """One row for each id and text hash of ``owners``, null ids included. The owners are written, so that a
+    small set is broadcast by its measured size; only rows that repeat id and text are shuffled to choose one."""
+    owners = materialize(owners.groupBy(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha")).agg(F.count("*").alias("__rows")), "owners")
+    held = docs.withColumn("__text_sha", digest(F.col("text")))
+    found = held.join(owners, held["doc_id"].eqNullSafe(owners["__id"]) & (held["__text_sha"] == owners["__sha"]))
+    many = found.filter("__rows > 1").dropDuplicates(["__id", "__sha"]) if not owners.filter("__rows > 1").isEmpty() else None
+    one = found.filter("__rows = 1")
+    return (one if many is None else one.union(many)).select(*docs.columns)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -116,10 +116,10 @@ def similar_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, l
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
-    """``(id, node, component_id)`` per row: near copies, also over steps, share the smallest id among
-    them; ``node`` is a hash of the normalised text. Null texts count as empty; null ids take part."""
+    """``(id, node, class, component_id)`` per row: near copies, also over steps, share ``class`` and the smallest
+    id among them; ``node`` is a hash of the normalised text. Null texts count as empty; null ids take part."""
     rows = docs.select(F.col(id_col), F.xxhash64(normalised(F.col(text_col))).alias("node"))
     classes = components(similar_links(docs, text_col, width, least)).toDF("node", "__class")
-    named = materialize(rows.join(classes, "node", "left").withColumn("__class", F.coalesce("__class", "node")), "named")
-    owners = named.groupBy("__class").agg(F.min(id_col).alias("component_id"))
-    return named.join(owners, "__class").select(id_col, "node", "component_id")
+    named = materialize(rows.join(classes, "node", "left").withColumn("class", F.coalesce("__class", "node")).drop("__class"), "named")
+    owners = named.groupBy("class").agg(F.min(id_col).alias("component_id"))
+    return named.join(owners, "class").select(id_col, "node", "class", "component_id")

@@ -24,6 +24,15 @@ def test_near_copies_and_copies_leave_one(spark, make, sf):
     assert sorted((r["doc_id"] for r in near.collect()), key=repr) == sorted([1, 3, 4, None], key=repr)
 
 
+def test_one_row_of_each_group_stays(spark, make, sf):
+    a, b = "one two three four five six", "another text of seven words with more"
+    rows = [(1, a)] * 3 + [(2, a), (None, a), (None, b), (None, b), (None, b.upper()), (3, "x"), (3, "y z"), (3, "x"), (None, None), (None, "")]
+    want = [(3, "x"), (3, "y z"), (None, ""), (None, b)]
+    for stage, owner in ((corpus_pipeline.drop_copies, 2), (corpus_pipeline.drop_near_copies, 1)):
+        got = [(r["doc_id"], (r["text"] or "").lower()) for r in stage(spark, make(rows), sf).collect()]
+        assert sorted(got, key=repr) == sorted([*want, (owner, a)], key=repr), stage
+
+
 def test_run_against_plain_steps(spark, sf):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     texts = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}
