@@ -1,8 +1,9 @@
 """Layout-aware text of HTML pages.
 
 A tokenizer and a tree builder with implied tags give a tree; what a reader would not see is left
-out; the rest is rendered with block spacing, list marks and aligned table cells. Everything visible
-is emitted, navigation and footers included.
+out; the rest is rendered with block spacing, list marks and aligned table cells. What is visible is
+emitted, navigation, footers, formulas, labels of drawings and text areas included; lists to choose
+from (``select``) are left out.
 
 A page is one row of work; nothing is shuffled. Memory is bounded by the longest page.
 """
@@ -18,7 +19,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe object audio video canvas svg math datalist select textarea noembed noframes input img".split())
+UNSEEN = frozenset("head script style template noscript title iframe object audio video canvas datalist select noembed noframes input img".split())
+# Unseen within svg, or within math.
+UNSEEN_IN = {**dict.fromkeys("desc defs metadata symbol clippath mask marker pattern".split(), "svg"), **dict.fromkeys("annotation annotation-xml mphantom".split(), "math")}
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table ul caption h1 h2 h3 h4 h5 h6".split()
 )
@@ -44,14 +47,17 @@ _SCOPE = frozenset("table td th caption button object html body".split())
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|(?P<bad>/?[A-Za-z][^>]*)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?:\s*!important)?\s*(?:;|$)", re.I)
+_LABEL = "/label"  # marks text elements of an svg; no attribute of a page has a slash
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "items")
+    __slots__ = ("name", "attrs", "items", "around")
 
     def __init__(self, name: str, attrs: dict[str, str] | None = None):
         self.name, self.attrs, self.items = name, attrs or {}, []
+        # "svg" or "math" where what is inside follows its rules, None in ordinary text
+        self.around: str | None = None
 
 
 def build_tree(html: str) -> Node:
@@ -62,10 +68,10 @@ def build_tree(html: str) -> Node:
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
-            stack[-1].items.append(unescape(html[at:]))
+            _text(stack, unescape(html[at:]))
             break
         if m.start() > at:
-            stack[-1].items.append(unescape(html[at : m.start()]))
+            _text(stack, unescape(html[at : m.start()]))
         at = m.end()
         name = m["name"]
         if name is None:
@@ -84,19 +90,37 @@ def build_tree(html: str) -> Node:
         found = {a.lower(): unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(attrs)} if attrs and attrs != "/" else {}
         if name == "html":
             continue
+        around = stack[-1].around
+        if name in UNSEEN_IN and UNSEEN_IN[name] == around:
+            found["hidden"] = ""
+        elif name == "text" and around == "svg":
+            found[_LABEL] = ""
         node = Node(name, found)
+        if name in ("svg", "math"):
+            node.around = name
+        elif name != "foreignobject" and _LABEL not in found:
+            node.around = around
         stack[-1].items.append(node)
         if name in VOID:
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            node.items.append(html[at : stop.start() if stop else n])
+            raw = html[at : stop.start() if stop else n]
+            node.items.append(unescape(raw) if name == "textarea" else raw)
             at = stop.end() if stop else n
             continue
         stack.append(node)
     return root
 
 
+def _text(stack: list[Node], text: str) -> None:
+    """Put text in; in an open head it ends the head, if it is not white space."""
+    if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
+        stack.pop()
+    if stack[-1].around != "svg":
+        stack[-1].items.append(text)
+
+
 def _close(stack: list[Node], name: str) -> None:
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name == name:
@@ -209,12 +233,17 @@ def render(root: Node, depth: int = 0) -> str:
                 page.block(2)
                 page.exactly(_plain(item).strip("\n").split("\n"))
                 page.block(2)
+            elif name == "textarea":
+                text = _plain(item).removeprefix("\n").rstrip()
+                if text:
+                    page.exactly(text.split("\n"))
+                    page.block(1)
             elif name == "table":
                 page.block(2)
                 page.exactly(_table(item, depth))
                 page.block(2)
             else:
-                lines = 2 if name in SPACED else 1 if name in BLOCK else 0
+                lines = 2 if name in SPACED else 1 if name in BLOCK or _LABEL in item.attrs else 0
                 if name in ("ul", "ol", "dl") and page.indent:
                     lines = 1  # a list in a list
                 if lines:

@@ -35,6 +35,24 @@ def test_cases():
     assert html_to_text(None) == ""
 
 
+SHOWN = {
+    "<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds": "so x=2 holds",
+    "<math><semantics><mi>y</mi><annotation>no</annotation></semantics></math>": "y",
+    "a<svg>no<title>no</title><desc>no</desc><defs><text>no</text></defs><g><text x=1>one <tspan>two</tspan></text><text>three</text></g></svg>b": "a\none two\nthree\nb",
+    "<svg><foreignObject><p>in</p></foreignObject></svg>": "in",
+    "a <desc>b</desc> <text>c</text>": "a b c",
+    "<p>n<textarea>\n a &amp; <b>\n  c</textarea>m": "n\n a & <b>\n  c\nm",
+    "<textarea></textarea>x": "x",
+    "<head><title>t</title>Hello<p>x": "Hello\n\nx",
+    "<head> \n<title>t</title> <meta charset=x>\n&amp; more</head><body>y": "& more\ny",
+}
+
+
+def test_shown():
+    for html, text in SHOWN.items():
+        assert html_to_text(html) == text, html
+
+
 def test_deep_and_long():
     assert html_to_text("<div>" * 20_000 + "x") == "x"
     deep = "<table><tr><td>" * 200 + "in"
