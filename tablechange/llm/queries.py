@@ -12,7 +12,10 @@ from tablechange.llm.simhash import simhash_classes
 from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.llm.html_text import extract_text
 from tablechange.llm.url_rules import judge_urls
+from tablechange.llm.lexical import ranked_search
+from tablechange.llm.periodic import periodic_runs
 from tablechange.llm.pii import BASE, KINDS, find_pii, train_pii
+from tablechange.llm.quality import score_quality, train_quality
 from tablechange.llm.suffix_dedup import cut_repeats
 from tablechange.llm.registry import ORACLES, QUERIES, query, table  # noqa: F401  the entry reads both
 
@@ -135,3 +138,57 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_NORM)
+
+
+@query(
+    "op11_ranked_search",
+    f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ts FROM documents),
+  c AS (SELECT r, len(ts) AS n FROM d WHERE len(ts) > 0),
+  s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM c),
+  q AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+  t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+  w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term), s),
+  m AS (SELECT r, 50 + (50 * n * docs) // terms AS m FROM c, s),
+  x AS (SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM t JOIN w USING (term) JOIN m USING (r) JOIN q USING (term) GROUP BY item_id, r)
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM x JOIN d USING (r) WHERE score > 0 QUALIFY rank <= 50""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; of a tenth of the ids the words from some place on repeat with some period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, a = F.size("__w").cast("long"), F.col("__a")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("__w"), g.alias("__g"))
+    rows = rows.withColumn("__a", F.when(n > 0, F.col("__g") % n))
+    rows = rows.withColumn("__p", 1 + F.floor((n - a) / (3 + F.col("__g") % 8)))
+    moved = F.transform("__w", lambda w, i: F.when(i >= a, F.get(F.col("__w"), (a + (i - a) % F.col("__p")).cast("int"))).otherwise(w))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("n"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    found = found.withColumn("best", best)
+    text = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    length, period = F.col("best.n"), -F.col("best.p")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("(1000 * best.n) div (-best.p)").alias("exponent_milli"), F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op13_quality")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels").filter(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
