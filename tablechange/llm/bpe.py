@@ -16,6 +16,7 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,13 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_KEEP_WORDS, _KEEP_CHARS = 250_000, 32 << 20
+_KEEP_WORDS, _KEEP_CHARS = 600_000, 48 << 20
 SLICE_CHARS = 1 << 20
 # Fixed values of the vocabulary's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile(r"\s+")
 # Python's split() takes these for white space, the pre-tokenizer does not.
-SEPARATORS = regex.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_letters() -> list[str]:
@@ -45,10 +46,21 @@ def lower_each(text: str) -> str:
     return text.replace("Σ", "σ").lower()
 
 
+class _Assigned(dict):
+    """Each code point that was asked for and what stands for it."""
+
+    def __missing__(self, c: int) -> int:
+        out = self[c] = 0xE000 if unicodedata.category(chr(c)) == "Cn" else c
+        return out
+
+
+_ASSIGNED = _Assigned()
+
+
 def assigned(text: str) -> str:
     """Code points without a meaning in Python's Unicode tables stand as private ones, so that a
     newer table of the ``regex`` library does not take them for letters."""
-    return "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
+    return text.translate(_ASSIGNED)
 
 
 class PairIndexBPE:
@@ -62,8 +74,8 @@ class PairIndexBPE:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
         self.token = {i: t for t, i in [*vocab.items(), *self.added.items()]}
         letters = byte_letters()
-        self.inner = [vocab[c] for c in letters]
-        self.last = [vocab[c + suffix] for c in letters]
+        self.inner = np.array([vocab[c] for c in letters], np.int64)
+        self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
         self.merges = []
         self.rank = {}
         for a, b in model["merges"]:
@@ -90,18 +102,18 @@ class PairIndexBPE:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, merged over one index of all pair occurrences."""
-        symbols, starts, inner, last, rank = [], [], self.inner, self.last, self.rank
-        for w in words:
-            raw = w.encode("utf-8", "replace")
-            starts.append(len(symbols))
-            symbols += [inner[x] for x in raw[:-1]]
-            symbols.append(last[raw[-1]])
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts:
-            before[s] = -1
-            after[s - 1] = -1
-        where = self._occurrences(symbols, starts)
+        if not words:
+            return []
+        rank, raw = self.rank, [w.encode("utf-8", "replace") for w in words]
+        ends = np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)))
+        starts = np.concatenate([[0], ends[:-1]])
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        codes, n = self.inner[joined], len(joined)
+        codes[ends - 1] = self.last[joined[ends - 1]]
+        where = self._occurrences(codes, starts)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = before[starts] = -1
+        symbols, after, before = codes.tolist(), after.tolist(), before.tolist()
         active = list(where)
         heapq.heapify(active)
         while active:
@@ -133,16 +145,17 @@ class PairIndexBPE:
                         else:
                             where[q] = [h]
                             heapq.heappush(active, q)
-        ends = [*starts[1:], n]
-        return [[x for x in symbols[a:b] if x >= 0] for a, b in zip(starts, ends)]
+        codes = np.array(symbols, np.int64)
+        left = np.concatenate([[0], np.cumsum(codes >= 0)])
+        bounds, kept = left[ends].tolist(), codes[codes >= 0].tolist()
+        return [kept[a:b] for a, b in zip([0, *bounds], bounds)]
 
-    def _occurrences(self, symbols: list[int], starts: list[int]) -> dict[int, list[int]]:
+    def _occurrences(self, symbols: np.ndarray, starts: np.ndarray) -> dict[int, list[int]]:
         """The positions of each mergeable pair of the chain, in order, by the pair's rank."""
         if len(symbols) < 2:
             return {}
-        chain = np.array(symbols, np.int64)
-        keys = (chain[:-1] << 32) | chain[1:]
-        keys[np.array(starts[1:], np.int64) - 1] = -1  # the last symbol of a word has no partner
+        keys = (symbols[:-1] << 32) | symbols[1:]
+        keys[starts[1:] - 1] = -1  # the last symbol of a word has no partner
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         found = np.flatnonzero(self.pair_keys[at] == keys)
         ranks = self.pair_ranks[at[found]]
@@ -182,28 +195,28 @@ class _Encoder:
 
     def learn(self) -> None:
         fresh, self.number.fresh = self.number.fresh, []
-        pieces = [self.bpe.pieces(c) for c in fresh]
-        words = list({p for ps in pieces for p in ps if isinstance(p, str)} - self.known.keys())
-        self.known.update(zip(words, self.bpe.encode_words(words)))
+        pieces = [(c.lower(),) if c.isascii() and c.isalpha() else self.bpe.pieces(c) for c in fresh]
         known = self.known
+        words = list({p for ps in pieces for p in ps if p not in known and isinstance(p, str)})
+        known.update(zip(words, self.bpe.encode_words(words)))
         lists = [known[ps[0]] if len(ps) == 1 and isinstance(ps[0], str) else [i for p in ps for i in (known[p] if isinstance(p, str) else (p,))] for ps in pieces]
         self.chars += sum(map(len, fresh))
         self.text += [self.bpe.decode(x) for x in lists]
         length = np.fromiter(map(len, lists), np.int64, len(lists))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.int32)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32)])
 
     def slice(self, texts: list[str | None], decoded: bool) -> tuple[pa.Array, pa.Array | None]:
         rows = []
         for t in texts:
             t = t or ""
-            chunks = SPACES.split(t) if SEPARATORS.search(t) else t.split()
+            chunks = SPACES.split(t) if any(c in t for c in SEPARATORS) else t.split()
             rows.append([self.number[c] for c in chunks if c] if chunks and not (chunks[0] and chunks[-1]) else list(map(self.number.__getitem__, chunks)))
         if self.number.fresh:
             self.learn()
         sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        every = np.fromiter((n for r in rows for n in r), np.int64, int(sizes.sum()))
+        every = np.fromiter(chain.from_iterable(rows), np.int64, int(sizes.sum()))
         counts = self.length[every]
         ends = np.cumsum(counts)
         take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[every] - (ends - counts), counts)
@@ -235,8 +248,12 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[tuple[int
         yield start, len(sizes)
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+def bpe_encode(
+    docs: DataFrame, vocabulary: str, text_col: str = "text", out_col: str = "ids", decoded_col: str | None = None, keep: list[str] | None = None
+) -> DataFrame:
     """``docs`` with the token ids of each whole text (``array<int>``), and on demand their decoding.
+    Of the columns of ``docs`` only those named in ``keep`` stay, if it is given; a text that does
+    not stay goes to the encoder once and does not come back.
 
     ``vocabulary`` is the path of the file; its content is broadcast. Null and empty texts have no
     ids and decode to the empty text. Columns of ``docs`` stay as they are; one that has the name
@@ -245,7 +262,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, text_col: str = "text", out_col
     """
     content = read_vocabulary(docs.sparkSession, vocabulary)
     new = [out_col] + ([decoded_col] if decoded_col else [])
-    kept = [f for f in docs.schema.fields if f.name not in new]
+    kept = [f for f in docs.schema.fields if f.name not in new and (keep is None or f.name in keep)]
     source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     result = T.StructType([*kept, T.StructField(out_col, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded_col, T.StringType())] if decoded_col else []))
 

@@ -41,7 +41,7 @@ def vocabulary_path() -> str:
 
 @query("op8_bpe_round_trip")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = bpe_encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path(), decoded_col="decoded")
+    tokens = bpe_encode(table(spark, sf_dir, "documents"), vocabulary_path(), decoded_col="decoded", keep=["doc_id"])
     return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
