@@ -371,3 +371,38 @@ def q_stream_apply_two(spark: SparkSession, sf: str) -> DataFrame:
         stream_apply_changes(changes, base, "orders", ["o_orderkey"], ["version"], states[part])
         publish(read_dataset(spark, base, "orders"), base, "orders")
     return read_dataset(spark, base, "orders")
+
+
+def _late_changes(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Three deliveries of changes of all orders: the last state first (version 5, deletes included), then older
+    states of every order that come late (2 and 4, also of deleted ones), then one in order (6)."""
+    orders, key = table(spark, sf, "orders"), F.col("o_orderkey") % 10
+    last = fx.edited_order(orders).withColumn("version", F.lit(5)).withColumn("op", F.when(key == 7, "delete").otherwise("upsert"))
+    late = orders.withColumn("version", F.explode(F.array(F.lit(2), F.lit(4)))).withColumn("o_orderstatus", F.lit("late"))
+    late = late.withColumn("op", F.when((key == 3) & (F.col("version") == 4), "delete").otherwise("upsert"))
+    after = orders.filter(key == 1).withColumn("version", F.lit(6)).withColumn("op", F.lit("upsert"))
+    return [last, late, after.withColumn("o_totalprice", -F.col("o_totalprice"))]
+
+
+def _apply_late(spark: SparkSession, sf: str, **layout) -> DataFrame:
+    base, feed, state = (scratch_path(spark, x) for x in ("published", "feed", "stream-state"))
+    publish(fx.orders_old(spark, sf), base, "orders", **layout)
+    for delivery in _late_changes(spark, sf):
+        delivery.write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(delivery.schema).parquet(feed)
+        stream_apply_changes(stream, base, "orders", ["o_orderkey"], ["version"], state)
+    return read_dataset(spark, base, "orders")
+
+
+LATE = f"""SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 1 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice,
+  o_orderdate, o_orderpriority FROM ({fx.ORDERS_NEW})"""
+
+
+@query("stream_apply_late", LATE)
+def q_stream_apply_late(spark: SparkSession, sf: str) -> DataFrame:
+    return _apply_late(spark, sf)
+
+
+@query("stream_apply_late_buckets", LATE)
+def q_stream_apply_late_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return _apply_late(spark, sf, keys=["o_orderkey"], buckets=16)

@@ -9,6 +9,9 @@ readers see the old version. Two writers cannot create the same pointer number.
 A dataset may be cut into buckets by a hash of its keys. Then a pointer names one folder per
 bucket, and ``republish`` writes only the buckets a set of changes touches; the others stay where
 an earlier version put them.
+
+Beside its rows a version may keep *marks*, a table by the same keys that readers do not see, such as
+the order of the last change of each key. The pointer names both, so they become current together.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ class Pointer:
     keys: list[str] = dc_field(default_factory=list)
     buckets: int = 0
     parts: dict[str, str] = dc_field(default_factory=dict)
+    marks: dict = dc_field(default_factory=dict)
 
 
 def _fs(spark: SparkSession, path: str):
@@ -117,6 +121,16 @@ def read_buckets(spark: SparkSession, base: str, name: str, buckets: list[int])
     return _read(spark, current_version(spark, base, name), buckets)
 
 
+def read_marks(spark: SparkSession, pointer: Pointer, only: list[int] | None = None) -> DataFrame | None:
+    """The marks kept with a version, or those of some buckets; None if it has none."""
+    return _read(spark, Pointer(**pointer.marks), only) if pointer.marks else None
+
+
+def same_buckets(pointer: Pointer) -> bool:
+    """Whether the marks of a version are cut into the same buckets as its rows."""
+    return bool(pointer.marks) and (pointer.marks["keys"], pointer.marks["buckets"]) == (pointer.keys, pointer.buckets)
+
+
 def bucket_of(keys: list[str], buckets: int) -> Column:
     """The bucket of a row. Key columns must have the types of the dataset."""
     return F.pmod(F.xxhash64(*[field(k) for k in keys]), F.lit(buckets)).cast("int")
@@ -153,21 +167,23 @@ def publish(
     tags: dict | None = None,
     keys: list[str] | None = None,
     buckets: int = 0,
+    marks: DataFrame | None = None,
 ) -> Pointer:
     """Write ``df`` as the next version, check the written data, make it current.
 
     ``validate`` gets the written version; it fails by raising or by returning False. Then the
     new files are removed and the version before stays. ``df`` may read the current version.
-    With ``keys`` and ``buckets`` the dataset is cut into buckets (about one per gigabyte). Tags of
-    the version before stay, unless ``tags`` gives them anew.
+    With ``keys`` and ``buckets`` the dataset is cut into buckets (about one per gigabyte). Tags and
+    marks of the version before stay, unless ``tags`` or ``marks`` give them anew.
     """
     last = last_pointer(df.sparkSession, base, name)
     pointer = _next(base, last)
-    kept = last.tags if last is not None and not last.dropped else {}
-    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = {**kept, **(tags or {})}, df.schema.json(), list(keys or []), buckets
+    live = last is not None and not last.dropped
+    pointer.tags, pointer.schema, pointer.keys, pointer.buckets = {**(last.tags if live else {}), **(tags or {})}, df.schema.json(), list(keys or []), buckets
+    pointer.marks = last.marks if live else {}
     if buckets and not keys:
         raise ValueError("buckets need keys")
-    return _make_current(df, base, name, pointer, validate)
+    return _make_current(df, base, name, pointer, validate, marks)
 
 
 def republish(
@@ -177,16 +193,20 @@ def republish(
     touched: list[int],
     validate: Callable[[DataFrame], object] | None = None,
     tags: dict | None = None,
+    marks: DataFrame | None = None,
 ) -> Pointer:
     """The next version of a bucketed dataset: ``df`` holds all rows of the ``touched`` buckets,
-    every other bucket stays as it is."""
+    every other bucket stays as it is. ``marks`` are those of the touched buckets, or all of them if the
+    version before has them in other buckets (see ``same_buckets``)."""
     last = current_version(df.sparkSession, base, name)
     if last is None or not last.buckets:
         raise LookupError(f"no bucketed dataset {name}")
     pointer = _next(base, last)
     pointer.tags, pointer.schema, pointer.keys, pointer.buckets = {**last.tags, **(tags or {})}, last.schema, last.keys, last.buckets
     pointer.parts = {b: path for b, path in last.parts.items() if int(b) not in set(touched)}
-    return _make_current(df, base, name, pointer, validate)
+    pointer.marks = last.marks
+    stay = {b: path for b, path in last.marks["parts"].items() if int(b) not in set(touched)} if same_buckets(last) else {}
+    return _make_current(df, base, name, pointer, validate, marks, stay)
 
 
 def _next(base: str, last: Pointer | None) -> Pointer:
@@ -198,17 +218,29 @@ def _next(base: str, last: Pointer | None) -> Pointer:
 
 
 def _make_current(
-    df: DataFrame, base: str, name: str, pointer: Pointer, validate: Callable[[DataFrame], object] | None
+    df: DataFrame,
+    base: str,
+    name: str,
+    pointer: Pointer,
+    validate: Callable[[DataFrame], object] | None,
+    marks: DataFrame | None = None,
+    stay: dict[str, str] | None = None,
 ) -> Pointer:
     spark = df.sparkSession
+    beside = Pointer(pointer.number, f"{pointer.location}-marks", pointer.version, keys=pointer.keys, buckets=pointer.buckets, parts=dict(stay or {}))
     try:
         _write(df, pointer)
+        if marks is not None:
+            beside.schema = marks.schema.json()
+            _write(marks, beside)
+            pointer.marks = asdict(beside)
         if validate is not None and validate(_read(spark, pointer)) is False:
             raise PublishError(f"{name}: version {pointer.version} failed validation")
         _write_pointer(spark, base, name, pointer)
     except Exception as error:
-        fs, p, _ = _fs(spark, pointer.location)
-        fs.delete(p, True)
+        for location in (pointer.location, beside.location):
+            fs, p, _ = _fs(spark, location)
+            fs.delete(p, True)
         if isinstance(error, PublishError):
             raise
         raise PublishError(f"{name}: version {pointer.version} was not published") from error

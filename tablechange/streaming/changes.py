@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tablechange.functions.render import field
 from tablechange.session import discard, materialize
 from tablechange.sources.inventory import fields_of
-from tablechange.sources.publish import bucket_of, current_version, publish, read_buckets, read_dataset, republish
+from tablechange.sources.publish import bucket_of, current_version, publish, read_buckets, read_dataset, read_marks, republish, same_buckets
 
 
 _FEW_GROUPS = 10_000
 _SALTS = 16
+_ORDER = "__order"
 
 
 def _windowed(stream: DataFrame, ts: str, window: str, watermark: str) -> tuple[DataFrame, Column]:
@@ -96,11 +97,19 @@ def apply_batch(
     """A ``foreachBatch`` function that applies a batch of row changes to a published dataset.
 
     A batch has the dataset's columns, an ``op`` column (``upsert`` or ``delete``) and the columns
-    of ``order``; per key only the latest change counts. The last batch id of each stream is stored
-    with the version and kept by later ones, so a batch delivered again changes nothing, and
-    batches of several streams into one dataset do not shadow each other: ``stream`` tells them
-    apart. Of a dataset published in buckets by the same
-    keys only the buckets with changes are read and written.
+    of ``order``; per key only the latest change counts. Of equal orders the one that comes last does.
+
+    That holds over batches and streams too: with each version the order of the last change of every
+    key is kept, also of deleted ones, and a change that is older than that is dropped, however late it
+    comes. A row that no stream has changed yet is as old as its own columns of ``order`` say,
+    where the dataset has them; else any change is newer. So the rows are those of one run over all
+    changes, in whatever batches they arrive. The orders of deleted keys stay until the dataset is
+    dropped.
+
+    The last batch id of each stream is stored with the version and kept by later ones, so a batch
+    delivered again changes nothing, and batches of several streams into one dataset do not shadow
+    each other: ``stream`` tells them apart. Of a dataset published in buckets by the same
+    keys only the buckets with changes are read and written, the orders included.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -111,14 +120,15 @@ def apply_batch(
         mark = f"batch of {stream}"
         if now.tags.get(mark, -1) >= batch_id:
             return
-        types = {f.name: f.dataType for f in read_dataset(spark, base, name).schema}
+        schema = read_dataset(spark, base, name).schema
+        types = {f.name: f.dataType for f in schema}
         batch = batch.select([field(c).cast(types[c]).alias(c) if c in types else field(c) for c in batch.columns])
         # the latest change per key as a partial aggregate, so a key changed very often is no hot spot
         body = F.struct(*[field(c) for c in batch.columns])
         latest = batch.groupBy(*[field(k) for k in keys]).agg(F.max_by(body, F.struct(*[field(o) for o in order])).alias("b"))
         latest = materialize(latest.select("b.*"), "latest")
         bucketed = now.buckets > 0 and now.keys == keys
-        touched = []
+        touched = None
         if bucketed:
             # at most one number per bucket
             found = latest.select(bucket_of(keys, now.buckets).alias("b")).distinct()
@@ -126,13 +136,33 @@ def apply_batch(
             current = read_buckets(spark, base, name, touched)
         else:
             current = read_dataset(spark, base, name)
-        upserts = latest.filter(F.col(op) == "upsert").select([field(c) for c in current.columns])
-        result = current.join(latest.select([field(k) for k in keys]), keys, "left_anti").unionByName(upserts)
+        named = [field(k) for k in keys]
+        marks = read_marks(spark, now, touched if bucketed and same_buckets(now) else None)
+        if marks is not None:
+            kinds = {f.name: f.dataType for f in marks.schema[_ORDER].dataType}
+            latest_order = F.struct(*[field(o).cast(kinds[o]).alias(o) for o in order])
+        else:
+            latest_order = F.struct(*[field(o) for o in order])
+        dated = latest.withColumn(_ORDER, latest_order)
+        if marks is None:
+            marks = spark.createDataFrame([], dated.select(*named, _ORDER).schema)
+        met = marks.join(latest.select(*named), keys, "left_semi")
+        if set(order) <= set(types):
+            own = F.struct(*[field(o) for o in order]).cast(dated.schema[_ORDER].dataType).alias(_ORDER)
+            rows = current.join(latest.select(*named), keys, "left_semi").select(*named, own)
+            met = met.unionByName(rows).groupBy(*named).agg(F.max(_ORDER).alias(_ORDER))
+        known = met.withColumnRenamed(_ORDER, "__known")
+        newer = dated.join(known, keys, "left").filter(F.col("__known").isNull() | (F.col(_ORDER) >= F.col("__known"))).drop("__known")
+        newer = materialize(newer, "newer")
+        upserts = newer.filter(F.col(op) == "upsert").select([field(c) for c in current.columns])
+        result = current.join(newer.select(*named), keys, "left_anti").unionByName(upserts)
+        orders = marks.join(newer.select(*named), keys, "left_anti").unionByName(newer.select(*named, _ORDER))
         if bucketed:
-            republish(result, base, name, touched, tags={mark: batch_id})
+            republish(result, base, name, touched, tags={mark: batch_id}, marks=orders)
         else:
-            publish(result, base, name, tags={mark: batch_id}, keys=now.keys, buckets=now.buckets)
+            publish(result, base, name, tags={mark: batch_id}, keys=now.keys, buckets=now.buckets, marks=orders)
         discard(latest)
+        discard(newer)
 
     return run
 
