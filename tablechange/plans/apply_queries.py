@@ -14,7 +14,7 @@ from tablechange.plans import fixtures as fx
 from tablechange.plans.change_queries import CHANGES, KEY, PAIR, order_changes_set, order_schema_changes
 from tablechange.plans.registry import TABLES, query, register_tables, table
 from tablechange.session import scratch_path
-from tablechange.sources.inventory import field_inventory, file_schema_inventory, list_files, schema_inventory, with_row_counts
+from tablechange.sources.inventory import field_inventory, file_inventory, file_schema_inventory, list_files, schema_inventory, with_file_row_counts
 from tablechange.sources.publish import (
     PublishError,
     create_dataset,
@@ -46,7 +46,7 @@ SPARK_TYPES = """WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VAR
 @query("schema_inventory", _described(SPARK_TYPES))
 def q_inventory(spark: SparkSession, sf: str) -> DataFrame:
     found = schema_inventory(spark, {t: f"{sf}/{t}.parquet" for t in TABLES}).drop("nullable")
-    return with_row_counts(found, {t: table(spark, sf, t) for t in TABLES})
+    return with_file_row_counts(found, sf, r"/([a-z]+)\.parquet(?:/[^/]*)?$")
 
 
 ARROW_NAMES = """WHEN 'INTEGER' THEN 'int32' WHEN 'BIGINT' THEN 'int64' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
@@ -65,6 +65,24 @@ def q_files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _values(t: str) -> str:
+    return f"""SELECT '{t}' AS dataset, (SELECT count(*) FROM {t}) AS num_rows, "column", n_values FROM (
+      UNPIVOT (SELECT count(COLUMNS('(.*)')) AS "\\1" FROM {t}) ON COLUMNS(*) INTO NAME "column" VALUE n_values)"""
+
+
+@query(
+    "file_inventory",
+    f"""WITH v AS ({" UNION ALL ".join(map(_values, TABLES))}), d AS (SELECT DISTINCT dataset, num_rows FROM v), c AS (SELECT DISTINCT "column" FROM v)
+    SELECT dataset, "column", num_rows, coalesce(n_values, 0) AS n_values, n_values IS NULL AS missing
+    FROM d CROSS JOIN c LEFT JOIN v USING (dataset, "column", num_rows)""",
+)
+def q_file_values(spark: SparkSession, sf: str) -> DataFrame:
+    """All test tables as files that drifted apart: which column has how many values in which file."""
+    found = file_inventory(list_files(spark, sf))
+    name = F.regexp_extract("file", r"([^/]+)\.parquet(?:/[^/]*)?$", 1).alias("dataset")
+    return found.groupBy(name, "column").agg(F.sum("num_rows").alias("num_rows"), F.sum("n_values").alias("n_values"), F.every("missing").alias("missing"))
+
+
 @query(
     "field_inventory",
     f"""WITH f AS (SELECT event_type, props, unnest(json_keys(props)) AS field FROM ({fx.EVENTS_DRIFTED}))

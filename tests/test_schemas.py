@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,16 @@ from tablechange.operators.schemas import (
     rename_column,
     retype_column,
 )
-from tablechange.sources.inventory import catalog_inventory, field_inventory, file_schema_inventory, frame_inventory, list_files, schema_inventory
+from tablechange.sources.inventory import (
+    catalog_inventory,
+    field_inventory,
+    file_inventory,
+    file_schema_inventory,
+    frame_inventory,
+    list_files,
+    schema_inventory,
+    with_file_row_counts,
+)
 
 
 def inventory(spark, tables):
@@ -110,6 +121,34 @@ def test_file_inventory_shows_drift(spark, tmp_path):
     assert schema_inventory(spark, {"one": str(tmp_path / "d/p=1")}).count() == 2
 
 
+def test_file_inventory_counts_values_and_shows_missing_columns(spark, tmp_path):
+    root = str(tmp_path / "d")
+    for part, rows, schema in (
+        ("p=1", [(1, "a"), (2, None)], "id int, v string"),
+        ("p=2", [("b", 3, 1.5)], "v string, id int, `w x` double"),
+        ("p=3", [(4, None)], "id int, v string"),
+        ("p=4", [(5, [1])], "id bigint, v array<int>"),
+        ("p=5", [], "id int, v string"),
+    ):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{root}/{part}")
+    files = list_files(spark, root)
+    got = {(re.search("p=(.)", r["file"]).group(1), r["column"]): tuple(r)[1:2] + tuple(r)[3:] for r in file_inventory(files.union(files)).collect()}
+    assert got.pop(("5", None)) == (None, None, 0, None, None)
+    assert got == {
+        ("1", "id"): (1, "int", 2, 2, False), ("1", "v"): (2, "string", 2, 1, False), ("1", "w x"): (None, "double", 2, 0, True),
+        ("2", "v"): (1, "string", 1, 1, False), ("2", "id"): (2, "int", 1, 1, False), ("2", "w x"): (3, "double", 1, 1, False),
+        ("3", "id"): (1, "int", 1, 1, False), ("3", "v"): (2, "string", 1, 0, False), ("3", "w x"): (None, "double", 1, 0, True),
+        ("4", "id"): (1, "bigint", 1, 1, False), ("4", "v"): (2, "array<int>", 1, 1, False), ("4", "w x"): (None, "double", 1, 0, True),
+    }
+    assert file_inventory(files.limit(0)).count() == 0
+    odd = str(tmp_path / "odd")
+    spark.range(3).coalesce(1).write.parquet(f"{odd}/a b%20=c+d")
+    assert [(r["n_values"], "a b%20=c+d/" in r["file"]) for r in file_inventory(list_files(spark, odd)).collect()] == [(3, True)]
+    names = spark.createDataFrame([("p=1",), ("p=4",), ("none",)], "dataset string")
+    counted = with_file_row_counts(names, root, "/(p=.)/").collect()
+    assert {r["dataset"]: r["num_rows"] for r in counted} == {"p=1": 2, "p=4": 1, "none": None}
+
+
 def test_catalog_inventory(spark):
     spark.createDataFrame([(1,)], "id int").createOrReplaceTempView("seen_here")
     got = [tuple(r)[:4] for r in catalog_inventory(spark).filter("dataset = 'seen_here'").collect()]
