@@ -141,7 +141,7 @@ def changed(old: DataFrame, new: DataFrame, keys: list[str], attrs: list[str] |
     )
 
 
-def _digest(df: DataFrame, attrs: list[str]) -> Column:
+def row_digest(df: DataFrame, attrs: list[str]) -> Column:
     """128 bits over the attributes; the second half is seeded by the first."""
     cells = []
     for a in attrs:
@@ -153,8 +153,8 @@ def _digest(df: DataFrame, attrs: list[str]) -> Column:
 
 def _keep_differing(old: DataFrame, new: DataFrame, keys: list[str], attrs: list[str]) -> tuple[DataFrame, DataFrame]:
     """Only the rows whose key is new, gone, or carries another digest."""
-    o = old.select(*[field(k) for k in keys], _digest(old, attrs).alias("__o"))
-    n = new.select(*[field(k) for k in keys], _digest(new, attrs).alias("__n"))
+    o = old.select(*[field(k) for k in keys], row_digest(old, attrs).alias("__o"))
+    n = new.select(*[field(k) for k in keys], row_digest(new, attrs).alias("__n"))
     touched = o.join(n, keys, "full_outer").filter(~F.col("__o").eqNullSafe(F.col("__n"))).select(*[field(k) for k in keys])
     # written once: its size is then known, so a small set is broadcast to both sides and the rows
     # of neither are shuffled before they are filtered

@@ -31,6 +31,8 @@ from tablechange.operators.matching import diff_with_renames, fold_renames, matc
 from tablechange.operators.schemas import diff_schemas
 from tablechange.plans import fixtures as fx
 from tablechange.plans.registry import query, table
+from tablechange.session import scratch_path
+from tablechange.sources.hashtree import LEAF_ROWS, diff_hashed, differing_leaves, load_hash_tree, rows_of_leaves, save_hashed_snapshot
 from tablechange.sources.inventory import field_inventory, frame_inventory
 
 KEY = ["o_orderkey"]
@@ -472,3 +474,51 @@ def q_render_schema(spark: SparkSession, sf: str) -> DataFrame:
 @query("pull_back", f"{PAIR} SELECT * FROM n UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE o.o_orderkey = n.o_orderkey)")
 def q_pull_back(spark: SparkSession, sf: str) -> DataFrame:
     return pull_back(fx.orders_new(spark, sf), fx.orders_old(spark, sf), order_changes_set(spark, sf), KEY)
+
+
+# two versions that differ in a few rows of a thousand, compared by their hash trees
+
+SPARSE_NEW = """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 1000 = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+  o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey % 1000 <> 7"""
+
+
+def _sparse_trees(spark: SparkSession, sf: str) -> str:
+    path, key = scratch_path(spark, "hashed"), F.col("o_orderkey") % 1000
+    orders = table(spark, sf, "orders")
+    save_hashed_snapshot(orders.filter(key != 9), path, 1, KEY)
+    new = orders.filter(key != 7).withColumn("o_orderstatus", F.when(key == 5, "X").otherwise(F.col("o_orderstatus")))
+    save_hashed_snapshot(new, path, 2, KEY, like=1)
+    return path
+
+
+@query(
+    "diff_hash_tree",
+    f"""WITH o AS (SELECT * FROM orders WHERE o_orderkey % 1000 <> 9), n AS ({SPARSE_NEW})
+    SELECT 'create' AS kind, CAST(o_orderkey AS VARCHAR) AS key, NULL AS "column", NULL AS was, NULL AS now FROM n ANTI JOIN o USING (o_orderkey)
+    UNION ALL SELECT 'drop', CAST(o_orderkey AS VARCHAR), NULL, NULL, NULL FROM o ANTI JOIN n USING (o_orderkey)
+    UNION ALL SELECT 'change', CAST(o_orderkey AS VARCHAR), 'o_orderstatus', o.o_orderstatus, n.o_orderstatus FROM o JOIN n USING (o_orderkey)
+      WHERE o.o_orderstatus <> n.o_orderstatus""",
+)
+def q_hash_tree(spark: SparkSession, sf: str) -> DataFrame:
+    found = diff_hashed(spark, _sparse_trees(spark, sf), 1, 2)
+    one = F.col("kind") == "change"  # whole rows of creates and drops are covered by diff_full
+    return found.select("kind", "key", "column", F.when(one, F.col("old_value")).alias("was"), F.when(one, F.col("new_value")).alias("now"))
+
+
+@query(
+    "hash_tree_leaves",
+    f"""WITH o AS (SELECT * FROM orders WHERE o_orderkey % 1000 <> 9), n AS ({SPARSE_NEW}), t AS (
+      SELECT o_orderkey FROM ((SELECT * FROM o) EXCEPT (SELECT * FROM n)) UNION SELECT o_orderkey FROM ((SELECT * FROM n) EXCEPT (SELECT * FROM o)))
+    SELECT count(*) AS changed, true AS covered, true AS few FROM t""",
+)
+def q_hash_tree_leaves(spark: SparkSession, sf: str) -> DataFrame:
+    """Changed keys, whether the leaves that differ hold all of them, and whether these leaves hold at most
+    ``LEAF_ROWS`` rows and as many again for each, which is what a diff reads."""
+    path = _sparse_trees(spark, sf)
+    old, new = (load_hash_tree(spark, path, v) for v in (1, 2))
+    leaves = differing_leaves(spark, old, new)
+    read = rows_of_leaves(spark, old, leaves).select(*KEY).unionByName(rows_of_leaves(spark, new, leaves).select(*KEY)).distinct()
+    changes = diff(old.rows(spark).drop("__leaf"), new.rows(spark).drop("__leaf"), KEY).select(F.col("key").cast("long").alias("o_orderkey")).distinct()
+    both = changes.join(read.withColumn("r", F.lit(1)), KEY, "full_outer").join(changes.withColumn("c", F.lit(1)), KEY, "left")
+    changed = F.count("c")
+    return both.agg(changed.alias("changed"), (F.count(F.when(F.col("r").isNull(), 1)) == 0).alias("covered"), (F.count("r") <= 2 * LEAF_ROWS * changed).alias("few"))
