@@ -59,6 +59,12 @@ def bare_type(text: str) -> str:
     return text.removesuffix(" NOT NULL")
 
 
+def _no_matches(inventory: DataFrame, group: list[str]) -> DataFrame:
+    """What ``match_names`` gives where there is nothing to match."""
+    names = ", ".join(f"{g} string" for g in [*group, "old_name", "new_name"])
+    return inventory.sparkSession.createDataFrame([], f"{names}, score double")
+
+
 def diff_schemas(
     old_inv: DataFrame, new_inv: DataFrame, threshold: float = THRESHOLD, compare_nullable: bool = False, **weights
 ) -> DataFrame:
@@ -77,10 +83,21 @@ def diff_schemas(
     both = materialize(sides[0].unionByName(sides[1]), "inventory")
     old_inv, new_inv = both.filter("side = 'old'").drop("side"), both.filter("side = 'new'").drop("side")
 
+    # one job says which of the steps below have anything to do
+    old_here, new_here = (F.max(F.when(F.col("side") == s, 1).otherwise(0)) for s in ("old", "new"))
+    by_column = both.groupBy("dataset", "column").agg(old_here.alias("o"), new_here.alias("n"))
+    by_set = by_column.groupBy("dataset").agg(F.max("o").alias("so"), F.max("n").alias("sn"), F.max(F.col("o") > F.col("n")).alias("lost"), F.max(F.col("n") > F.col("o")).alias("gained"))
+    shared = (F.col("so") == 1) & (F.col("sn") == 1)
+    found = by_set.agg(
+        F.coalesce(F.max(F.col("so") > F.col("sn")), F.lit(False)), F.coalesce(F.max(F.col("sn") > F.col("so")), F.lit(False)),
+        F.coalesce(F.max(shared & F.col("lost")), F.lit(False)), F.coalesce(F.max(shared & F.col("gained")), F.lit(False)),
+    ).first()
+
     # datasets
     old_sets, new_sets = old_inv.select("dataset").distinct(), new_inv.select("dataset").distinct()
     gone, come = dropped(old_sets, new_sets, ["dataset"]), created(old_sets, new_sets, ["dataset"])
-    moved = match_names(gone, come, None, threshold, name="dataset", **weights)
+    may_move = found[0] and found[1]
+    moved = match_names(gone, come, None, threshold, name="dataset", **weights) if may_move else _no_matches(both, [])
 
     def listing(inv: DataFrame, sets: DataFrame) -> DataFrame:
         # the column list is bounded by the width of one dataset
@@ -103,7 +120,9 @@ def diff_schemas(
     shared = was.select("scope").distinct().join(now.select("scope").distinct(), "scope", "left_semi")
     was, now = was.join(shared, "scope", "left_semi"), now.join(shared, "scope", "left_semi")
     lost, gained = dropped(was, now, ["scope", "name"]), created(was, now, ["scope", "name"])
-    renamed = match_names(lost, gained, "scope", threshold, **weights)
+    # under renamed datasets any column may have been renamed too
+    may_rename = may_move or (found[2] and found[3])
+    renamed = match_names(lost, gained, "scope", threshold, **weights) if may_rename else _no_matches(both, ["scope"])
     adds = gained.select(F.lit("add_column").alias("kind"), "scope", F.col("name").alias("key"), F.col("type").alias("new_value"))
     drops = lost.select(F.lit("drop_column").alias("kind"), "scope", F.col("name").alias("key"), F.col("type").alias("old_value"))
     columns = fold_renames(

@@ -9,6 +9,7 @@ from tablechange.functions.text import canonical_text, fingerprint, interpolate
 from tablechange.operators.diff import diff
 from tablechange.operators.merge import apply_changes, apply_until_stable
 from tablechange.operators.models import build_functions, build_models
+from tablechange.operators.nested import diff_nested_schemas, evolve_nested
 from tablechange.operators.schemas import add_column, drop_column, evolve, rename_column, retype_column
 from tablechange.plans import fixtures as fx
 from tablechange.plans.change_queries import CHANGES, KEY, PAIR, order_changes_set, order_schema_changes
@@ -322,3 +323,40 @@ def q_function(spark: SparkSession, sf: str) -> DataFrame:
         """SELECT l_orderkey, l_linenumber, net_of(l_extendedprice, l_discount) AS net,
         gross_of(l_extendedprice, l_discount, l_tax) AS gross FROM lineitem"""
     )
+
+
+# nested columns: orders with their items
+
+NESTED_NEW = """o_orderkey bigint, header struct<status_code:string,total:decimal(18,2),channel:string>,
+  items array<struct<line:bigint,quantity:double,returned_flag:string,taxes:map<string,struct<rate:decimal(4,2)>>>>"""
+
+
+def _nested_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Each order as one row with a struct of its own and an array of its items (a few each)."""
+    taxes = F.create_map(F.col("l_linestatus"), F.struct(F.col("l_tax").alias("rate"), F.col("l_shipdate").alias("since")))
+    item = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_returnflag").alias("return_flag"), taxes.alias("taxes"))
+    items = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.collect_list(item).alias("items"))
+    head = F.struct(F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("total"))
+    return table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 3, head).alias("head")).join(items, "o_orderkey", "left")
+
+
+def _nested_changes(spark: SparkSession, old: DataFrame):
+    new = spark.createDataFrame([], NESTED_NEW).schema
+    return diff_nested_schemas(spark, {"orders": old.schema}, {"orders": new}), new
+
+
+@query(
+    "evolve_nested",
+    """WITH i AS (SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS line, l_quantity AS quantity, l_returnflag AS returned_flag, l_linestatus AS status, CAST(l_tax AS DECIMAL(4, 2)) AS rate FROM lineitem)
+    SELECT o_orderkey, o_orderkey % 10 <> 3 AS has_header, CASE WHEN o_orderkey % 10 <> 3 THEN o_orderstatus END AS status_code,
+      CASE WHEN o_orderkey % 10 <> 3 THEN CAST(o_totalprice AS DECIMAL(18, 2)) END AS total, CAST(NULL AS VARCHAR) AS channel, line, quantity, returned_flag, status, rate
+    FROM orders LEFT JOIN i ON l_orderkey = o_orderkey""",
+)
+def q_evolve_nested(spark: SparkSession, sf: str) -> DataFrame:
+    old = _nested_orders(spark, sf)
+    changes, new = _nested_changes(spark, old)
+    rows = evolve_nested(old, changes, "orders", new, force_drop=True)
+    if rows.schema.simpleString() != new.simpleString():
+        raise AssertionError(rows.schema.simpleString())
+    flat = rows.select("o_orderkey", F.col("header").isNotNull().alias("has_header"), "header.*", F.explode_outer("items").alias("i"))
+    return flat.select("o_orderkey", "has_header", "status_code", "total", "channel", "i.line", "i.quantity", "i.returned_flag", F.explode_outer("i.taxes").alias("status", "t")).select("*", "t.rate").drop("t")
