@@ -4,115 +4,139 @@ First links come from SimHash fingerprints, whose BK-trees find the closest copi
 alone miss most pairs at this similarity, so the rest is found by prefixes: under one order of all
 shingles, two sets that are similar enough share one of the first ``n - ceil(4 n / 5) + 1`` shingles
 of each. The order puts shingles that are common in a sample last; any order is right, it
-only decides how many candidates there are. Every link is confirmed on the shingles themselves.
+only decides how many candidates there are. Where a shared shingle stands says how much two sets can
+have in common from there on; a pair that cannot reach the similarity by that is no candidate. So long
+passages that many texts share do not bring these texts together. Every link is confirmed on the
+shingles themselves, which are computed again for candidates only instead of being stored for all.
 
 Candidates are not built within texts already linked: each shared shingle first links its texts to
-one of them, in ``STARS`` rounds, and only texts still apart are then paired.
+one of them, and only texts still apart are then paired.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from tablechange.llm.bpe import _slices
 from tablechange.llm.components import components
 from tablechange.llm.exact_dedup import normalised
-from tablechange.llm.simhash import _shingle_hashes, near_links, simhash_fingerprints
+from tablechange.llm.simhash import _pieces, _shingle_hashes, near_links
 from tablechange.session import discard, materialize
 
-WIDTH, LEAST, STARS, SAMPLE = 5, (4, 5), 2, 4000
+WIDTH, LEAST, SAMPLE, COMMON = 5, (4, 5), 4000, 200_000
+SLICE_BYTES = 1 << 20
 
 
-def shingle_sets(docs: DataFrame, text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``(node, n, hashes)`` per row: a hash of the normalised text, and its distinct shingles. Words
-    are those of ``simhash_fingerprints``; texts without words have one shingle of their own."""
-    rows = docs.select(F.xxhash64(normalised(F.col(text_col))).alias("node"), F.encode(normalised(F.col(text_col)), "UTF-8").alias("__text"))
+def _rows(docs: DataFrame, text_col: str) -> DataFrame:
+    """``(node, __text)``: a hash of the normalised text, and the text in UTF-8."""
+    text = normalised(F.col(text_col))
+    return docs.select(F.xxhash64(text).alias("node"), F.encode(text, "UTF-8").alias("__text"))
+
+
+def _sets(batch: pa.RecordBatch, width: int):
+    """The nodes and distinct shingles of a batch of ``_rows``, a bounded amount of text at a time."""
+    for start, stop in _slices(batch, 1, SLICE_BYTES):
+        texts = batch.column(1)[start:stop]
+        # texts without words have one shingle of their own
+        yield batch.column(0)[start:stop], [np.unique(np.array(_shingle_hashes(t.as_py(), width) or [0], np.uint64)).view(np.int64) for t in texts]
+
+
+def shingle_sets(rows: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``(node, n, hashes)`` of ``(node, __text)``: the distinct shingles. Words are those of ``simhash_fingerprints``."""
 
     def run(batches):
         for b in batches:
-            sets = [np.unique(np.array(_shingle_hashes(t.as_py(), width) or [0], np.uint64)).view(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "hashes"])
+            for nodes, sets in _sets(b, width):
+                yield pa.RecordBatch.from_arrays([nodes, pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "hashes"])
 
     return rows.mapInArrow(run, "node long, n int, hashes array<long>")
 
 
-def _prefixes(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """``(key, node, n)``: the first shingles of each set, the rare ones of a sample before the others."""
+def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several texts of a sample hold, at most ``COMMON`` of them, and how many do."""
+    step = max(1, rows.count() // SAMPLE)
+    some = shingle_sets(rows.filter(F.pmod("node", F.lit(step)) == 0).dropDuplicates(["node"]), width).select(F.explode("hashes").alias("h"))
+    often = sorted(some.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect())
+    return np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64)
+
+
+def signatures(rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
+    """``(node, n, fp, keys)`` per text: the number of its shingles, their SimHash, and the first of them, in
+    order; shingles that are rare in a sample stand before the others."""
     p, q = least
-    step = max(1, sets.count() // SAMPLE)
-    often = sets.filter(F.pmod("node", F.lit(step)) == 0).select("node", "hashes").dropDuplicates(["node"]).select(F.explode("hashes").alias("h")).groupBy("h").count().filter("count > 2").collect()
-    often.sort()
-    given = sets.sparkSession.sparkContext.broadcast((np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64)))
+    given = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
 
     def run(batches):
         known, counts = given.value
         for b in batches:
-            keys, nodes, sizes = [], [], []
-            for node, n, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                h = hashes.values.to_numpy()
-                first = n - -(-p * n // q) + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
-                keys.append(h[:first])
-                nodes.append(np.full(first, node))
-                sizes.append(np.full(first, n, np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes)], names=["key", "node", "n"])
-
-    return sets.mapInArrow(run, "key long, node long, n int")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough."""
+            for nodes, sets in _sets(b, width):
+                sizes = np.array([len(s) for s in sets], np.int64)
+                fps = _pieces(np.concatenate(sets).view(np.uint64), sizes)
+                keys = []
+                for h, n in zip(sets, sizes.tolist()):
+                    if len(known):
+                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                        h = h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
+                    keys.append(h[: n - -(-p * n // q) + 1])
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes, pa.int32()), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "fp", "keys"])
+
+    return rows.mapInArrow(run, "node long, n int, fp long, keys array<long>")
+
+
+def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough. Texts are looked at again only if they are in one."""
     p, q = least
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    used = sets.join(needed, "node", "left_semi").dropDuplicates(["node"])
+    needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
+    used = materialize(shingle_sets(rows.join(needed, "node", "left_semi"), width).dropDuplicates(["node"]), "sets")
     both = pairs.join(used.toDF("a", "na", "ha"), "a").join(used.toDF("b", "nb", "hb"), "b")
     common = F.size(F.array_intersect("ha", "hb"))
     out = materialize(both.filter(common * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b"), "links")
-    discard(pairs)
+    for df in (pairs, needed, used):
+        discard(df)
     return out
 
 
+def _may_reach(least: tuple[int, int]) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles that share those at places ``i`` and ``j`` can be similar enough, if
+    they share none before."""
+    p, q = least
+    return (1 + F.least(F.col("n") - 1 - F.col("i"), F.col("m") - 1 - F.col("j"))) * (p + q) >= (F.col("n") + F.col("m")) * p
+
+
 def similar_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:
     """``(a, b)``: confirmed links between text hashes that connect all texts with a similarity of at
     least ``least`` (a fraction), directly or over steps."""
-    p, q = least
-    sets = materialize(shingle_sets(docs, text_col, width), "sets")
-    fps = materialize(simhash_fingerprints(docs.select(F.xxhash64(normalised(F.col(text_col))).alias("node"), F.col(text_col)), "node", text_col, width).distinct(), "fingerprints")
+    texts = _rows(docs, text_col)
+    found = materialize(signatures(texts, width, least), "signatures")
+    fps = found.select("node", "fp").distinct()
     heads = fps.groupBy("fp").agg(F.min("node").alias("head"))
     near = near_links(heads.select("fp"))
     ends = [heads.toDF(fp, node) for fp, node in (("a", "x"), ("b", "y"))]
     first = near.join(ends[0], "a").join(ends[1], "b").select("x", "y").union(fps.join(heads, "fp").select("head", "node"))
-    links = _confirmed(first.toDF("a", "b"), sets, least)
-
-    rows = materialize(_prefixes(sets, least), "prefixes")
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
-    shared = materialize(rows.join(shared, "key").distinct(), "shared")
-    discard(rows)
-    close = F.least("n", "m") * q >= F.greatest("n", "m") * p
-
-    def labelled() -> DataFrame:
-        """The shared shingles of more than one class, with the class of each text."""
-        classes = components(links).toDF("node", "class")
-        every = shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        open_ = every.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
-        return materialize(every.join(open_, "key"), "labelled")
-
-    for k in range(STARS):
-        every = labelled()
-        stars = every.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("m"), F.col("class").alias("other")), F.xxhash64("node", F.lit(k))).alias("c")).select("key", "c.*")
-        links = links.union(_confirmed(every.join(stars, "key").filter(close & (F.col("class") != F.col("other"))).select("a", F.col("node").alias("b")), sets, least))
-        discard(every)
-    every = labelled()
-    right = every.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("class").alias("other"))
-    links = links.union(_confirmed(every.join(right, "key").filter(close & (F.col("class") < F.col("other"))).select("a", F.col("node").alias("b")), sets, least))
-    for df in (every, shared, sets, fps):
+
+    rows = found.select("node", "n", F.posexplode("keys").alias("i", "key"))
+    several = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high").select("key")
+    shared = materialize(rows.join(several, "key").distinct(), "shared")
+    star = F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j")), F.struct("i", F.xxhash64("node")))
+    stars = shared.groupBy("key").agg(star.alias("c")).select("key", "c.*")
+    linked = shared.join(stars, "key").filter(_may_reach(least)).select("a", F.col("node").alias("b"))
+    links = _confirmed(first.toDF("a", "b").union(linked), texts, width, least)
+
+    # only shingles that texts of more than one class share are paired
+    classes = components(links).toDF("node", "class")
+    every = shared.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    every = materialize(every, "labelled")
+    apart = every.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low != high").select("key")
+    left = materialize(every.join(apart, "key"), "apart")
+    right = left.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("class").alias("other"))
+    pairs = left.join(right, "key").filter((F.col("class") < F.col("other")) & _may_reach(least)).select("a", F.col("node").alias("b"))
+    more = _confirmed(pairs, texts, width, least)
+    for df in (every, left, shared, found):
         discard(df)
-    return links
+    return links.union(more)
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, least: tuple[int, int] = LEAST) -> DataFrame:

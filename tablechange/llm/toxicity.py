@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from tablechange.session import discard, materialize
 
@@ -242,15 +242,14 @@ def score_toxicity(
     gives no rows.
     """
     given = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs if keep_columns else docs.select(F.col(id_col), F.col(text_col))
-    rows = kept.withColumn("__whole", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    schema = T.StructType([*kept.schema.fields, T.StructField("__score", T.DoubleType())])
 
-    def run(batches):
-        for b in batches:
-            # one text at a time leaves memory bounded whatever the length
-            scores = pa.array([given.value.score(t.as_py()) for t in b.column(b.num_columns - 1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], scores], names=[f.name for f in schema.fields])
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        # one text at a time leaves memory bounded whatever the length
+        return pa.array([given.value.score(t.as_py()) for t in texts], pa.float64())
 
-    scored = rows.mapInArrow(run, schema).withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
+    # only the text goes to Python, and only the score comes back
+    kept = docs if keep_columns else docs.select(F.col(id_col), F.col(text_col))
+    scored = kept.withColumn("__score", score(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    scored = scored.withColumn("__predicted", (F.col("__score") >= threshold).cast("int"))
     return scored if keep_columns else scored.select(F.col(id_col), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
