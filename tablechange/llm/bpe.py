@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_KEEP_WORDS, _KEEP_CHARS = 600_000, 48 << 20
+_KEEP_WORDS, _KEEP_CHARS = 400_000, 32 << 20
 SLICE_CHARS = 1 << 20
 # Fixed values of the vocabulary's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -76,6 +76,8 @@ class PairIndexBPE:
         letters = byte_letters()
         self.inner = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
+        # one number object per id: the kept words share them
+        self.numbers = np.arange(max(self.token) + 1).astype(object)
         self.merges = []
         self.rank = {}
         for a, b in model["merges"]:
@@ -147,7 +149,7 @@ class PairIndexBPE:
                             heapq.heappush(active, q)
         codes = np.array(symbols, np.int64)
         left = np.concatenate([[0], np.cumsum(codes >= 0)])
-        bounds, kept = left[ends].tolist(), codes[codes >= 0].tolist()
+        bounds, kept = left[ends].tolist(), self.numbers[codes[codes >= 0]].tolist()
         return [kept[a:b] for a, b in zip([0, *bounds], bounds)]
 
     def _occurrences(self, symbols: np.ndarray, starts: np.ndarray) -> dict[int, list[int]]:
