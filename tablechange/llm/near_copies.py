@@ -85,20 +85,34 @@ def signatures(rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame
     return rows.mapInArrow(run, "node long, n int, fp long, keys array<long>")
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough. Texts are looked at again only if they are in one."""
+def _confirmed(pairs: DataFrame, found: DataFrame, rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough.
+
+    The signatures throw most of the others out: of the text whose last key comes first in the order, nothing
+    but the shingles behind its keys can be shared beyond the shared keys. Only texts of the pairs that
+    are left are looked at again.
+    """
     p, q = least
+    enough = (F.col("na") + F.col("nb")) * p
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct(), "pairs")
-    needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
-    used = materialize(shingle_sets(rows.join(needed, "node", "left_semi"), width).dropDuplicates(["node"]), "sets")
-    both = pairs.join(used.toDF("a", "na", "ha"), "a").join(used.toDF("b", "nb", "hb"), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    out = materialize(both.filter(common * (p + q) >= (F.col("na") + F.col("nb")) * p).select("a", "b"), "links")
-    for df in (pairs, needed, used):
+    held = found.select("node", "n", "keys").join(_ends(pairs), "node", "left_semi").dropDuplicates(["node"])
+    both = pairs.join(held.toDF("a", "na", "ka"), "a").join(held.toDF("b", "nb", "kb"), "b")
+    behind = F.greatest(F.col("na") - F.size("ka"), F.col("nb") - F.size("kb"))
+    likely = materialize(both.filter((F.size(F.array_intersect("ka", "kb")) + behind) * (p + q) >= enough).select("a", "b"), "likely")
+    needed = materialize(_ends(likely), "needed")
+    # one text of each hash, before its shingles are made
+    used = materialize(shingle_sets(rows.join(needed, "node", "left_semi").dropDuplicates(["node"]), width), "sets")
+    both = likely.join(used.toDF("a", "na", "ha"), "a").join(used.toDF("b", "nb", "hb"), "b")
+    out = materialize(both.filter(F.size(F.array_intersect("ha", "hb")) * (p + q) >= enough).select("a", "b"), "links")
+    for df in (pairs, likely, needed, used):
         discard(df)
     return out
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
 def _may_reach(least: tuple[int, int]) -> Column:
     """Whether sets of ``n`` and ``m`` shingles that share those at places ``i`` and ``j`` can be similar enough, if
     they share none before."""
@@ -123,7 +137,7 @@ def similar_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, l
     star = F.min_by(F.struct(F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j")), F.struct("i", F.xxhash64("node")))
     stars = shared.groupBy("key").agg(star.alias("c")).select("key", "c.*")
     linked = shared.join(stars, "key").filter(_may_reach(least)).select("a", F.col("node").alias("b"))
-    links = _confirmed(first.toDF("a", "b").union(linked), texts, width, least)
+    links = _confirmed(first.toDF("a", "b").union(linked), found, texts, width, least)
 
     # only shingles that texts of more than one class share are paired
     classes = components(links).toDF("node", "class")
@@ -133,7 +147,7 @@ def similar_links(docs: DataFrame, text_col: str = "text", width: int = WIDTH, l
     left = materialize(every.join(apart, "key"), "apart")
     right = left.select("key", F.col("node").alias("a"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("class").alias("other"))
     pairs = left.join(right, "key").filter((F.col("class") < F.col("other")) & _may_reach(least)).select("a", F.col("node").alias("b"))
-    more = _confirmed(pairs, texts, width, least)
+    more = _confirmed(pairs, found, texts, width, least)
     for df in (every, left, shared, found):
         discard(df)
     return links.union(more)
