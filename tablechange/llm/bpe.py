@@ -24,7 +24,7 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_KEEP_WORDS, _KEEP_CHARS = 400_000, 32 << 20
+_KEEP_WORDS, _KEEP_CHARS = 250_000, 24 << 20
 SLICE_CHARS = 1 << 20
 # Fixed values of the vocabulary's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
