@@ -4,6 +4,7 @@ predecessor kept. Stages are written as Parquet and read again."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -17,6 +18,24 @@ from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.session import materialize, scratch_path
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _stage(fn: Stage) -> Stage:
+    """Whole texts go to Python in batches of 1,000, unless the session names a size: the 10,000 that Spark takes
+    by itself are held several times by each task, which is hundreds of MB for long texts."""
+
+    @wraps(fn)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH, None) is None:
+            spark.conf.set(BATCH, "1000")
+        return fn(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on labels of ids not held out, does not call toxic."""
     model = train_toxicity(docs, may_learn(table(spark, sf_dir, "labels")))
@@ -24,12 +43,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+@_stage
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows with equal texts one stays, with the largest id."""
     kept = exact_dedup(docs, keep="largest").filter("kept").select("doc_id", F.unhex("text_sha256").alias("sha"))
     return _one_each(docs, kept)
 
 
+@_stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by a Jaccard similarity of 4/5 over five-word shingles one stays, with the smallest
     id; of several texts with that id the one with the smallest hash."""
@@ -38,14 +59,17 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return _one_each(docs, found.join(owners, ["class", "node"]).select("doc_id", F.col("node").alias("sha")), _node)
 
 
+@_stage
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents resampled so that the languages' expected shares of tokens match the targets."""
     return mix(docs, labelled_domains(spark, sf_dir), TARGETS)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and the text they decode to."""
-    return bpe_encode(docs.select("doc_id", "text"), vocabulary_path(), decoded_col="decoded").select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
+    found = bpe_encode(docs, vocabulary_path(), decoded_col="decoded", keep=["doc_id"])
+    return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decoded")
 
 
 def _sha(text: Column) -> Column:
@@ -67,7 +91,7 @@ def _one_each(docs: DataFrame, owners: DataFrame, digest: Callable[[Column], Col
     return (one if many is None else one.union(many)).select(*docs.columns)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+STAGES: list[tuple[str, Stage]] = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
     ("SimHash near-dedup", drop_near_copies),
