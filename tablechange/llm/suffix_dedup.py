@@ -18,11 +18,13 @@ head, at the precomputed ranks of a pair of cover positions that both suffixes r
 distance (there always is one), and at the tail. So long ties cost a table lookup and memory is
 bounded by the block, however long the repeats are.
 
-Hot anchors. A bucket with more than ``BUCKET_ROWS`` fragments is not put into one task: its suffixes
-are counted by 128-bit hashes with partial aggregates instead. Nothing is capped or left out.
+Hot anchors. Copies of a fragment are added up before it moves, so a passage that very many texts share is
+one row of its bucket. A bucket with more than ``BUCKET_ROWS`` different fragment texts is not put into
+one task: its suffixes are counted by 128-bit hashes with partial aggregates instead. Nothing is
+capped or left out.
 
-What moves: the fragments' hashes twice, whole texts to the places where the ranges of their id
-meet, and the texts of fragments of mixed buckets.
+What moves: the fragments' hashes twice, whole texts to the places where the fragments of their id
+meet, and each fragment text of mixed buckets once.
 """
 
 from __future__ import annotations
@@ -41,7 +43,6 @@ SEGMENT = 1 << 19  # suffixes of a text looked at together
 BLOCK = 400_000  # suffixes sorted together, whole buckets
 BUCKET_ROWS = 30_000
 _POSITION_BITS = 20
-_RANKED = 160  # depth of the cover ranks
 
 
 def difference_cover(period: int) -> list[int]:
@@ -212,8 +213,8 @@ def _with_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``(__id, __th, from, n)``: runs of suffixes of the texts whose first ``width`` bytes are repeated.
-    ``docs`` has ``__id``, ``__th`` (which name a text) and ``__raw`` (its bytes)."""
+    """``(__id, __th, start, runs)``: fragments of the texts, and the runs of their suffixes whose first ``width``
+    bytes are repeated, as ``(off, len)`` from the fragment's start. ``docs`` has ``__id``, ``__th`` (which name a text) and ``__raw`` (its bytes)."""
 
     def cut(batches):
         for b in batches:
@@ -233,14 +234,19 @@ def repeated_ranges(docs: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS)
     pieces = materialize(docs.select("__id", "__th", "__raw").mapInArrow(cut, "__id long, __th long, start int, n int, a long, f long"), "fragments")
     seen = pieces.groupBy("a").agg(F.count("*").alias("rows"), F.min("f").alias("least"), F.max("f").alias("most")).filter("rows > 1")
     # written: the join then has a measured side and can split a hot anchor
-    seen = materialize(seen.select("a", F.when(F.col("least") == F.col("most"), 0).when(F.col("rows") <= bucket_rows, 1).otherwise(2).alias("kind")), "anchors")
-    shared = materialize(pieces.join(seen, "a"), "shared")
-
-    # Texts of fragments in buckets with several fragment texts.
-    mixed = shared.filter("kind > 0")
-    wanted = mixed.groupBy("__id", "__th").agg(F.collect_list(F.struct("start", "n", "a", "f", "kind")).alias("wanted"))
+    seen = materialize(seen.select("a", (F.col("least") != F.col("most")).alias("mixed")), "anchors")
+    shared = materialize(pieces.join(seen, "a"), "shared", replaces=pieces)
+
+    # Buckets with several fragment texts: each text once, with the number of its copies and one place to
+    # read it. Copies are added up before anything moves.
+    mixed = shared.filter("mixed")
+    place = [F.first(c).alias(c) for c in ("__id", "__th", "start", "n")]
+    texts = materialize(mixed.groupBy("a", "f").agg(F.count("*").alias("c"), *place), "texts")
+    large = materialize(texts.groupBy("a").agg(F.count("*").alias("texts")).filter(F.col("texts") > bucket_rows).select("a", F.lit(2).alias("k")), "large")
+    entry = F.struct("start", "n", "a", "f", "c", F.coalesce("k", F.lit(1)).alias("kind"))
+    wanted = texts.join(large, "a", "left").groupBy("__id", "__th").agg(F.collect_list(entry).alias("wanted"))
     full = _with_lists(docs, wanted, "inner")
-    sent = pa.schema([("a", pa.int64()), ("f", pa.int64()), ("text", pa.binary())])
+    sent = pa.schema([("a", pa.int64()), ("f", pa.int64()), ("c", pa.int64()), ("text", pa.binary())])
 
     def take(kind):
         def run(batches):
@@ -252,7 +258,7 @@ def repeated_ranges(docs: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS)
                     for w in lists[i].as_py():
                         if w["kind"] == kind:
                             text = raw[w["start"] : w["start"] + w["n"] + width - 1]
-                            held.append((w["a"], w["f"], text))
+                            held.append((w["a"], w["f"], w["c"], text))
                             size += len(text) + 64
                     if size > 4 << 20:
                         yield _batch(held, sent)
@@ -262,59 +268,60 @@ def repeated_ranges(docs: DataFrame, width: int, bucket_rows: int = BUCKET_ROWS)
 
         return run
 
-    found = pa.schema([("a", pa.int64()), ("f", pa.int64()), ("off", pa.int32()), ("len", pa.int32())])
+    found = pa.schema([("a", pa.int64()), ("f", pa.int64()), ("runs", pa.list_(pa.struct([("off", pa.int32()), ("len", pa.int32())])))])
 
     def sort(batches):
-        block: dict[tuple[int, int], list] = {}
+        block: dict[tuple[int, int], tuple[bytes, int]] = {}
         size, last, held = 0, None, []
         for b in batches:
-            for a, f, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for a, f, c, text in zip(*(b.column(i).to_pylist() for i in range(4))):
                 if size >= BLOCK and a != last:
                     held += _sorted_block(block, width)
                     block, size = {}, 0
                     if len(held) > 8192:
                         yield _batch(held, found)
                         held = []
-                item = block.setdefault((a, f), [text, 0])
-                item[1] += 1
-                size += (len(text) - width + 1) * (item[1] == 1)
+                if (a, f) not in block:  # rows that repeat id and text bring a fragment again
+                    block[a, f] = text, c
+                    size += len(text) - width + 1
                 last = a
         held += _sorted_block(block, width)
         if held:
             yield _batch(held, found)
 
-    columns = full.select("__raw", "wanted")
-    bucketed = columns.mapInArrow(take(1), "a long, f long, text binary").repartition("a").sortWithinPartitions("a", "f")
-    runs = bucketed.mapInArrow(sort, "a long, f long, off int, len int")
+    columns, piece, run_list = full.select("__raw", "wanted"), "a long, f long, c long, text binary", "a long, f long, runs array<struct<off:int,len:int>>"
+    runs = columns.mapInArrow(take(1), piece).repartition("a").sortWithinPartitions("a", "f").mapInArrow(sort, run_list)
 
     def windows(batches):
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part, rows = b.slice(at, 256), []
-                for a, f, text in zip(*(part.column(i).to_pylist() for i in range(3))):
+                for a, f, c, text in zip(*(part.column(i).to_pylist() for i in range(4))):
                     for k in range(len(text) - width + 1):
                         h = xxhash.xxh3_128_intdigest(text[k : k + width])
-                        rows.append((a, f, k, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
+                        rows.append((a, f, c, k, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
                 if rows:
-                    yield _batch(rows, pa.schema([("a", pa.int64()), ("f", pa.int64()), ("off", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
+                    yield _batch(rows, pa.schema([("a", pa.int64()), ("f", pa.int64()), ("c", pa.int64()), ("off", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())]))
 
-    if not seen.filter("kind = 2").isEmpty():
-        hot = columns.mapInArrow(take(2), "a long, f long, text binary").mapInArrow(windows, "a long, f long, off int, h1 long, h2 long")
-        twice = hot.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
-        runs = runs.unionByName(hot.join(twice, ["h1", "h2"]).select("a", "f", "off", F.lit(1).alias("len")))
+    if not large.isEmpty():
+        hot = columns.mapInArrow(take(2), piece).dropDuplicates(["a", "f"]).mapInArrow(windows, "a long, f long, c long, off int, h1 long, h2 long")
+        twice = hot.groupBy("h1", "h2").agg(F.sum("c").alias("c")).filter("c > 1").select("h1", "h2")
+        # one row for each text, with at most as many places as it has suffixes
+        places = F.collect_list(F.struct("off", F.lit(1).alias("len"))).alias("runs")
+        runs = runs.unionByName(hot.join(twice, ["h1", "h2"]).groupBy("a", "f").agg(places))
 
-    whole = shared.filter("kind = 0").select("__id", "__th", F.col("start").alias("from"), "n")
-    parts = mixed.join(runs.distinct(), ["a", "f"]).select("__id", "__th", (F.col("start") + F.col("off")).alias("from"), F.col("len").alias("n"))
-    return whole.unionByName(parts)
+    whole = shared.filter("NOT mixed").select("__id", "__th", "start", F.array(F.struct(F.lit(0).alias("off"), F.col("n").alias("len"))).alias("runs"))
+    # one row for each copy
+    return whole.unionByName(mixed.join(materialize(runs, "runs"), ["a", "f"]).select("__id", "__th", "start", "runs"))
 
 
-def _sorted_block(block: dict[tuple[int, int], list], width: int) -> list[tuple[int, int, int, int]]:
+def _sorted_block(block: dict[tuple[int, int], tuple[bytes, int]], width: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
     if not block:
         return []
     keys = list(block)
     number = {a: i for i, a in enumerate(dict.fromkeys(a for a, _ in keys))}
     masks = repeated_suffixes([block[k][0] for k in keys], [block[k][1] for k in keys], [number[a] for a, _ in keys], width)
-    return [(*k, off, n) for k, mask in zip(keys, masks) for off, n in _runs(mask)]
+    return [(*k, _runs(mask)) for k, mask in zip(keys, masks) if mask.any()]
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -331,7 +338,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     raw = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), raw.alias("__raw")).withColumn("__th", F.xxhash64("__raw"))
     ranges = repeated_ranges(rows, width, bucket_rows)
-    listed = ranges.groupBy("__id", "__th").agg(F.collect_list(F.struct("from", "n")).alias("ranges"))
+    # a set: rows that repeat id and text bring the same fragments
+    listed = ranges.groupBy("__id", "__th").agg(F.collect_set(F.struct("start", "runs")).alias("ranges"))
     joined = _with_lists(rows, listed, "left").select("__id", "__raw", "ranges")
     schema = "__id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -343,7 +351,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 out = ([], [], [], [])
                 for i in range(part.num_rows):
                     raw, spans = part.column(1)[i].as_py(), []
-                    for s, n in sorted((r["from"], r["n"]) for r in part.column(2)[i].as_py() or ()):
+                    for s, n in sorted((r["start"] + x["off"], x["len"]) for r in part.column(2)[i].as_py() or () for x in r["runs"]):
                         e = s + n + width - 1
                         if spans and s <= spans[-1][1]:
                             spans[-1][1] = max(spans[-1][1], e)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -113,3 +114,12 @@ def test_query(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((tuple(r) for r in QUERIES["op1_suffix_dedup"](spark, sf).collect()), key=repr)
     assert got == brute(rows)
+
+
+def test_rows_that_repeat_id_and_text_take_linear_time(make):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(4000))
+    began = time.time()
+    got = cut_repeats(make([(None, text)] * 1500 + [(1, text[:300] + "tail")]).repartition(3)).collect()
+    assert time.time() - began < 60
+    assert {(r["doc_id"], r["n_removed"]) for r in got} == {(None, 4000), (1, 300)} and len(got) == 1501
