@@ -24,7 +24,9 @@ import pyarrow.compute  # noqa: F401  as pa.compute
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-_KEEP_WORDS, _KEEP_CHARS = 250_000, 24 << 20
+from tablechange.llm.memory import tidy
+
+_KEEP_WORDS, _KEEP_CHARS = 150_000, 16 << 20
 SLICE_CHARS = 1 << 20
 # Fixed values of the vocabulary's pre-tokenizer.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -277,7 +279,7 @@ def bpe_encode(
                 columns = [*part.columns[:-1], ids] + ([text] if decoded_col else [])
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in result.fields])
 
-    return source.mapInArrow(encode, result)
+    return source.mapInArrow(tidy(encode), result)
 
 
 def bpe_decode(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -23,6 +23,7 @@ from tablechange.llm.bpe import _slices
 from tablechange.llm.components import components
 from tablechange.llm.exact_dedup import normalised
 from tablechange.llm.simhash import _pieces, _shingle_hashes, near_links
+from tablechange.llm.memory import tidy
 from tablechange.session import discard, materialize
 
 WIDTH, LEAST, SAMPLE, COMMON = 5, (4, 5), 4000, 200_000
@@ -51,7 +52,7 @@ def shingle_sets(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             for nodes, sets in _sets(b, width):
                 yield pa.RecordBatch.from_arrays([nodes, pa.array([len(s) for s in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "n", "hashes"])
 
-    return rows.mapInArrow(run, "node long, n int, hashes array<long>")
+    return rows.mapInArrow(tidy(run), "node long, n int, hashes array<long>")
 
 
 def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +83,7 @@ def signatures(rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame
                     keys.append(h[: n - -(-p * n // q) + 1])
                 yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes, pa.int32()), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "fp", "keys"])
 
-    return rows.mapInArrow(run, "node long, n int, fp long, keys array<long>")
+    return rows.mapInArrow(tidy(run), "node long, n int, fp long, keys array<long>")
 
 
 def _confirmed(pairs: DataFrame, found: DataFrame, rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
