@@ -26,7 +26,7 @@ from tablechange.llm.simhash import _pieces, _shingle_hashes, near_links
 from tablechange.llm.memory import tidy
 from tablechange.session import discard, materialize
 
-WIDTH, LEAST, SAMPLE, COMMON = 5, (4, 5), 4000, 200_000
+WIDTH, LEAST, SAMPLE, COMMON = 5, (4, 5), 20_000, 500_000
 SLICE_BYTES = 1 << 20
 
 
@@ -59,8 +59,10 @@ def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The shingles that several texts of a sample hold, at most ``COMMON`` of them, and how many do."""
     step = max(1, rows.count() // SAMPLE)
     some = shingle_sets(rows.filter(F.pmod("node", F.lit(step)) == 0).dropDuplicates(["node"]), width).select(F.explode("hashes").alias("h"))
-    often = sorted(some.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect())
-    return np.array([r[0] for r in often], np.int64), np.array([r[1] for r in often], np.int64)
+    often = some.groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    known, counts = (often.column(i).to_numpy() for i in range(2))
+    order = np.argsort(known)
+    return known[order], counts[order]
 
 
 def signatures(rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
