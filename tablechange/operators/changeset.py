@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablechange.functions.render import field, row_key_text
 from tablechange.operators.closure import impact_closure
-from tablechange.operators.diff import CHANGE_SCHEMA, phase_of
+from tablechange.operators.diff import CHANGE_SCHEMA, DESTRUCTIVE, phase_of
+from tablechange.operators.levels import dependency_levels
 from tablechange.operators.sequence import number_rows
 from tablechange.session import materialize
 
@@ -119,16 +120,29 @@ def to_apply(changes: DataFrame, force_drop: bool = False) -> DataFrame:
     return gate_destructive(chosen, force_drop)
 
 
-def order_changes(changes: DataFrame, order: str = "review") -> DataFrame:
+def order_changes(changes: DataFrame, order: str = "review", depends: DataFrame | None = None) -> DataFrame:
     """Set ``phase``, and ``seq`` as the place inside a phase and scope. Review order: create,
-    alter, drop. Apply order: structure, definitions, drops."""
+    alter, drop. Apply order: structure, definitions, drops.
+
+    With ``depends``, ``(src, dst)`` edges between keys of which ``dst`` needs ``src``, each phase has
+    one order over all scopes, since needs cross them: everything comes after what it needs, and
+    drops go the other way round. Keys on a cycle come together, by name; ``dependency_levels``
+    names the cycles. Keys without edges need nothing.
+    """
     if order == "apply":
         changes = changes.withColumn("phase", phase_of(F.col("kind"), APPLY_PHASE))
     elif order == "review":
         changes = changes.withColumn("phase", phase_of(F.col("kind")))
     else:
         raise ValueError(f"order is 'review' or 'apply', not {order!r}")
-    return number_rows(changes, ["phase", "scope"], ["key", "column", "kind"]).select([f.name for f in CHANGE_SCHEMA.fields])
+    shown = [f.name for f in CHANGE_SCHEMA.fields]
+    if depends is None:
+        return number_rows(changes, ["phase", "scope"], ["key", "column", "kind"]).select(shown)
+    levels = dependency_levels(depends).select(F.col("node").alias("__node"), "level")
+    held = changes.join(levels, F.col("key") == F.col("__node"), "left")
+    level = F.coalesce("level", F.lit(0))
+    held = held.withColumn("__level", F.when(F.col("kind").isin(DESTRUCTIVE), -level).otherwise(level))
+    return number_rows(held, ["phase"], ["__level", "scope", "key", "column", "kind"]).select(shown)
 
 
 def _piece_size(name: Column) -> Column:
@@ -290,9 +304,11 @@ def render_changes(changes: DataFrame, table: str | None = None, key: str | list
     return out.select("phase", "scope", "seq", "statement")
 
 
-def write_script(rendered: DataFrame, path: str) -> None:
-    """The dry-run script as text files; read in file-name order they keep phase, scope and sequence."""
-    rendered.repartitionByRange("phase", "scope", "seq").sortWithinPartitions("phase", "scope", "seq").select("statement").write.text(path)
+def write_script(rendered: DataFrame, path: str, by_scope: bool = True) -> None:
+    """The dry-run script as text files; read in file-name order they keep phase, scope and sequence,
+    or phase and sequence alone (``by_scope=False``) where changes were ordered by what they need."""
+    by = ["phase", "scope", "seq"] if by_scope else ["phase", "seq", "scope"]
+    rendered.repartitionByRange(*by).sortWithinPartitions(*by).select("statement").write.text(path)
 
 
 def pull_back(desired: DataFrame, current: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:

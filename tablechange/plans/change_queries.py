@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablechange.functions.similarity import jaro, jaro_winkler
 from tablechange.operators.changeset import (
@@ -27,6 +27,7 @@ from tablechange.operators.diff import (
     diff_summary,
     dropped,
 )
+from tablechange.operators.levels import dependency_levels
 from tablechange.operators.matching import diff_with_renames, fold_renames, match_one_to_one, similar_pairs
 from tablechange.operators.schemas import diff_schemas
 from tablechange.plans import fixtures as fx
@@ -442,6 +443,51 @@ def q_order(spark: SparkSession, sf: str) -> DataFrame:
     return order_changes(order_changes_set(spark, sf)).select("kind", "key", "column", "phase", "seq")
 
 
+# dependencies with chains, cycles of three and nodes that need themselves; parts of a cycle reach each other
+NEEDS = """SELECT 'C:' || c_custkey AS src, 'C:' || (c_custkey + 1) AS dst FROM customer WHERE c_custkey % 50 BETWEEN 10 AND 17
+  UNION ALL SELECT 'C:' || c_custkey, 'C:' || (c_custkey + 1) FROM customer WHERE c_custkey % 50 IN (1, 2)
+  UNION ALL SELECT 'C:' || c_custkey, 'C:' || (c_custkey - 2) FROM customer WHERE c_custkey % 50 = 3
+  UNION ALL SELECT 'C:' || c_custkey, 'C:' || c_custkey FROM customer WHERE c_custkey % 97 = 0"""
+LEVELS = f"""WITH RECURSIVE e AS ({fx.EDGES} UNION ALL {NEEDS}),
+  reach AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM reach r JOIN e ON e.src = r.b),
+  parts AS (SELECT r.a AS node, min(r.b) AS cycle FROM reach r JOIN reach s ON s.a = r.b AND s.b = r.a GROUP BY r.a),
+  nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+  named AS (SELECT node, cycle, coalesce(cycle, node) AS rep FROM nodes LEFT JOIN parts USING (node)),
+  short AS (SELECT DISTINCT s.rep AS src, d.rep AS dst FROM e JOIN named s ON s.node = e.src JOIN named d ON d.node = e.dst WHERE s.rep <> d.rep),
+  walk AS (SELECT rep AS node, 0 AS level FROM named UNION SELECT short.dst, level + 1 FROM walk JOIN short ON short.src = walk.node),
+  levels AS (SELECT named.node, CAST(max(level) AS INTEGER) AS level, any_value(cycle) AS cycle FROM named JOIN walk ON walk.node = rep GROUP BY named.node)"""
+
+
+def _needs(spark: SparkSession, sf: str) -> DataFrame:
+    customer, key = table(spark, sf, "customer"), F.col("c_custkey")
+
+    def named(number: Column) -> Column:
+        return F.concat(F.lit("C:"), number.cast("string"))
+
+    steps = [(key % 50).between(10, 17) | (key % 50).isin(1, 2), key % 50 == 3, key % 97 == 0]
+    links = [customer.filter(c).select(named(key).alias("src"), named(key + n).alias("dst")) for c, n in zip(steps, (1, -2, 0))]
+    return fx.edges(spark, sf).unionByName(links[0]).unionByName(links[1]).unionByName(links[2])
+
+
+@query("dependency_levels", f"{LEVELS} SELECT * FROM levels")
+def q_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return dependency_levels(_needs(spark, sf))
+
+
+@query(
+    "order_by_dependency",
+    f"""{LEVELS}, cs AS (SELECT node AS key, level, CASE WHEN number % 3 = 0 THEN 'drop' ELSE 'create' END AS kind
+      FROM (SELECT *, CAST(substr(node, 3) AS BIGINT) AS number FROM levels))
+    SELECT kind, key, row_number() OVER (PARTITION BY kind ORDER BY CASE kind WHEN 'drop' THEN -level ELSE level END, key) AS seq FROM cs""",
+)
+def q_order_by_dependency(spark: SparkSession, sf: str) -> DataFrame:
+    """Creates after what they need, drops before it."""
+    needs = _needs(spark, sf)
+    nodes = needs.select(F.explode(F.array("src", "dst")).alias("key")).distinct()
+    kind = F.when(F.substring("key", 3, 20).cast("long") % 3 == 0, "drop").otherwise("create")
+    return order_changes(change_rows(nodes.select(kind.alias("kind"), "key")), depends=needs).select("kind", "key", "seq")
+
+
 @query(
     "render_changes",
     f"""{CHANGES} SELECT phase, CASE kind
