@@ -1,14 +1,16 @@
 """Exact duplicates by Patricia-trie owners.
 
 Rows are dealt out by the length and a hash of the normalised text. Each partition inserts the full
-byte strings into compressed radix tries; a terminal node stores the owner and the number of copies
-of its string. Equality is decided by the bytes alone, never by a hash.
+byte strings into one compressed radix trie per length, where texts share their common beginnings; a
+terminal node stores the owner and the number of copies of its string. Equality is decided by the
+bytes alone, never by a hash.
 
 Copies within an input partition meet in a first trie there, so a text that a third of all rows
-share travels once per input partition (and once more per spilled block), not once per row. Rows
-arrive at the second trie sorted by length and hash: when a block of subtrees has grown past
-``block_bytes``, all subtrees but the one still being filled are complete, are written out and
-leave memory. The first trie spills its subtrees likewise; the second one merges them.
+share travels once per input partition (and once more per spilled subtree), not once per row. When the
+tries of a partition have grown past ``block_bytes``, their largest subtrees are written out and leave
+memory until half of that is left. Rows arrive at the second trie sorted by length and hash, so
+what it holds is complete whenever another hash begins: its subtrees are final when they spill, and a
+whole trie is when its length ends. The first trie's subtrees may come again; the second one merges them.
 """
 
 from __future__ import annotations
@@ -30,10 +32,10 @@ def normalised(text: Column) -> Column:
 
 
 class _Node:
-    __slots__ = ("label", "children", "owner", "copies")
+    __slots__ = ("label", "children", "owner", "copies", "digest")
 
     def __init__(self, label: bytes):
-        self.label, self.children, self.owner, self.copies = label, {}, None, 0
+        self.label, self.children, self.owner, self.copies, self.digest = label, {}, None, 0, 0
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -49,18 +51,19 @@ def _common(a: bytes, b: bytes, at: int) -> int:
 
 
 class PatriciaTrie:
-    """A compressed radix trie; ``better`` picks the owner of a string out of two ids."""
+    """A compressed radix trie; ``better`` picks the owner of a string out of two ids. ``sizes`` holds about how
+    many bytes each subtree below the root takes, ``bytes`` their sum."""
 
     def __init__(self, better=min):
-        self.root, self.better, self.bytes = _Node(b""), better, 0
+        self.root, self.better, self.bytes, self.sizes = _Node(b""), better, 0, {}
 
-    def insert(self, key: bytes, owner: int | None, copies: int = 1) -> None:
-        node, at = self.root, 0
+    def insert(self, key: bytes, owner: int | None, copies: int = 1, digest: int = 0) -> None:
+        node, at, grown = self.root, 0, 0
         while at < len(key):
             child = node.children.get(key[at])
             if child is None:
                 child = node.children[key[at]] = _Node(key[at:])
-                self.bytes += len(child.label) + 200
+                grown += len(child.label) + 200
                 node, at = child, len(key)
             elif key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -70,20 +73,34 @@ class PatriciaTrie:
                 child.label = child.label[n:]
                 fork.children[child.label[0]] = child
                 node.children[key[at]] = fork
-                self.bytes += 200
+                grown += 200
                 node, at = fork, at + n
         if owner is not None:
             node.owner = owner if node.owner is None else self.better(node.owner, owner)
         node.copies += copies
+        node.digest = digest
+        if grown:
+            self.bytes += grown
+            self.sizes[key[0]] = self.sizes.get(key[0], 0) + grown
 
     def items(self) -> Iterator[tuple[bytes, int | None, int]]:
-        stack = [(self.root, b"")]
-        while stack:
-            node, prefix = stack.pop()
-            key = prefix + node.label
-            if node.copies:
-                yield key, node.owner, node.copies
-            stack.extend((child, key) for child in node.children.values())
+        return ((key, node.owner, node.copies) for key, node in _terminals(self.root))
+
+    def cut(self, first: int) -> _Node:
+        """Take the subtree of the strings that begin with byte ``first`` out."""
+        self.bytes -= self.sizes.pop(first)
+        return self.root.children.pop(first)
+
+
+def _terminals(top: _Node) -> Iterator[tuple[bytes, _Node]]:
+    """Each string below a node, with the node where it ends."""
+    stack = [(top, b"")]
+    while stack:
+        node, prefix = stack.pop()
+        key = prefix + node.label
+        if node.copies:
+            yield key, node
+        stack.extend((child, key) for child in node.children.values())
 
 
 def _chunks(rows: Iterator[tuple], schema: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
@@ -107,26 +124,34 @@ def _rows(batches, columns: int) -> Iterator[tuple]:
 
 
 def _tries(rows: Iterator[tuple], better, block: int, in_order: bool) -> Iterator[tuple]:
-    """``(length, hash, text, owner, copies)`` of each text; several times where blocks were spilled
-    and rows did not come in the order of their keys."""
-    tries: dict[tuple, PatriciaTrie] = {}
+    """``(length, hash, text, owner, copies)`` of each text, from one trie per length; several times where
+    subtrees were spilled and rows did not come in the order of their lengths and hashes."""
+    tries: dict[int, PatriciaTrie] = {}
     size, last = 0, None
+
+    def told(length: int, top: _Node) -> Iterator[tuple]:
+        return ((length, node.digest, text, node.owner, node.copies) for text, node in _terminals(top))
+
     for length, digest, text, owner, copies in rows:
-        key = (length, digest)
-        if size > block and (not in_order or key != last):
-            for (n, h), trie in tries.items():
-                yield from ((n, h, *item) for item in trie.items())
-            tries, size = {}, 0
-        trie = tries.get(key)
+        if not in_order or (length, digest) != last:
+            if in_order and last is not None and length != last[0]:
+                yield from told(last[0], tries.pop(last[0]).root)
+                size = 0
+            if size > block:
+                for part, n, first in sorted(((b, n, f) for n, t in tries.items() for f, b in t.sizes.items()), reverse=True):
+                    if size <= block // 2:
+                        break
+                    yield from told(n, tries[n].cut(first))
+                    size -= part
+            last = (length, digest)
+        trie = tries.get(length)
         if trie is None:
-            trie = tries[key] = PatriciaTrie(better)
-            size += 200
+            trie = tries[length] = PatriciaTrie(better)
         before = trie.bytes
-        trie.insert(text, owner, copies)
+        trie.insert(text, owner, copies, digest)
         size += trie.bytes - before
-        last = key
-    for (n, h), trie in tries.items():
-        yield from ((n, h, *item) for item in trie.items())
+    for n, trie in tries.items():
+        yield from told(n, trie.root)
 
 
 def exact_dedup(

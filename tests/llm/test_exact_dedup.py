@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings, strategies as st
 
-from tablechange.llm.exact_dedup import PatriciaTrie, _tries, exact_dedup
+from tablechange.llm.exact_dedup import PatriciaTrie, _terminals, _tries, exact_dedup
 
 
 def brute(rows, pick):
@@ -46,3 +46,40 @@ def test_trie(rows, block):
     assert {k: (o, n) for k, o, n in trie.items()} == want
     ordered = sorted(((len(t), hash(t) % 3, t.encode(), i, 1) for t, i in rows), key=lambda r: r[:2])
     assert {k: (o, n) for _, _, k, o, n in _tries(iter(ordered), min, block, True)} == want
+
+
+def test_texts_of_a_partition_share_beginnings():
+    start = b"the same license stands at the head of every text "
+    texts = [start + b"%04d" % i for i in range(1000)]
+    trie = PatriciaTrie()
+    for i, t in enumerate(texts):
+        trie.insert(t, i)
+    assert list(trie.root.children) == [start[0]] and trie.root.children[start[0]].label == start + b"0"
+    nodes, todo = 0, [trie.root]
+    while todo:
+        node = todo.pop()
+        nodes += 1
+        todo.extend(node.children.values())
+    assert nodes == 1 + 1 + 10 + 100 + 1000  # root, beginning with the first digit, three digits
+    assert trie.bytes == sum(trie.sizes.values()) < 1000 * len(start) + 1111 * 200
+    assert {t for t, _ in _terminals(trie.cut(start[0]))} == set(texts) and trie.bytes == 0 and not list(trie.items())
+
+
+def test_spilled_subtrees():
+    texts = [bytes([97 + i % 7]) * 3 + b"%05d" % i for i in range(3000)] * 2
+    rows = [(len(t), hash(t), t, i, 1) for i, t in enumerate(texts)]
+    for in_order in (False, True):
+        given = sorted(rows, key=lambda r: r[:2]) if in_order else rows
+        got = list(_tries(iter(given), min, 20_000, in_order))
+        assert in_order == (len(got) == 3000) and all(h == hash(t) and n == len(t) for n, h, t, _, _ in got)
+        merged = {}
+        for _, _, t, owner, copies in got:
+            o, c = merged.get(t, (owner, 0))
+            merged[t] = (min(o, owner), c + copies)
+        assert merged == {t: (i, 2) for i, t in enumerate(texts[:3000])}
+
+
+def test_very_long_texts(make):
+    base = "long text " * 300_000
+    rows = [(1, base + "a"), (2, base + "b"), (3, base.upper() + "A"), (None, base)]
+    assert sorted(map(tuple, exact_dedup(make(rows, extra=True), keep="largest", block_bytes=1000).collect()), key=repr) == brute(rows, max)
