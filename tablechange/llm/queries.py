@@ -11,7 +11,7 @@ from tablechange.llm.mixing import labelled_sample, mix_rates
 from tablechange.llm.simhash import simhash_classes
 from tablechange.llm.toxicity import score_toxicity, train_toxicity
 from tablechange.llm.html_text import extract_text
-from tablechange.llm.url_rules import judge_urls
+from tablechange.llm.url_rules import FALSE_SHARE, judge_urls
 from tablechange.llm.lexical import ranked_search
 from tablechange.llm.periodic import periodic_runs
 from tablechange.llm.pii import BASE, KINDS, find_pii, train_pii
@@ -101,7 +101,7 @@ def labelled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_url_filter")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labelled_pages(spark, sf_dir), URL_RULES)
+    return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), labelled_pages(spark, sf_dir), URL_RULES, false_share=FALSE_SHARE)
 
 
 @query("op10_html_text")

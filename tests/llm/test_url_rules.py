@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F, types as T
 
 from tablechange.llm.queries import QUERIES, URL_RULES
-from tablechange.llm.url_rules import judge_urls, mine_rules, url_tokens
+from tablechange.llm.url_rules import judge_urls, mine_rules, token_classes, url_tokens
 
 URLS = [
     "https://a.example.org/es/1?x=2#f", "http://EXAMPLE.org/en/123", "http://org/", "http://org", "ftp://b.com/fr/", "http://x.com/de/", "http://x.com/de", "no scheme", "",
@@ -64,6 +64,29 @@ def test_one_support_for_every_size(spark):
     assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "allow"}
 
 
+def test_long_urls_are_one_item(spark):
+    long = "http://ads.net/" + "/".join(f"w{c}{d}" for c in "abcdefgh" for d in "vwxyz")
+    data = [(f"http://good.net/{c}{d}", False) for c in "abcdefghij" for d in "klmnopqrs"] + [(long.replace("w", c), True) for c in "wut"]
+    heads = {r["token"]: r["head"] for r in token_classes(labels(spark, data)).collect()}
+    assert len({heads[f"path:w{c}{d}"] for c in "abcdefgh" for d in "vwxyz"}) == 1 and heads["path:wav"] != heads["path:uav"] != heads["part:ads"]
+    rules = mine_rules(labels(spark, data), false_share=0.05).collect()
+    assert {tuple(r["items"]) for r in rules} == {("part:ads",)}  # three of three; what one row says may be chance
+    got = judge_urls(pages(spark, [(1, "http://ads.net/new"), (2, "http://good.net/wav")]), labels(spark, data), [], false_share=0.05)
+    assert {r["page_id"]: r["verdict"] for r in got.collect()} == {1: "block", 2: "allow"}
+
+
+def test_chance_is_pruned(spark):
+    import random
+
+    rng = random.Random(5)
+    chance = [(f"http://{rng.choice('abcd')}.net/{rng.choice('efghij')}/{rng.choice('klmnop')}", rng.random() < 0.3) for _ in range(300)]
+    assert mine_rules(labels(spark, chance)).count() > 0 == mine_rules(labels(spark, chance), false_share=0.05).count()
+    planted = chance + [(f"http://{rng.choice('abcd')}.net/{rng.choice('efghij')}/spam", True) for _ in range(40)]
+    assert {tuple(r["items"]) for r in mine_rules(labels(spark, planted), false_share=0.05).collect()} == {("path:spam",)}
+    for same in (True, False):
+        assert mine_rules(labels(spark, [(u, same) for u, _ in chance]), false_share=0.05).count() == 0
+
+
 def test_query(spark, sf):
     urls = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").collect()]
     got = {r["page_id"]: r for r in QUERIES["op6_url_filter"](spark, sf).collect()}
