@@ -4,23 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tablechange.functions.render import field
 
 _UNSET = -1 << 40
+NEAR = 64  # steps from each end after which texts are split by bit vectors
+_MASK_BYTES = 1 << 26
 
 
-def _middle(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+def _middle(a: list[int], b: list[int], most: int) -> tuple[int, int, int, int] | None:
     """Start and end of a run of equal items in the middle of a shortest edit path (Myers 1986),
-    found by searching from both ends at once, so memory stays linear."""
+    found by searching from both ends at once, so memory stays linear. None if they do not meet within ``most`` steps."""
     n, m = len(a), len(b)
     delta = n - m
     odd = delta % 2 != 0
     ahead: dict[int, int] = {}
     behind: dict[int, int] = {}
-    for d in range((n + m + 1) // 2 + 1):
+    for d in range(min(most, (n + m + 1) // 2) + 1):
         for forward in (True, False):
             mine, other = (ahead, behind) if forward else (behind, ahead)
             for k in range(-d, d + 1, 2):
@@ -40,11 +43,61 @@ def _middle(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
                 mine[k] = x
                 if odd == forward and x + other.get(delta - k, _UNSET) >= n and abs(delta - k) <= (d - 1 if forward else d):
                     return (x0, y0, x, y) if forward else (n - x, m - y, n - x0, m - y0)
-    raise AssertionError("an edit path always exists")
+    return None
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The lengths of longest common subsequences of ``a`` and each beginning of ``b``, the empty one first.
+
+    A row of the table is one whole number, a bit per item of ``b`` (Hyyro 2004): a step takes a few operations
+    on it, so items cost a 64th of a cell each. The places of an item are turned into bits when it
+    comes up; what is kept of them is bounded.
+    """
+    m = len(b)
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    masks: dict[int, int] = {}
+    full = row = (1 << m) - 1
+    for x in a:
+        at = places.get(x)
+        if at is None:
+            continue
+        mask = masks.get(x)
+        if mask is None:
+            if len(at) == 1:
+                mask = 1 << at[0]
+            else:
+                bits = bytearray((m >> 3) + 1)
+                for j in at:
+                    bits[j >> 3] |= 1 << (j & 7)
+                mask = int.from_bytes(bits, "little")
+                if (len(masks) + 1) * (m >> 3) < _MASK_BYTES:
+                    masks[x] = mask
+        both = row & mask
+        row = ((row + both) | (row ^ both)) & full
+    rises = 1 - np.unpackbits(np.frombuffer(row.to_bytes((m >> 3) + 1, "little"), np.uint8), bitorder="little")[:m].astype(np.int64)
+    return np.concatenate([[0], np.cumsum(rises)])
+
+
+def _split(a: list[int], b: list[int]) -> tuple[int, int, int, int]:
+    """A place on a shortest edit path, as ``_middle`` gives it, by halving the shorter side (Hirschberg 1975)."""
+    if len(a) > len(b):
+        y0, x0, y1, x1 = _split(b, a)
+        return x0, y0, x1, y1
+    if len(a) == 1:
+        if a[0] not in b:
+            return 1, 0, 1, 0
+        y = b.index(a[0])
+        return 0, y, 1, y + 1
+    x = len(a) // 2
+    y = int(np.argmax(_lengths(a[:x], b) + _lengths(a[: x - 1 : -1], b[::-1])[::-1]))
+    return x, y, x, y
 
 
 def equal_items(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, in order."""
+    """Index pairs of a longest common subsequence, in order. Near texts are searched from both ends; texts that
+    differ much are halved by bit vectors, so a whole rewrite is not quadratic in steps."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -57,7 +110,7 @@ def equal_items(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             out.append((ie, je))
         if i == ie or j == je:
             continue
-        x0, y0, x1, y1 = _middle(a[i:ie], b[j:je])
+        x0, y0, x1, y1 = _middle(a[i:ie], b[j:je], NEAR) or _split(a[i:ie], b[j:je])
         out.extend((i + x0 + t, j + y0 + t) for t in range(x1 - x0))
         todo += [(i, i + x0, j, j + y0), (i + x1, ie, j + y1, je)]
     return sorted(out)

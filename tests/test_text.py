@@ -1,9 +1,11 @@
 import random
 from datetime import date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
+from tablechange.functions import linediff
 from tablechange.functions.linediff import edit_script, equal_items, line_diff, side_by_side
 from tablechange.functions.render import csv_line, quote_name, render_text
 from tablechange.functions.text import canonical_text, fingerprint, interpolate
@@ -111,6 +113,34 @@ def test_large_difference_in_linear_memory():
     assert "\n".join(s[3] for s in script if s[0] != "delete") == new
 
 
+@pytest.mark.parametrize("near", [0, 1, 64])
+def test_bit_vectors_find_longest_common_subsequences(monkeypatch, near):
+    monkeypatch.setattr(linediff, "NEAR", near)
+    rng = random.Random(near)
+    for _ in range(300):
+        a = [rng.randrange(rng.choice([2, 5, 30])) for _ in range(rng.randrange(30))]
+        b = [rng.randrange(6) for _ in range(rng.randrange(30))]
+        pairs = equal_items(a, b)
+        assert all(a[i] == b[j] for i, j in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+        assert len(pairs) == longest_common(a, b)
+
+
+def test_whole_rewrite_of_a_long_text():
+    rng = random.Random(11)
+    old, new = (" ".join(str(rng.randrange(40)) for _ in range(3000)).replace(" ", "\n") for _ in range(2))
+    script = edit_script(old, new)
+    assert "\n".join(s[3] for s in script if s[0] != "delete") == new
+    # the same length as the table of all cells, by numpy
+    a, b = old.split("\n"), np.array(new.split("\n"))
+    row = np.zeros(len(b) + 1, np.int64)
+    for x in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    assert sum(s[0] == "equal" for s in script) == row[-1]
+    twice = "\n".join(str(i) for i in range(20_000))
+    assert len(edit_script(twice, "\n".join(f"n{i}" if i % 3 else str(i) for i in range(20_000)))) > 20_000
+
+
 def test_line_diff(spark):
     df = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc"), (2, "same", "same"), (3, None, "n")], "k int, o string, n string")
     got = {(r["id"], r["pos"]): (r["tag"], r["old_line_no"], r["new_line_no"], r["line"]) for r in line_diff(df, "k", "o", "n").collect()}
