@@ -3,8 +3,8 @@
 First links come from SimHash fingerprints, whose BK-trees find the closest copies. Fingerprints
 alone miss most pairs at this similarity, so the rest is found by prefixes: under one order of all
 shingles, two sets that are similar enough share one of the first ``n - ceil(4 n / 5) + 1`` shingles
-of each. The order puts shingles that are common in a sample last; any order is right, it
-only decides how many candidates there are. Where a shared shingle stands says how much two sets can
+of each. The order puts shingles last whose hashes fall in cells that many of all texts hold;
+any order is right, it only decides how many candidates there are. Where a shared shingle stands says how much two sets can
 have in common from there on; a pair that cannot reach the similarity by that is no candidate. So long
 passages that many texts share do not bring these texts together. Every link is confirmed on the
 shingles themselves, which are computed again for candidates only instead of being stored for all.
@@ -26,7 +26,8 @@ from tablechange.llm.simhash import _pieces, _shingle_hashes, near_links
 from tablechange.llm.memory import tidy
 from tablechange.session import discard, materialize
 
-WIDTH, LEAST, SAMPLE, COMMON = 5, (4, 5), 20_000, 500_000
+WIDTH, LEAST = 5, (4, 5)
+CELLS, CELL_BLOCK = 1 << 20, 1 << 12
 SLICE_BYTES = 1 << 20
 
 
@@ -55,33 +56,61 @@ def shingle_sets(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(tidy(run), "node long, n int, hashes array<long>")
 
 
-def _common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several texts of a sample hold, at most ``COMMON`` of them, and how many do."""
-    step = max(1, rows.count() // SAMPLE)
-    some = shingle_sets(rows.filter(F.pmod("node", F.lit(step)) == 0).dropDuplicates(["node"]), width).select(F.explode("hashes").alias("h"))
-    often = some.groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    known, counts = (often.column(i).to_numpy() for i in range(2))
-    order = np.argsort(known)
-    return known[order], counts[order]
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return hashes & (CELLS - 1)
+
+
+def shingle_counts(rows: DataFrame, width: int = WIDTH) -> np.ndarray:
+    """How many texts of ``(node, __text)`` hold a shingle of each of ``CELLS`` cells, over all texts.
+
+    A cell is what the low bits of the hash say. Each partition adds its texts up in one table, whose blocks are
+    then added by number, so what is shuffled goes with the partitions and what reaches the driver (8 MB)
+    with neither texts nor partitions. Cells are shared by many rare shingles alike; the more texts there are, the
+    rarer a passage may be and still stand out.
+    """
+
+    def count(batches):
+        cells, some = np.zeros(CELLS, np.int64), False
+        for b in batches:
+            for _, sets in _sets(b, width):
+                cells += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
+                some = True
+        if some:
+            blocks = [x.tobytes() for x in cells.reshape(-1, CELL_BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, counts in zip(b.column(0).to_pylist(), b.column(1)):
+                more = np.frombuffer(counts.as_py(), np.int64)
+                total[block] = total[block] + more if block in total else more
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "counts"])
+
+    schema = "block int, counts binary"
+    found = rows.mapInArrow(tidy(count), schema).repartition("block").mapInArrow(add, schema).toArrow()
+    cells = np.zeros(CELLS, np.int64)
+    for block, counts in zip(found.column(0).to_pylist(), found.column(1)):
+        cells[block * CELL_BLOCK : (block + 1) * CELL_BLOCK] = np.frombuffer(counts.as_py(), np.int64)
+    return cells
 
 
 def signatures(rows: DataFrame, width: int, least: tuple[int, int]) -> DataFrame:
     """``(node, n, fp, keys)`` per text: the number of its shingles, their SimHash, and the first of them, in
-    order; shingles that are rare in a sample stand before the others."""
+    order; shingles of cells that few texts hold stand before the others."""
     p, q = least
-    given = rows.sparkSession.sparkContext.broadcast(_common(rows, width))
+    given = rows.sparkSession.sparkContext.broadcast(shingle_counts(rows, width))
 
     def run(batches):
-        known, counts = given.value
+        cells = given.value
         for b in batches:
             for nodes, sets in _sets(b, width):
                 sizes = np.array([len(s) for s in sets], np.int64)
                 fps = _pieces(np.concatenate(sets).view(np.uint64), sizes)
                 keys = []
                 for h, n in zip(sets, sizes.tolist()):
-                    if len(known):
-                        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                        h = h[np.lexsort((h, np.where(known[at] == h, counts[at], 0)))]
+                    h = h[np.lexsort((h, cells[_cell(h)]))]
                     keys.append(h[: n - -(-p * n // q) + 1])
                 yield pa.RecordBatch.from_arrays([nodes, pa.array(sizes, pa.int32()), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["node", "n", "fp", "keys"])
 
