@@ -2,8 +2,8 @@
 
 A tokenizer and a tree builder with implied tags give a tree; what a reader would not see is left
 out; the rest is rendered with block spacing, list marks and aligned table cells. What is visible is
-emitted, navigation, footers, formulas, labels of drawings and text areas included; lists to choose
-from (``select``) are left out.
+emitted, navigation, footers, formulas, labels of drawings and text areas included. Of a list to choose
+from (``select``) the option marked as selected is shown, and all options where the list stands open.
 
 A page is one row of work; nothing is shuffled. Memory is bounded by the longest page.
 """
@@ -11,6 +11,7 @@ A page is one row of work; nothing is shuffled. Memory is bounded by the longest
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 # Fixed values of HTML: element kinds.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title iframe object audio video canvas datalist select noembed noframes input img".split())
+UNSEEN = frozenset("head script style template noscript title iframe object audio video canvas datalist noembed noframes input img".split())
 # Unseen within svg, or within math.
 UNSEEN_IN = {**dict.fromkeys("desc defs metadata symbol clippath mask marker pattern".split(), "svg"), **dict.fromkeys("annotation annotation-xml mphantom".split(), "math")}
 BLOCK = frozenset(
@@ -46,7 +47,11 @@ _SCOPE = frozenset("table td th caption button object html body".split())
 
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<odd>[!?][^>]*(?:>|\Z))|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*+)>|(?P<bad>/?[A-Za-z][^>]*)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
-_HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))(?:\s*!important)?\s*(?:;|$)", re.I)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?\s*(?=;|$)", re.I)
+_ROWS = frozenset("tr thead tbody tfoot".split())
+_BARRIER, _IS_BARRIER = "/barrier", (_SCOPE | BLOCK) - {"p"}
+# Fixed values of HTML: the widest spans.
+_SPANS = {"colspan": 1000, "rowspan": 65534}
 _LABEL = "/label"  # marks text elements of an svg; no attribute of a page has a slash
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -60,11 +65,43 @@ class Node:
         self.around: str | None = None
 
 
+class _Open:
+    """The open elements, the root first, and where those of each name stand, so that no tag walks the whole stack."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        for name in (node.name, _BARRIER) if node.name in _IS_BARRIER else (node.name,):
+            self.places.setdefault(name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            name = self.nodes.pop().name
+            self.places[name].pop()
+            if name in _IS_BARRIER:
+                self.places[_BARRIER].pop()
+
+    def last(self, *names: str) -> int:
+        """Where the innermost open element of these names stands; 0 if there is none."""
+        return max((self.places[x][-1] for x in names if self.places.get(x)), default=0)
+
+    def first_above(self, place: int, names: set[str]) -> int:
+        """Where the outermost element of these names within ``place`` stands; 0 if there is none."""
+        found = (self.places.get(x, []) for x in names)
+        return min((at[i] for at in found if (i := bisect_right(at, place)) < len(at)), default=0)
+
+
 def build_tree(html: str) -> Node:
     """The tree of a page. Wrong nesting is mended: implied ends are put in, ends without an opening
     tag are ignored, what is open at the end of the page is closed."""
     root = Node("html")
-    stack, at, n = [root], 0, len(html)
+    stack, at, n = _Open(root), 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
         if m is None:
@@ -90,7 +127,7 @@ def build_tree(html: str) -> Node:
         found = {a.lower(): unescape(x or y or z or "") for a, x, y, z in _ATTR.findall(attrs)} if attrs and attrs != "/" else {}
         if name == "html":
             continue
-        around = stack[-1].around
+        around = stack.top.around
         if name in UNSEEN_IN and UNSEEN_IN[name] == around:
             found["hidden"] = ""
         elif name == "text" and around == "svg":
@@ -100,8 +137,9 @@ def build_tree(html: str) -> Node:
             node.around = name
         elif name != "foreignobject" and _LABEL not in found:
             node.around = around
-        stack[-1].items.append(node)
-        if name in VOID:
+        stack.top.items.append(node)
+        # a form between the parts of a table holds nothing
+        if name in VOID or name == "form" and (stack.top.name == "table" or stack.top.name in _ROWS):
             continue
         if name in RAW:
             stop = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -109,54 +147,69 @@ def build_tree(html: str) -> Node:
             node.items.append(unescape(raw) if name == "textarea" else raw)
             at = stop.end() if stop else n
             continue
-        stack.append(node)
+        stack.push(node)
     return root
 
 
-def _text(stack: list[Node], text: str) -> None:
+def _text(stack: _Open, text: str) -> None:
     """Put text in; in an open head it ends the head, if it is not white space."""
-    if stack[-1].name == "head" and text.strip(" \t\n\r\f"):
-        stack.pop()
-    if stack[-1].around != "svg":
-        stack[-1].items.append(text)
+    if stack.top.name == "head" and text.strip(" \t\n\r\f"):
+        stack.cut(len(stack.nodes) - 1)
+    if stack.top.around != "svg":
+        stack.top.items.append(text)
 
 
-def _close(stack: list[Node], name: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].name == name:
-            del stack[i:]
-            return
-        if stack[i].name in ("table", "td", "th") and name not in ("table", "tr", "td", "th", "thead", "tbody", "tfoot", "body", "html", "div", "article", "section", "main"):
-            return
+# Ends that reach beyond the cell or table they stand in.
+_FAR = frozenset("table tr td th thead tbody tfoot body html div article section main".split())
+
 
+def _close(stack: _Open, name: str) -> None:
+    at = stack.last(name)
+    if at and (name in _FAR or at > stack.last("table", "td", "th")):
+        stack.cut(at)
 
-def _imply(stack: list[Node], name: str) -> None:
+
+def _imply(stack: _Open, name: str) -> None:
     if name in _ENDS_P:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name == "p":
-                del stack[i:]
-                break
-            if stack[i].name in _SCOPE or stack[i].name in BLOCK:
-                break
+        at = stack.last("p")
+        if at > stack.last(_BARRIER):
+            stack.cut(at)
     if name in CLOSES:
         closed, until = CLOSES[name]
-        lowest = None
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in until:
-                break
-            if stack[i].name in closed:
-                lowest = i
-        if lowest is not None:
-            del stack[lowest:]
-    if stack[-1].name == "head" and name not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
-        stack.pop()
+        lowest = stack.first_above(stack.last(*until), closed)
+        if lowest:
+            stack.cut(lowest)
+    if stack.top.name == "head" and name not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
+        stack.cut(len(stack.nodes) - 1)
+
+
+def _styles(node: Node) -> dict[str, str]:
+    """The ``display`` and ``visibility`` of a node's own style: the last of each, important ones before others."""
+    found: dict[str, tuple[bool, str]] = {}
+    for what, value, important in _STYLE.findall(node.attrs.get("style", "")):
+        if important or not found.get(what.lower(), (False, ""))[0]:
+            found[what.lower()] = bool(important), value.lower()
+    return {what: value for what, (_, value) in found.items()}
 
 
 def visible(node: Node) -> bool:
+    """Whether a node takes part in the layout; what only ``visibility`` hides keeps its place."""
     if node.name in UNSEEN or "hidden" in node.attrs:
         return False
-    style = node.attrs.get("style")
-    return not (style and _HIDDEN.search(style))
+    styles = _styles(node) if "style" in node.attrs else {}
+    return styles.get("display") != "none" and not (styles.get("visibility") == "collapse" and node.name in _ROWS)
+
+
+def _hide(root: Node) -> None:
+    """Take out text that inherits a hidden ``visibility``; what is inside may be made visible again."""
+    todo = [(root, True)]
+    while todo:
+        node, shown = todo.pop()
+        own = _styles(node).get("visibility") if "style" in node.attrs else None
+        shown = own in ("visible", "initial") if own in ("visible", "initial", "hidden", "collapse") else shown
+        if not shown:
+            node.items = [x for x in node.items if isinstance(x, Node)]
+        todo.extend((x, shown) for x in node.items if isinstance(x, Node))
 
 
 class _Page:
@@ -210,8 +263,24 @@ class _Page:
         return "\n".join(line.rstrip() for line in "".join(self.out).split("\n"))
 
 
-def render(root: Node, depth: int = 0) -> str:
-    """The visible text below a node. It walks with a stack of its own, so depth is no limit."""
+def render(root: Node) -> str:
+    """The visible text below a node. Tables are laid out from the innermost outwards, and what holds them is walked
+    with a stack of its own, so depth is no limit."""
+    _hide(root)
+    tables, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.name == "table":
+            tables.append(node)
+        todo.extend(x for x in node.items if isinstance(x, Node) and visible(x))
+    done: dict[int, list[str]] = {}
+    for table in reversed(tables):
+        done[id(table)] = _table(table, done)
+    return _flow(root, done)
+
+
+def _flow(root: Node, done: dict[int, list[str]]) -> str:
+    """The text below a node, whose tables are ``done``."""
     page = _Page()
     todo: list[tuple] = [("node", root, None)]
     while todo:
@@ -240,8 +309,16 @@ def render(root: Node, depth: int = 0) -> str:
                     page.block(1)
             elif name == "table":
                 page.block(2)
-                page.exactly(_table(item, depth))
+                page.exactly(done.pop(id(item)))
                 page.block(2)
+            elif name == "select":
+                open_list, options = _options(item)
+                for option in options:
+                    if open_list:
+                        page.block(1)
+                    page.text(f" {option} ")
+                if open_list and options:
+                    page.block(1)
             else:
                 lines = 2 if name in SPACED else 1 if name in BLOCK or _LABEL in item.attrs else 0
                 if name in ("ul", "ol", "dl") and page.indent:
@@ -285,13 +362,46 @@ def _plain(node: Node) -> str:
         elif visible(item):
             if item.name == "br":
                 out.append("\n")
-            todo.extend(reversed(item.items))
+            if item.name == "select":
+                out.append(" ".join(_options(item)[1]))
+            else:
+                todo.extend(reversed(item.items))
     return "".join(out)
 
 
-def _table(node: Node, depth: int) -> list[str]:
+def _options(node: Node) -> tuple[bool, list[str]]:
+    """Whether a list to choose from stands open, and the options it shows: all of an open one, else the last one
+    that is marked as selected."""
+    size = node.attrs.get("size", "")
+    open_list = "multiple" in node.attrs or bool(re.fullmatch(r"[0-9]{1,9}", size)) and int(size) > 1
+    shown, chosen, todo = [], [], [*reversed(node.items)]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str) or not visible(item):
+            continue
+        if item.name == "option":
+            text = _SPACE.sub(" ", _plain(item)).strip()
+            if text:
+                shown.append(text)
+            if "selected" in item.attrs:
+                chosen = [text] if text else []
+        else:
+            todo.extend(reversed(item.items))
+    return open_list, shown if open_list else chosen
+
+
+def _span(cell: Node, what: str) -> int:
+    given = cell.attrs.get(what, "").strip()
+    n = int(given) if re.fullmatch(r"[0-9]{1,9}", given) else 1
+    if n == 0:  # to the end of the table, for rows
+        return _SPANS[what] if what == "rowspan" else 1
+    return min(n, _SPANS[what])
+
+
+def _table(node: Node, done: dict[int, list[str]]) -> list[str]:
     """The rows of a table with aligned cells, two spaces between. A cell of several lines takes
-    several lines; a table within a cell is rendered there."""
+    several lines, a cell over several columns or rows their room; a table within a cell is put there."""
+    Cell = tuple[list[str], int, int]
     captions, rows, loose, todo = [], [], [], [*reversed(node.items)]
     while todo:
         item = todo.pop()
@@ -303,43 +413,84 @@ def _table(node: Node, depth: int) -> list[str]:
         elif item.name in ("thead", "tbody", "tfoot"):
             todo.extend(reversed(item.items))
         elif item.name == "tr":
-            rows.append([])
+            row: list[Cell] = []
             for cell in item.items:
                 if isinstance(cell, str):
                     if cell.strip():
-                        rows[-1].append([_SPACE.sub(" ", cell).strip()])
+                        row.append(([_SPACE.sub(" ", cell).strip()], 1, 1))
                 elif visible(cell):
-                    rows[-1].append(_cell(cell, depth))
+                    row.append(_cell(cell, done) if cell.name in ("td", "th") else (_lines([cell], done), 1, 1))
+            rows.append(row)
         elif item.name == "caption":
-            captions += _cell(item, depth)
+            captions += _cell(item, done)[0]
         elif item.name in ("td", "th"):
             if not rows:
                 rows.append([])
-            rows[-1].append(_cell(item, depth))
+            rows[-1].append(_cell(item, done))
         else:
-            loose += _cell(item, depth)
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            width = max(map(len, cell), default=0)
-            widths[i : i + 1] = [max(width, widths[i])] if i < len(widths) else [width]
-    out = [x for x in [*captions, *loose] if x]
-    for row in rows:
-        for k in range(max((len(c) for c in row), default=0)):
-            out.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(row, widths)).rstrip())
-    return out
-
-
-_DEPTH = 40  # tables within tables beyond this are read as plain text, so that no stack runs out
+            loose += _lines([item], done)
+    return [x for x in [*captions, *loose] if x] + _grid(rows)
+
+
+def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """The lines of rows of cells ``(lines, columns, rows)``. Columns in which no cell starts take no room."""
+    placed, held = [], []  # held: (first column, column behind, row behind) of cells that reach into later rows
+    for y, row in enumerate(rows):
+        held = [h for h in held if h[2] > y]
+        x, at, new = 0, 0, []
+        for lines, width, height in row:
+            while at < len(held) and held[at][0] <= x:
+                x, at = max(x, held[at][1]), at + 1
+            placed.append((x, y, x + width, min(y + height, len(rows)), lines))
+            if height > 1:
+                new.append((x, x + width, y + height))
+            x += width
+        held = sorted(held + new) if new else held
+    starts = sorted({p[0] for p in placed})
+    number = {x: i for i, x in enumerate(starts)}
+    widths, heights = [0] * len(starts), [0] * len(rows)
+    spanning = []
+    for x, y, x_end, y_end, lines in placed:
+        first, behind = number[x], bisect_right(starts, x_end - 1)
+        spanning.append((first, behind, y, y_end, lines))
+        if behind - first == 1:
+            widths[first] = max(widths[first], max(map(len, lines)))
+        heights[y] = max(heights[y], len(lines) if y_end - y == 1 else 1)
+    # wider and higher cells extend the last column or row they reach, the shortest spans first
+    for first, behind, _, _, lines in sorted((c for c in spanning if c[1] - c[0] > 1), key=lambda c: (c[1] - c[0], c[1])):
+        widths[behind - 1] += max(0, max(map(len, lines)) - sum(widths[first:behind]) - 2 * (behind - first - 1))
+    for _, _, y, y_end, lines in sorted((c for c in spanning if c[3] - c[2] > 1), key=lambda c: (c[3] - c[2], c[3])):
+        heights[y_end - 1] += max(0, len(lines) - sum(heights[y:y_end]))
+    left, top = [0], [0]
+    for w in widths:
+        left.append(left[-1] + w + 2)
+    for h in heights:
+        top.append(top[-1] + h)
+    out: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
+    for first, _, y, _, lines in spanning:
+        for k, line in enumerate(lines):
+            if line:
+                out[top[y] + k].append((left[first], line))
+    return [_painted(parts) for parts in out]
+
+
+def _painted(parts: list[tuple[int, str]]) -> str:
+    line, at = [], 0
+    for x, text in sorted(parts):
+        # cells of a broken table may overlap; none is lost
+        line.append(" " * max(x - at, 2 if at and x < at else 0) + text)
+        at = max(x, at + 2 if at and x < at else x) + len(text)
+    return "".join(line).rstrip()
+
+
+def _lines(items: list, done: dict[int, list[str]]) -> list[str]:
+    inner = Node("div")
+    inner.items = items
+    return _flow(inner, done).split("\n")
 
 
-def _cell(node: Node, depth: int) -> list[str]:
-    if depth >= _DEPTH:
-        return [_SPACE.sub(" ", _plain(node)).strip()]
-    inner = Node("div")
-    inner.items = node.items
-    text = render(inner, depth + 1)
-    return text.split("\n") if text else [""]
+def _cell(node: Node, done: dict[int, list[str]]) -> tuple[list[str], int, int]:
+    return _lines(node.items, done), _span(node, "colspan"), _span(node, "rowspan")
 
 
 def html_to_text(html: str | None) -> str:
