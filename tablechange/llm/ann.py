@@ -6,6 +6,9 @@ every vector in its likeliest part and sends each query to as many of its likeli
 ``aim`` of the true neighbours on sample vectors kept out of the training. What is found there is
 reranked by exact distance.
 
+The number of parts goes with the vectors, as far as the sample can tell parts apart. A query whose parts hold
+fewer than it asks for is sent to all parts, so no list is short while there are candidates.
+
 Equal vectors are searched once: of each distinct vector only the rows with the smallest ids can be
 among the nearest, and a limit per group before the shuffle leaves no more than those. Parts are
 dealt out in blocks of vectors and blocks of queries, so a large part is many tasks and no block
@@ -22,10 +25,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tablechange.session import materialize
+from tablechange.session import discard, materialize
 
-SAMPLE, PARTS, AIM = 4_000, 16, 0.97
-BLOCK_VECTORS, BLOCK_QUERIES = 20_000, 1_000
+SAMPLE, SAMPLE_MOST, PARTS, PART_VECTORS, AIM = 4_000, 20_000, 16, 20_000, 0.97
+BLOCK_VECTORS, BLOCK_QUERIES = 20_000, 20_000
+_PER_PART = 50  # sample vectors a part needs at least
 _NEIGHBOURS = 10
 
 
@@ -157,15 +161,16 @@ def learn_partitions(points: np.ndarray, parts: int, aim: float = AIM) -> Router
 
 def nearest_neighbours(
     vectors: DataFrame, queries: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding",
-    parts: int = PARTS, sample: int = SAMPLE, aim: float = AIM,
+    parts: int | None = None, sample: int | None = None, aim: float = AIM,
 ) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest other rows found for each row for which
     ``queries`` holds, by Euclidean distance in double precision, nearest first, ties to the smaller id.
 
-    The sample for training are the ``sample`` distinct vectors with the smallest hashes; every
-    vector is indexed. Vectors that are null, zero or hold a null or a component that is not finite
+    The sample for training are the ``sample`` distinct vectors with the smallest hashes (unless given, 50 for each
+    part, 4,000 at least and 20,000 at most); every vector is indexed. Unless given, there is a part for each 20,000
+    vectors, 16 at least and 400 at most. Vectors that are null, zero or hold a null or a component that is not finite
     take no part, nor do rows with a null id or with another dimension than most rows. Rows that
-    repeat an id are other rows only if their vector differs. Fewer other rows than ``k``: all of
+    repeat an id are other rows only if their vector differs; each of them has its own list. Fewer other rows than ``k``: all of
     them. An empty table gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -180,9 +185,13 @@ def nearest_neighbours(
     first = F.row_number().over(W.partitionBy("__v").orderBy("__id"))
     points = materialize(rows.select("__id", "__v").dropDuplicates().withColumn("__r", first).filter(F.col("__r") <= k + 1), "points")
     asked = materialize(rows.filter(F.coalesce("__q", F.lit(False))).select("__id", "__v").dropDuplicates(), "queries")
+    if parts is None:
+        parts = min(max(PARTS, math.ceil(points.count() / PART_VECTORS)), SAMPLE_MOST // _PER_PART)
+    if sample is None:
+        sample = min(max(SAMPLE, parts * _PER_PART), SAMPLE_MOST)
     few = points.filter("__r = 1").orderBy(F.xxhash64("__v"), "__id").limit(sample).select("__v").collect()
     learned = np.array([r[0] for r in few], np.float64)
-    router = learn_partitions(learned, max(1, min(parts, len(learned) // 50)), aim)
+    router = learn_partitions(learned, max(1, min(parts, len(learned) // _PER_PART)), aim)
     given = spark.sparkContext.broadcast(router)
 
     def place(batches):
@@ -192,42 +201,32 @@ def nearest_neighbours(
             packed = pa.array([v.tobytes() for v in np.ascontiguousarray(flat)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), b.column(0), packed], names=["part", "id", "v"])
 
-    def route(batches):
-        router = given.value
-        for b in batches:
-            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            part = router.ranked(flat, router.probes) if b.num_rows else np.empty((0, 1), np.int64)
-            at = np.repeat(np.arange(b.num_rows), part.shape[1])
-            packed = pa.array([v.tobytes() for v in np.ascontiguousarray(flat)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(part.ravel(), pa.int32()), b.column(0).take(pa.array(at)), packed.take(pa.array(at))], names=["part", "id", "v"])
+    def route(probes: int):
+        def run(batches):
+            for b in batches:
+                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                part = given.value.ranked(flat, probes) if b.num_rows else np.empty((0, 1), np.int64)
+                at = np.repeat(np.arange(b.num_rows), part.shape[1])
+                packed = pa.array([v.tobytes() for v in np.ascontiguousarray(flat)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part.ravel(), pa.int32()), b.column(0).take(pa.array(at)), packed.take(pa.array(at))], names=["part", "id", "v"])
+
+        return run
 
     schema = "part int, id long, v binary"
     placed = materialize(points.select("__id", "__v").mapInArrow(place, schema), "placed")
-    # Equal query vectors are searched once, under the smallest id among them.
-    distinct = asked.groupBy("__v").agg(F.min("__id").alias("__as"))
-    routed = materialize(distinct.select("__as", "__v").mapInArrow(route, schema), "routed")
+    # Equal query vectors are searched once, under a number of their own, which is written before it is used.
+    distinct = materialize(asked.select("__v").distinct().withColumn("__as", F.monotonically_increasing_id()), "distinct")
     n_points = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
-    n_queries = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
-    blocks = {p: math.ceil(n / BLOCK_VECTORS) for p, n in n_points.items()}
-    q_blocks = {p: math.ceil(n / BLOCK_QUERIES) for p, n in n_queries.items()}
-    both = [p for p in blocks if p in q_blocks]
-    if not both:
-        return empty
-
-    def of(table: dict[int, int]) -> Column:
-        return F.create_map(*[x for p in both for x in (F.lit(p), F.lit(table[p]))])[F.col("part")]
-
-    def block(n: Column) -> Column:
-        return F.pmod(F.xxhash64("id"), n).cast("int")
-
-    right = placed.filter(F.col("part").isin(both)).withColumn("vb", block(of(blocks))).withColumn("qb", F.explode(F.sequence(F.lit(0), of(q_blocks) - 1)))
-    left = routed.filter(F.col("part").isin(both)).withColumn("qb", block(of(q_blocks))).withColumn("vb", F.explode(F.sequence(F.lit(0), of(blocks) - 1)))
 
     def rerank(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = {"as": [], "id": [], "score": []}
         if len(q) and len(p):
             a = np.frombuffer(b"".join(q["v"]), np.float64).reshape(len(q), -1)
             b = np.frombuffer(b"".join(p["v"]), np.float64).reshape(len(p), -1)
+            # by a power of two, which changes no digit, so that squares of large components stay finite
+            largest = max(np.abs(a).max(), np.abs(b).max())
+            shift = math.frexp(largest)[1] if largest > 1e150 else 0
+            a, b = np.ldexp(a, -shift), np.ldexp(b, -shift)
             ids, norms = p["id"].to_numpy(), (b**2).sum(1)
             top = min(k + 1, len(b))
             for at in range(0, len(a), 64):
@@ -242,15 +241,43 @@ def nearest_neighbours(
                     best = np.lexsort((ids[near], exact))[:top]
                     out["as"] += [q["id"].iloc[at + i]] * len(best)
                     out["id"] += ids[near[best]].tolist()
-                    out["score"] += exact[best].tolist()
+                    out["score"] += np.ldexp(exact[best], shift).tolist()
         return pd.DataFrame(out)
 
-    keys = ("part", "qb", "vb")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rerank, "as long, id long, score double")
-    place_of = F.row_number().over(W.partitionBy("as").orderBy("score", "id"))
-    best = found.withColumn("r", place_of).filter(F.col("r") <= k + 1).select("as", "id", "score")
+    def search(few: DataFrame, probes: int) -> DataFrame:
+        """``(as, id, score)``: the nearest ``k + 1`` of the ``probes`` likeliest parts of each of ``few``."""
+        routed = materialize(few.select("__as", "__v").mapInArrow(route(probes), schema), "routed")
+        n_queries = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
+        both = [p for p in n_points if p in n_queries]
+        if not both:
+            return spark.createDataFrame([], "as long, id long, score double")
+
+        def blocks(rows: dict[int, int], size: int) -> Column:
+            return F.create_map(*[x for p in both for x in (F.lit(p), F.lit(math.ceil(rows[p] / size)))])[F.col("part")]
+
+        def block(n: Column) -> Column:
+            return F.pmod(F.xxhash64("id"), n).cast("int")
+
+        v_blocks, q_blocks = blocks(n_points, BLOCK_VECTORS), blocks(n_queries, BLOCK_QUERIES)
+        right = placed.filter(F.col("part").isin(both)).withColumn("vb", block(v_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), q_blocks - 1)))
+        left = routed.filter(F.col("part").isin(both)).withColumn("qb", block(q_blocks)).withColumn("vb", F.explode(F.sequence(F.lit(0), v_blocks - 1)))
+        keys = ("part", "qb", "vb")
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(rerank, "as long, id long, score double")
+        place_of = F.row_number().over(W.partitionBy("as").orderBy("score", "id"))
+        out = materialize(found.withColumn("r", place_of).filter(F.col("r") <= k + 1).select("as", "id", "score"), "found")
+        discard(routed)
+        return out
+
+    best = search(distinct, router.probes)
+    # lists that are short although there are more candidates: all parts
+    most = min(k + 1, sum(n_points.values()))
+    full = best.groupBy("as").count().filter(F.col("count") >= most).select(F.col("as").alias("__as"))
+    short = distinct.join(full, "__as", "left_anti")
+    if not short.isEmpty():
+        again = search(short, len(router.b2))
+        best = best.join(full.withColumnRenamed("__as", "as"), "as", "left_semi").union(again)
     # Back to the queries: each drops itself from the list of its vector.
     named = asked.join(distinct, "__v").select(F.col("__id").alias("query_id"), F.col("__as").alias("as"))
-    listed = named.join(best, "as").filter(F.col("query_id") != F.col("id"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "id"))
+    listed = named.join(best, "as").filter((F.col("query_id") != F.col("id")) | (F.col("score") > 0))
+    rank = F.row_number().over(W.partitionBy("query_id", "as").orderBy("score", "id"))
     return listed.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F, types as T
 
+from tablechange.llm import ann
 from tablechange.llm.ann import balanced_parts, learn_partitions, nearest, nearest_neighbours
 from tablechange.llm.queries import QUERIES
 
@@ -55,6 +56,27 @@ def test_small_tables_are_exact(spark):
     assert nearest_neighbours(frame(spark, rows[40:41]), F.lit(True)).count() == 0
 
 
+def test_short_lists_are_filled(spark, monkeypatch):
+    """A router that sends three vectors into a part of their own, and one vector into a part without any other."""
+    ways = np.array([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]])
+    fixed = ann.Router(1.0, ways, np.zeros(3), np.eye(3), np.zeros(3), 1)
+    monkeypatch.setattr(ann, "learn_partitions", lambda *args: fixed)
+    rng = np.random.default_rng(3)
+    rows = [(i, [9.0 + i, 0.0, 1.0]) for i in range(3)] + [(3, [0.0, 9.0, 0.0])]
+    rows += [(i, [0.0, 1.0, float(8 + x)]) for i, x in zip(range(4, 60), rng.normal(size=56))]
+    got = nearest_neighbours(frame(spark, rows), F.col("vec_id") < 6).collect()
+    check(got, brute(rows, lambda i: i < 6, 10), 1.0)
+
+
+def test_large_components_and_repeated_ids(spark):
+    rows = [(i, [1e200 * (i + 1), 1e199]) for i in range(12)]
+    got = nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 4, k=3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 5, 2] and np.allclose([r["score"] / 1e200 for r in got], [1, 1, 2])
+    same = spark.createDataFrame([(1, [1.0, 0.0]), (1, [2.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = nearest_neighbours(same, F.lit(True)).collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(1, 1, 1, 1.0)] * 2
+
+
 def test_parts_are_balanced_and_follow_the_graph():
     rng = np.random.default_rng(2)
     points = np.concatenate([rng.normal(c, 1, (100, 8)) for c in (0, 20, 40, 60)])
