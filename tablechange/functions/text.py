@@ -32,6 +32,23 @@ def canonical_text(text: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+# a literal, a quoted name, what lies between them, or a quote that is never closed
+PIECE = r"""'[^']*'|"[^"]*"|`[^`]*`|[^'"`]+|['"`]"""
+
+
+def canonical_outside_quotes(text: Column | str) -> Column:
+    """``canonical_text`` of what lies outside quotes; string literals and quoted names stay as they are.
+
+    A doubled quote is two literals side by side, which join to the same text. A quote that is never closed
+    is an ordinary character. Comments are not known: a quote in a comment opens a literal.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    quoted = lambda x: F.substring(x, 1, 1).isin("'", '"', "`")
+    form = F.transform(pieces, lambda x: F.when(quoted(x), x).otherwise(F.lower(F.regexp_replace(x, r"\s+", " "))))
+    return F.trim(F.array_join(form, ""))
+
+
 def fingerprint(text: Column | str) -> Column:
     """Digest of the canonical text."""
     return F.md5(canonical_text(text))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablechange.functions.render import field, key_text, named_text, reference, value_text
-from tablechange.functions.text import canonical_text
+from tablechange.functions.text import canonical_outside_quotes, canonical_text
 from tablechange.session import materialize
 
 CHANGE_SCHEMA = T.StructType(
@@ -236,15 +236,16 @@ def diff_bags(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def diff_definitions(
-    old: DataFrame, new: DataFrame, key: str = "name", definition: str = "definition", canonical: bool = False
+    old: DataFrame, new: DataFrame, key: str = "name", definition: str = "definition", canonical: bool = False, quotes: bool = False
 ) -> DataFrame:
     """Text definitions: a new or different text is one ``replace``, a missing one a ``drop``.
-    With ``canonical`` only differences beyond case and whitespace count."""
+    With ``canonical`` only differences beyond case and whitespace count; with ``quotes`` too, but within
+    quotes every difference does."""
     shown = [F.col(key), F.col(definition)]
     o, n = old.select(shown), new.select(shown)
     o = o.select(F.col(key).alias("k"), F.struct(F.col(definition).alias("d"), F.lit(True).alias("here")).alias("o"))
     n = n.select(F.col(key).alias("k"), F.struct(F.col(definition).alias("d"), F.lit(True).alias("here")).alias("n"))
-    form = canonical_text if canonical else (lambda c: c)
+    form = canonical_outside_quotes if quotes else canonical_text if canonical else (lambda c: c)
     both = o.join(n, "k", "full_outer")
     gone = F.col("n.here").isNull()
     differs = F.col("o.here").isNull() | ~form(F.col("o.d")).eqNullSafe(form(F.col("n.d")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablechange.functions.linediff import line_diff, side_by_side
-from tablechange.functions.text import canonical_text, fingerprint, interpolate
+from tablechange.functions.text import canonical_outside_quotes, canonical_text, fingerprint, interpolate
 from tablechange.operators.diff import diff
 from tablechange.operators.merge import apply_changes, apply_until_stable
 from tablechange.operators.models import build_functions, build_models
@@ -138,6 +138,21 @@ def q_canonical(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "canonical_outside_quotes",
+    """SELECT doc_id, 'select ''' || replace(text, '''', '''''') || ''' as "' || replace(source, '"', '""') || '  X" from docs' AS canonical,
+      true AS kept FROM documents""",
+)
+def q_canonical_quoted(spark: SparkSession, sf: str) -> DataFrame:
+    """A definition around each text as a literal, written in two ways that differ outside quotes only."""
+    literal = F.concat(F.lit("'"), F.replace("text", F.lit("'"), F.lit("''")), F.lit("'"))
+    name = F.concat(F.lit('"'), F.replace("source", F.lit('"'), F.lit('""')), F.lit('  X"'))
+    one = F.concat(F.lit("  SELECT\n "), literal, F.lit("\tAS  "), name, F.lit(" From   DOCS "))
+    other = F.concat(F.lit("select "), literal, F.lit("  as "), name, F.lit("\nfrom docs"))
+    form = canonical_outside_quotes(one)
+    return table(spark, sf, "documents").select("doc_id", form.alias("canonical"), form.eqNullSafe(canonical_outside_quotes(other)).alias("kept"))
+
+
 @query(
     "line_diff_counts",
     """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -119,6 +119,8 @@ def test_definitions(spark):
     old = frame(spark, [("v", "SELECT 1"), ("w", "SELECT  2"), ("x", "SELECT 3")], schema)
     new = frame(spark, [("v", "SELECT 10"), ("w", "select 2"), ("y", "SELECT 4")], schema)
     assert rows(diff_definitions(old, new).select("kind", "key")) == [("drop", "x"), ("replace", "v"), ("replace", "w"), ("replace", "y")]
+    quoted = [spark.createDataFrame([("v", f"SELECT  '{x}'"), ("w", f"{k} 'A'")], "name string, definition string") for x, k in (("a", "select"), ("A", "SELECT  "))]
+    assert rows(diff_definitions(*quoted, quotes=True).select("kind", "key")) == [("replace", "v")]
     assert rows(diff_definitions(old, new, canonical=True).select("kind", "key")) == [("drop", "x"), ("replace", "v"), ("replace", "y")]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from tablechange.functions import linediff
 from tablechange.functions.linediff import edit_script, equal_items, line_diff, side_by_side
 from tablechange.functions.render import csv_line, quote_name, render_text
-from tablechange.functions.text import canonical_text, fingerprint, interpolate
+from tablechange.functions.text import canonical_outside_quotes, canonical_text, fingerprint, interpolate
 
 
 def one(df):
@@ -37,6 +37,22 @@ def test_canonical(spark):
     assert len(set(one(df.select(fingerprint("t"))))) == 2
 
 
+def test_canonical_outside_quotes(spark):
+    rows = [
+        ("  SELECT\n 'A  b'  AS \"My  Col\"\t", "select 'A  b' as \"My  Col\""),
+        ("X = 'it''S  A'  AND `Q  q`", "x = 'it''S  A' and `Q  q`"),
+        ("A  \"un'closed  B", "a \"un'closed b"),
+        ("''  ''", "'' ''"),
+        ("", ""),
+        ("   ", ""),
+        (None, None),
+        ("'" + "Ab  " * 50_000 + "'  C", "'" + "Ab  " * 50_000 + "' c"),
+    ]
+    df = spark.createDataFrame(rows, "t string, want string")
+    for r in df.select("want", canonical_outside_quotes("t").alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
 def test_rendering(spark):
     schema = T.StructType(
         [
