@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import blake2b
 from itertools import combinations
+from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
@@ -36,7 +37,10 @@ _FEW_PAIRS = 50_000_000  # up to this many, bands are not worth their jobs
 _CLASS_ROWS = 16000
 _COMPACT = 25  # rounds after which their results become one table
 BANDS = (0.975, 0.95, 0.925, 0.9, 0.875, 0.85)
+_PART_PAIRS = 50_000_000  # possible pairs under one signature, above which it is split
+_MOST_PARTS = 32
 _SUBSETS = 100  # up to this many, a name is filed under whole sets of shared characters
+_START = -1  # the token of names whose common start is enough
 
 
 def _length_class(n: int) -> int:
@@ -120,14 +124,17 @@ def _subsets(text: str, size: int) -> list[int]:
     return sorted(int.from_bytes(blake2b("".join(s).encode(), digest_size=8).digest(), "big", signed=True) for s in found)
 
 
+def _token(ch: str, nth: int, ranks: dict[tuple[str, int], int]) -> int:
+    return (ranks.get((ch, nth), 0) << 45) | (ord(ch) << 24) | min(nth, (1 << 24) - 1)
+
+
 def _ranked_tokens(text: str, ranks: dict[tuple[str, int], int]) -> list[int]:
     """The characters of ``text`` with their repetition, rarest first, each as one number."""
     seen: Counter = Counter()
     out = []
     for ch in text:
         seen[ch] += 1
-        n = seen[ch]
-        out.append((ranks.get((ch, n), 0) << 45) | (ord(ch) << 24) | min(n, (1 << 24) - 1))
+        out.append(_token(ch, seen[ch], ranks))
     return sorted(out)
 
 
@@ -139,6 +146,7 @@ class _Profile:
     counts: dict[str, int]
     classes: dict[str, list[int]]
     by_first: dict[str, dict[str, list[int]]] | None
+    parts: dict[int, int]
 
     def partners(self, side: str, first: str) -> list[int]:
         """Length classes on a side among names that begin with a character."""
@@ -146,49 +154,67 @@ class _Profile:
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial counts of characters with their repetition, and of names per side, length class
-    and first character."""
+    """Partial counts of characters with their repetition, per side, and of names per side, length
+    class and first character."""
     for batch in batches:
-        total: Counter = Counter()
+        total: dict[str, Counter] = {"old": Counter(), "new": Counter()}
         for side, name in zip(batch["side"], batch["name"]):
-            total[(side, name[:1], _length_class(len(name)))] += 1
+            mine = total[side]
+            mine[(side, name[:1], _length_class(len(name)))] += 1
             seen: Counter = Counter()
             for ch in name:
                 seen[ch] += 1
-                total[("", ch, seen[ch])] += 1
-        yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["side", "ch", "nth", "n"])
+                mine[("", ch, seen[ch])] += 1
+        rows = [(*key, total["old"][key], total["new"][key]) for key in total["old"] | total["new"]]
+        yield pd.DataFrame(rows, columns=["side", "ch", "nth", "old", "new"])
+
+
+def _largest_group(names: DataFrame) -> int:
+    """The most pairs that one group can have."""
+    group = [c for c in names.columns if c not in ("side", "name")]
+    sides = names.groupBy(*group).agg(*[F.count(F.when(F.col("side") == s, 1)).alias(s) for s in ("old", "new")])
+    return int(sides.agg(F.max(F.col("old").cast("double") * F.col("new"))).first()[0] or 0)
 
 
 def _read_profile(names: DataFrame) -> _Profile:
     """Ranks of the most frequent characters (any other one counts as rarer; the order matters
     for speed only) and the length classes per first character. The driver reads a bounded
     number of rows; with more first characters than that, all classes count for each."""
-    counts = names.select("side", "name").mapInPandas(_profile, "side string, ch string, nth long, n long")
-    counts = counts.groupBy("side", "ch", "nth").agg(F.sum("n").alias("n"))
+    counts = names.select("side", "name").mapInPandas(_profile, "side string, ch string, nth long, old long, new long")
+    counts = counts.groupBy("side", "ch", "nth").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
     is_class = F.col("side") != ""
+    counts = counts.withColumn("n", F.col("old") + F.col("new"))
     rows = counts.orderBy(F.desc(is_class), F.desc("n"), "side", "ch", "nth").limit(_TOKENS_RANKED + _CLASS_ROWS).collect()
     found = [r for r in rows if r["side"]]
     complete = len(found) < _CLASS_ROWS
     if complete:
-        top = [(r["ch"], r["nth"]) for r in rows if not r["side"]][:_TOKENS_RANKED]
+        top = [r for r in rows if not r["side"]][:_TOKENS_RANKED]
     else:
-        top = [(r["ch"], r["nth"]) for r in counts.filter(~is_class).orderBy(F.desc("n"), "ch", "nth").limit(_TOKENS_RANKED).collect()]
+        top = counts.filter(~is_class).orderBy(F.desc("n"), "ch", "nth").limit(_TOKENS_RANKED).collect()
         # at most 64 + log(longest)/log(1.1) classes per side
         found = counts.filter(is_class).groupBy("side", F.lit("").alias("ch"), "nth").agg(F.sum("n").alias("n")).collect()
     sizes, by_first = {"old": 0, "new": 0}, {"old": {}, "new": {}}
     for r in found:
-        sizes[r["side"]] += r["n"]
+        sizes[r["side"]] += int(r["n"])
         by_first[r["side"]].setdefault(r["ch"], []).append(r["nth"])
     classes = {side: sorted({c for cs in firsts.values() for c in cs}) for side, firsts in by_first.items()}
-    ranks = {token: rank for rank, token in enumerate(reversed(top), start=1)}
-    return _Profile(ranks, sizes, classes, by_first if complete else None)
+    ranks = {(r["ch"], r["nth"]): rank for rank, r in enumerate(reversed(top), start=1)}
+    # what one key would leave to one task is split: evenly spread over the groups, a character
+    # is in this share of the pairs of the largest one
+    size, parts = sizes["old"] * sizes["new"], {}
+    if size > _PART_PAIRS:
+        largest = _largest_group(names)
+        shares = {_START: 1.0} | {_token(r["ch"], r["nth"], ranks): r["old"] * r["new"] / size for r in top}
+        parts = {token: min(math.ceil(share * largest / _PART_PAIRS), _MOST_PARTS) for token, share in shares.items()}
+        parts = {token: n for token, n in parts.items() if n > 1}
+    return _Profile(ranks, sizes, classes, by_first if complete else None, parts)
 
 
 def _signer(bounds: _Bounds, profile: _Profile, side: str):
     """A function for ``mapInArrow``: ``(group..., name)`` in, one row per signature out."""
     partner = "new" if side == "old" else "old"
 
-    def signatures(name: str) -> Iterator[tuple[int, int, int, list[int], list[int]]]:
+    def signatures(name: str) -> Iterator[tuple[int, int, int, list[int], bool]]:
         own = _length_class(len(name))
         near = profile.partners(partner, name[:1])
         for start in range(min(bounds.starts, len(name)) + 1):
@@ -201,17 +227,18 @@ def _signer(bounds: _Bounds, profile: _Profile, side: str):
                 need -= start
                 if need <= 0:
                     # the common start is enough: nothing more to file under
-                    yield start, a, b, [-1], [-1]
+                    yield start, a, b, [_START], False
                     continue
                 if bounds.by_subsets(start, a, b):
-                    kept = _subsets(name[start:], need)
-                    yield start, a, b, kept, kept
+                    yield start, a, b, _subsets(name[start:], need), True
                     continue
                 rest = _ranked_tokens(name[start:], profile.ranks) if rest is None else rest
-                kept = rest[: len(rest) - need + 1]
-                yield start, a, b, kept, kept
+                yield start, a, b, rest[: len(rest) - need + 1], False
+
+    # of a signature in parts, the smaller side goes to each part and the other to one
+    copied = profile.counts[side] < profile.counts[partner] or (profile.counts[side] == profile.counts[partner] and side == "old")
 
-    def flush(batch: pa.RecordBatch, index, starts, las, lbs, heads, tokens, lists, offsets) -> pa.RecordBatch:
+    def flush(batch: pa.RecordBatch, index, starts, las, lbs, heads, tokens, parts, lists, offsets) -> pa.RecordBatch:
         taken = batch.take(pa.array(index, pa.int64()))
         groups = list(zip(batch.schema.names, taken.columns))
         columns = [
@@ -221,6 +248,7 @@ def _signer(bounds: _Bounds, profile: _Profile, side: str):
             ("lb", pa.array(lbs, pa.int32())),
             ("head", pa.array(heads, pa.string())),
             ("token", pa.array(tokens, pa.int64())),
+            ("part", pa.array(parts, pa.int32())),
             ("tokens", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(lists, pa.int64()))),
             (side, groups[-1][1]),
         ]
@@ -228,24 +256,28 @@ def _signer(bounds: _Bounds, profile: _Profile, side: str):
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fill = [[] for _ in range(7)] + [[0]]
-            index, starts, las, lbs, heads, tokens, lists, offsets = fill
+            fill = [[] for _ in range(8)] + [[0]]
+            index, starts, las, lbs, heads, tokens, parts, lists, offsets = fill
             for i, name in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for start, a, b, under, kept in signatures(name):
+                spot = crc32(name.encode("utf-8", "surrogatepass"))
+                for start, a, b, kept, subsets in signatures(name):
+                    under = [(t, 1 if subsets else profile.parts.get(t, 1)) for t in kept]
+                    under = [(t, p) for t, n in under for p in (range(n) if copied else [spot % n])]
                     n = len(under)
                     index += [i] * n
                     starts += [start] * n
                     las += [a] * n
                     lbs += [b] * n
                     heads += [name[:start]] * n
-                    tokens += under
+                    tokens += [t for t, _ in under]
+                    parts += [p for _, p in under]
                     for _ in range(n):
                         lists += kept
                         offsets.append(len(lists))
                 if len(index) > 20000:
                     yield flush(batch, *fill)
-                    fill = [[] for _ in range(7)] + [[0]]
-                    index, starts, las, lbs, heads, tokens, lists, offsets = fill
+                    fill = [[] for _ in range(8)] + [[0]]
+                    index, starts, las, lbs, heads, tokens, parts, lists, offsets = fill
             if index:
                 yield flush(batch, *fill)
 
@@ -293,19 +325,26 @@ def _fields(df: DataFrame, group: list[str]) -> list[str]:
 def _scored_pairs(names: DataFrame, profile: _Profile, group: list[str], threshold: float, scorer: _Scorer) -> DataFrame:
     bounds = _Bounds(threshold, scorer.prefix_weight, scorer.prefix_cap, scorer.boost_floor)
     fields = _fields(names, group)
-    key = ", ".join([*fields, "start int, la int, lb int, head string, token long, tokens array<long>"])
+    key = ", ".join([*fields, "start int, la int, lb int, head string, token long, part int, tokens array<long>"])
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    size = profile.counts["old"] * profile.counts["new"]
+    spread = max(min(size // 500_000, 8 * cores), sum(profile.counts.values()) // 10000, 1)
+    keys = [*group, "start", "la", "lb", "head", "token", "part"]
 
     def signatures(side: str) -> DataFrame:
         # names are few bytes but much work: small pieces, so that all cores take part
         count = profile.counts[side]
-        pieces = max(min(count // 200, names.sparkSession.sparkContext.defaultParallelism), count // 20000, 1)
+        pieces = max(min(count // 200, cores), count // 20000, 1)
         mine = names.filter(F.col("side") == side).drop("side").repartition(pieces)
-        return mine.mapInArrow(_signer(bounds, profile, side), f"{key}, {side} string")
+        signed = mine.mapInArrow(_signer(bounds, profile, side), f"{key}, {side} string")
+        return signed.repartition(spread, *[F.col(f"`{c}`") for c in keys])
 
     # a pair is taken at its exact common start and at its first shared character only, so it
     # appears once and no distinct is needed
-    o, n = signatures("old").alias("o"), signatures("new").alias("n")
-    same = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in [*group, "start", "la", "lb", "head", "token"]]
+    # a name has many signatures, of which the size of the names says nothing: taken for small,
+    # they would go through the driver whole, so neither side may be broadcast
+    o, n = signatures("old").alias("o"), signatures("new").hint("merge").alias("n")
+    same = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in keys]
     next_old = F.substring(F.col("o.old"), F.col("o.start") + 1, F.lit(1))
     next_new = F.substring(F.col("n.new"), F.col("n.start") + 1, F.lit(1))
     once = (F.col("o.start") == bounds.starts) | (next_old != next_new) | (next_old == "")

@@ -169,6 +169,23 @@ def test_equal_scores_take_few_rounds(spark, monkeypatch):
     assert written.count("pairs") - 1 < 25
 
 
+def test_signatures_never_go_through_the_driver(spark):
+    """Few bytes of names have very many signatures, so their size must not make them broadcast."""
+    pairs = similar_pairs(names(spark, ["customer#1", "customer#2"]), names(spark, ["customer-1"]), "scope")
+    plan = pairs._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Broadcast" not in plan
+    assert pairs.count() == 2
+
+
+@pytest.mark.parametrize("olds_more", [True, False])
+def test_signatures_in_parts_give_each_pair_once(spark, olds_more, monkeypatch):
+    monkeypatch.setattr(matching, "_PART_PAIRS", 40)
+    olds, news = random_names(21, 90 if olds_more else 60), random_names(22, 60 if olds_more else 90)
+    for weights in ({}, {"prefix_cap": None, "boost_floor": 0.0}):
+        got = [(r["old_name"], r["new_name"]) for r in similar_pairs(names(spark, olds), names(spark, news), "scope", **weights).collect()]
+        assert len(got) == len(set(got)) and set(got) == set(brute_pairs(olds, news, 0.8, **weights))
+
+
 def test_one_scope_with_most_names(spark, monkeypatch):
     """A scope of names all alike: every rename is found, in bands, without all pairs."""
     monkeypatch.setattr(matching, "_FEW_PAIRS", 0)
