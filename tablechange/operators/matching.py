@@ -177,13 +177,15 @@ def _largest_group(names: DataFrame) -> int:
 
 
 def _read_profile(names: DataFrame) -> _Profile:
-    """Ranks of the most frequent characters (any other one counts as rarer; the order matters
-    for speed only) and the length classes per first character. The driver reads a bounded
-    number of rows; with more first characters than that, all classes count for each."""
+    """Ranks of the characters by the pairs of names that have them (any other one counts as
+    rarer, as does one that only one side has; the order matters for speed only) and the length
+    classes per first character. The driver reads a bounded number of rows; with more first
+    characters than that, all classes count for each."""
     counts = names.select("side", "name").mapInPandas(_profile, "side string, ch string, nth long, old long, new long")
     counts = counts.groupBy("side", "ch", "nth").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
     is_class = F.col("side") != ""
-    counts = counts.withColumn("n", F.col("old") + F.col("new"))
+    pairs = F.col("old").cast("double") * F.col("new")
+    counts = counts.withColumn("n", F.when(is_class, (F.col("old") + F.col("new")).cast("double")).otherwise(pairs))
     rows = counts.orderBy(F.desc(is_class), F.desc("n"), "side", "ch", "nth").limit(_TOKENS_RANKED + _CLASS_ROWS).collect()
     found = [r for r in rows if r["side"]]
     complete = len(found) < _CLASS_ROWS

@@ -186,6 +186,15 @@ def test_signatures_in_parts_give_each_pair_once(spark, olds_more, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == set(brute_pairs(olds, news, 0.8, **weights))
 
 
+def test_characters_of_one_side_come_first(spark):
+    """A name is filed under what few names of the other side have, however frequent on its own."""
+    olds, news = [f"Customer#{i:04d}" for i in range(300)], [f"Acct{i:03d}" for i in range(200)]
+    profile = matching._read_profile(matching._names(names(spark, olds), names(spark, news), ["scope"], "name"))
+    first = matching._ranked_tokens("Acct177", profile.ranks)[:3]
+    assert {chr(token >> 24 & (1 << 21) - 1) for token in first} == {"A", "c"}
+    assert similar_pairs(names(spark, olds), names(spark, news), "scope").count() == 0
+
+
 def test_one_scope_with_most_names(spark, monkeypatch):
     """A scope of names all alike: every rename is found, in bands, without all pairs."""
     monkeypatch.setattr(matching, "_FEW_PAIRS", 0)
