@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from tablechange.functions.render import field, row_key_text
 from tablechange.functions.similarity import BOOST_FLOOR, PREFIX_CAP, PREFIX_WEIGHT, THRESHOLD, jaro_winkler_scores
 from tablechange.operators.diff import change_rows, changed, diff
-from tablechange.session import materialize
+from tablechange.session import discard, materialize
 
 _EXACT_LENGTHS = 64
 _TOKENS_RANKED = 4000
@@ -355,6 +355,18 @@ def _scored_pairs(names: DataFrame, profile: _Profile, group: list[str], thresho
     return pairs.mapInPandas(scorer.above(threshold), ", ".join([*fields, "old_name string, new_name string, score double"]))
 
 
+@dataclass
+class _Search:
+    """Where pairs come from, so that matching them need not write them all."""
+
+    names: DataFrame
+    profile: _Profile
+    on: list[str]
+    wide: list[str]
+    threshold: float
+    scorer: _Scorer
+
+
 def similar_pairs(
     dropped: DataFrame,
     created: DataFrame,
@@ -371,12 +383,14 @@ def similar_pairs(
     it is the caller's choice. ``weights``: ``prefix_weight``, ``prefix_cap``, ``boost_floor``.
     """
     group = _group(on) + ([block] if block and block not in _group(on) else [])
-    names = _names(dropped, created, group, name)
-    scored = _scored_pairs(names, _read_profile(names), group, threshold, _Scorer(**weights))
-    return scored.select(*_group(on), "old_name", "new_name", "score")
+    names, scorer = _names(dropped, created, group, name), _Scorer(**weights)
+    profile = _read_profile(names)
+    found = _scored_pairs(names, profile, group, threshold, scorer).select(*_group(on), "old_name", "new_name", "score")
+    found._search = _Search(names, profile, _group(on), group, threshold, scorer)
+    return found
 
 
-def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None) -> DataFrame:
+def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None, bands: tuple[float, ...] = BANDS) -> DataFrame:
     """Each old and each new name at most once: the greedy choice by ``(score desc, md5 of the pair,
     old, new)``, where the pair is both names with a zero character between.
 
@@ -386,8 +400,18 @@ def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None) -> Dat
     in the order of a hash: ties by name would settle one pair per round, a random order takes a
     number of rounds that grows with the logarithm of the names. Every round takes a pair, so it
     always ends.
+
+    The result of ``similar_pairs``, as it is, is matched in ``bands`` of its scores: the same
+    choice, but the pairs of names that a higher band has matched are never built.
     """
-    group = _group(on)
+    group, search = _group(on), getattr(pairs, "_search", None)
+    if search is not None and search.on == group:
+        return _match_in_bands(search, bands)
+    return _match_rounds(pairs, group)
+
+
+def _match_rounds(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """The matching, over pairs that are all written."""
     tie = F.md5(F.concat(F.col("old_name"), F.chr(F.lit(0)), F.col("new_name")))
     rank = F.struct((-F.col("score")).alias("s"), tie.alias("t"), F.col("old_name").alias("o"), F.col("new_name").alias("n"))
     rest, taken = materialize(pairs.select(*group, "old_name", "new_name", "score"), "pairs"), None
@@ -408,37 +432,21 @@ def match_one_to_one(pairs: DataFrame, on: list[str] | str | None = None) -> Dat
     return rest if taken is None else taken
 
 
-def match_names(
-    dropped: DataFrame,
-    created: DataFrame,
-    on: list[str] | str | None = None,
-    threshold: float = THRESHOLD,
-    block: str | None = None,
-    name: str = "name",
-    bands: tuple[float, ...] = BANDS,
-    **weights,
-) -> DataFrame:
-    """``match_one_to_one(similar_pairs(...))`` without building all pairs first.
-
-    The greedy takes high scores first, so the names are matched above the highest band, the
+def _match_in_bands(search: _Search, bands: tuple[float, ...]) -> DataFrame:
+    """The greedy takes high scores first, so the names are matched above the highest band, the
     matched ones leave, and only the remaining names go on to the next band, down to the
     threshold. The result is the same; a scope of very many names all alike needs only its
-    near-equal pairs. Few names (counted first) go straight to the threshold. The result reads
-    written tables, so using it more than once costs no second search.
-    """
-    group, scorer = _group(on), _Scorer(**weights)
-    wide = group + ([block] if block and block not in group else [])
-    names, taken = _names(dropped, created, wide, name), None
-    levels = [*sorted((b for b in bands if b > threshold), reverse=True), threshold]
+    near-equal pairs. Few names (counted first) go straight to the threshold."""
+    group, names, profile, taken = search.on, search.names, search.profile, None
+    levels = [*sorted((b for b in bands if b > search.threshold), reverse=True), search.threshold]
     while levels:
-        profile = _read_profile(names)
         size = profile.counts["old"] * profile.counts["new"]
         if size == 0:
             break
-        level = threshold if size <= _FEW_PAIRS else levels[0]
+        level = search.threshold if size <= _FEW_PAIRS else levels[0]
         levels = levels[levels.index(level) + 1 :]
-        pairs = _scored_pairs(names, profile, wide, level, scorer)
-        found = match_one_to_one(pairs.select(*group, "old_name", "new_name", "score"), on)
+        pairs = _scored_pairs(names, profile, search.wide, level, search.scorer)
+        found = _match_rounds(pairs.select(*group, "old_name", "new_name", "score"), group)
         taken = found if taken is None else taken.unionByName(found)
         if levels:
             side = F.explode(
@@ -449,13 +457,33 @@ def match_names(
             )
             used = found.select(*group, side.alias("u")).select(*group, "u.side", "u.name")
             left = names.join(used, [*group, "side", "name"], "left_anti").select(names.columns)
-            names = materialize(left, "names", replaces=names)
+            # the pairs that were handed over still read the first names
+            names = materialize(left, "names", replaces=None if names is search.names else names)
+            profile = _read_profile(names)
     if taken is None:
         schema = ", ".join([*_fields(names, group), "old_name string, new_name string, score double"])
         taken = names.sparkSession.createDataFrame([], schema)
     return taken
 
 
+def match_names(
+    dropped: DataFrame,
+    created: DataFrame,
+    on: list[str] | str | None = None,
+    threshold: float = THRESHOLD,
+    block: str | None = None,
+    name: str = "name",
+    bands: tuple[float, ...] = BANDS,
+    **weights,
+) -> DataFrame:
+    """``match_one_to_one(similar_pairs(...))``, for those who do not need the pairs. The result
+    reads written tables, so using it more than once costs no second search."""
+    pairs = similar_pairs(dropped, created, on, threshold, block, name, **weights)
+    matches = match_one_to_one(pairs, on, bands)
+    discard(pairs._search.names)
+    return matches
+
+
 def fold_renames(
     changes: DataFrame,
     matches: DataFrame,

@@ -145,6 +145,26 @@ def test_matching_is_the_greedy(spark, seed, monkeypatch):
         assert {(r["old_name"], r["new_name"]) for r in banded} == set(want)
 
 
+def test_matching_similar_pairs_does_not_write_them_all(spark, monkeypatch):
+    """Names all alike: 40,000 pairs pass, 200 of them are the best of both names."""
+    monkeypatch.setattr(matching, "_FEW_PAIRS", 0)
+    written = []
+
+    def counted(df, label="table", **more):
+        out = materialize(df, label, **more)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(matching, "materialize", counted)
+    olds, news = [f"customer#{i:04d}" for i in range(200)], [f"customer-{i:04d}" for i in range(200)]
+    pairs = similar_pairs(names(spark, olds), names(spark, news), "scope")
+    got = match_one_to_one(pairs, "scope").collect()
+    assert {(r["old_name"], r["new_name"]) for r in got} == set(zip(olds, news))
+    assert sum(n for label, n in written if label == "pairs") < 5000
+    assert pairs.count() == 40000  # still there for other uses
+    assert match_one_to_one(pairs.filter("old_name < 'customer#0003'"), "scope").count() == 3
+
+
 def test_long_chain_of_worse_pairs(spark):
     # each pair is beaten by the one before it at one end, so every round settles one link
     links = [(f"o{i:02d}", f"n{i:02d}", 1 - i / 100) for i in range(8)] + [(f"o{i + 1:02d}", f"n{i:02d}", 1 - i / 100 - 0.005) for i in range(7)]
