@@ -14,7 +14,7 @@ from tablechange.functions.similarity import (
     jaro_winkler_scores,
 )
 from tablechange.operators.diff import change_rows, diff, is_empty
-from tablechange.operators.matching import _FEW_PAIRS, diff_with_renames, match_names, match_one_to_one, similar_pairs
+from tablechange.operators.matching import _FEW_PAIRS, diff_with_renames, fold_renames, match_names, match_one_to_one, similar_pairs
 from tablechange.operators.merge import apply_changes
 from tablechange.session import materialize
 
@@ -165,6 +165,26 @@ def test_matching_similar_pairs_does_not_write_them_all(spark, monkeypatch):
     assert match_one_to_one(pairs.filter("old_name < 'customer#0003'"), "scope").count() == 3
 
 
+def test_folding_matched_similar_pairs_writes_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_FEW_PAIRS", 0)
+    written = []
+
+    def counted(df, label="table", **more):
+        out = materialize(df, label, **more)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(matching, "materialize", counted)
+    old = spark.createDataFrame([("s", f"customer#{i:04d}", i) for i in range(150)], "blk string, k string, v int")
+    new = spark.createDataFrame([("s", f"customer-{i:04d}", i) for i in range(149)], "blk string, k string, v int")
+    changes = diff(old, new, ["k"], ["v"], scope="blk")
+    named = [F.col("scope"), F.col("key").alias("name")]
+    pairs = similar_pairs(changes.filter("kind = 'drop'").select(named), changes.filter("kind = 'create'").select(named), "scope")
+    got = {(r["kind"], r["key"], r["old_key"]) for r in fold_renames(changes, match_one_to_one(pairs, "scope")).collect()}
+    assert got == {("rename", f"customer-{i:04d}", f"customer#{i:04d}") for i in range(149)} | {("drop", "customer#0149", None)}
+    assert sum(n for label, n in written if label == "pairs") < 5000
+
+
 def test_long_chain_of_worse_pairs(spark):
     # each pair is beaten by the one before it at one end, so every round settles one link
     links = [(f"o{i:02d}", f"n{i:02d}", 1 - i / 100) for i in range(8)] + [(f"o{i + 1:02d}", f"n{i:02d}", 1 - i / 100 - 0.005) for i in range(7)]
