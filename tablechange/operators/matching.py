@@ -308,6 +308,12 @@ class _Scorer:
         return score
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """For a side of a join: both sides are shuffled. Written tables of names are packed to a small part of
+    their rows, so taken for small they would be broadcast, and a broadcast goes through the driver whole."""
+    return df.hint("merge")
+
+
 def _group(on: list[str] | str | None) -> list[str]:
     return [on] if isinstance(on, str) else list(on or [])
 
@@ -345,7 +351,7 @@ def _scored_pairs(names: DataFrame, profile: _Profile, group: list[str], thresho
     # appears once and no distinct is needed
     # a name has many signatures, of which the size of the names says nothing: taken for small,
     # they would go through the driver whole, so neither side may be broadcast
-    o, n = signatures("old").alias("o"), signatures("new").hint("merge").alias("n")
+    o, n = signatures("old").alias("o"), _shuffled(signatures("new")).alias("n")
     same = [F.col(f"o.{c}") == F.col(f"n.{c}") for c in keys]
     next_old = F.substring(F.col("o.old"), F.col("o.start") + 1, F.lit(1))
     next_new = F.substring(F.col("n.new"), F.col("n.start") + 1, F.lit(1))
@@ -422,12 +428,12 @@ def _match_rounds(pairs: DataFrame, group: list[str]) -> DataFrame:
         by_new = rest.groupBy(*group, "new_name").agg(F.min(rank).alias("best"))
         left = by_old.select(*group, "old_name", F.col("best.n").alias("new_name"), (-F.col("best.s")).alias("score"))
         right = by_new.select(*group, F.col("best.o").alias("old_name"), "new_name")
-        chosen = materialize(left.join(right, [*group, "old_name", "new_name"]), "matches")
+        chosen = materialize(left.join(_shuffled(right), [*group, "old_name", "new_name"]), "matches")
         taken = chosen if taken is None else taken.unionByName(chosen)
         if round_number % _COMPACT == 0:
             taken = materialize(taken, "matches")
-        left_over = rest.join(chosen.select(*group, "old_name"), [*group, "old_name"], "left_anti")
-        left_over = left_over.join(chosen.select(*group, "new_name"), [*group, "new_name"], "left_anti")
+        left_over = rest.join(_shuffled(chosen.select(*group, "old_name")), [*group, "old_name"], "left_anti")
+        left_over = left_over.join(_shuffled(chosen.select(*group, "new_name")), [*group, "new_name"], "left_anti")
         rest = materialize(left_over.select(*group, "old_name", "new_name", "score"), "pairs", replaces=rest)
     return rest if taken is None else taken
 
@@ -456,7 +462,7 @@ def _match_in_bands(search: _Search, bands: tuple[float, ...]) -> DataFrame:
                 )
             )
             used = found.select(*group, side.alias("u")).select(*group, "u.side", "u.name")
-            left = names.join(used, [*group, "side", "name"], "left_anti").select(names.columns)
+            left = names.join(_shuffled(used), [*group, "side", "name"], "left_anti").select(names.columns)
             # the pairs that were handed over still read the first names
             names = materialize(left, "names", replaces=None if names is search.names else names)
             profile = _read_profile(names)
@@ -504,11 +510,11 @@ def fold_renames(
             )
         ).alias("u"),
     ).select(*scope, "u.kind", "u.key")
-    rest = changes.join(used, ["kind", *on], "left_anti")
+    rest = changes.join(_shuffled(used), ["kind", *on], "left_anti")
     gone = changes.filter(F.col("kind") == drop).select(*scope, F.col("key").alias("old_name"), "old_value")
     come = changes.filter(F.col("kind") == create).select(*scope, F.col("key").alias("new_name"), "new_value")
     by = ["scope"] if scoped else []
-    pairs = matches.join(gone, [*by, "old_name"]).join(come, [*by, "new_name"])
+    pairs = matches.join(_shuffled(gone), [*by, "old_name"]).join(_shuffled(come), [*by, "new_name"])
     renamed = pairs.select(
         F.lit(rename).alias("kind"),
         *scope,
@@ -544,11 +550,11 @@ def diff_with_renames(
     def keyed(df: DataFrame) -> DataFrame:
         return df.select(row_key_text(df, keys).alias("__key"), *[field(a) for a in attrs])
 
-    was = keyed(old).join(matches.select(F.col("old_name").alias("__key"), "old_name", "new_name"), "__key")
-    now = keyed(new).join(matches.select(F.col("new_name").alias("__key")), "__key", "left_semi")
+    was = keyed(old).join(_shuffled(matches.select(F.col("old_name").alias("__key"), "old_name", "new_name")), "__key")
+    now = keyed(new).join(_shuffled(matches.select(F.col("new_name").alias("__key"))), "__key", "left_semi")
     moved = was.drop("__key").withColumnRenamed("new_name", "__key")
-    under = changed(moved, now, ["__key"], attrs).select(F.col("__key").alias("new_name"), "column", "old_value", "new_value")
-    under = under.join(matches.drop("score"), "new_name").select(
+    under = changed(moved, _shuffled(now), ["__key"], attrs).select(F.col("__key").alias("new_name"), "column", "old_value", "new_value")
+    under = under.join(_shuffled(matches.drop("score")), "new_name").select(
         F.lit("change").alias("kind"),
         *([F.col("scope")] if block else []),
         F.col("new_name").alias("key"),

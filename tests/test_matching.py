@@ -185,6 +185,35 @@ def test_folding_matched_similar_pairs_writes_few_pairs(spark, monkeypatch):
     assert sum(n for label, n in written if label == "pairs") < 5000
 
 
+def test_renames_never_go_through_the_driver(spark, monkeypatch):
+    """Written tables are packed to a small part of their rows, so their size must not make them broadcast."""
+    monkeypatch.setattr(matching, "_FEW_PAIRS", 0)
+    plans = []
+
+    def run(df):
+        rows = df.collect()
+        plans.append(df._jdf.queryExecution().toString())
+        return rows
+
+    def planned(df, label="table", **more):
+        run(df)
+        return materialize(df, label, **more)
+
+    monkeypatch.setattr(matching, "materialize", planned)
+    old = spark.createDataFrame([("s", f"customer#{i:02d}", i) for i in range(30)], "blk string, k string, v int")
+    new = spark.createDataFrame([("s", f"customer-{i:02d}", max(i, 1)) for i in range(29)], "blk string, k string, v int")
+    changes = diff(old, new, ["k"], ["v"], scope="blk")
+    named = [F.col("scope"), F.col("key").alias("name")]
+    pairs = similar_pairs(changes.filter("kind = 'drop'").select(named), changes.filter("kind = 'create'").select(named), "scope")
+    renames = [("rename", f"customer-{i:02d}", f"customer#{i:02d}") for i in range(29)]
+    folded = run(fold_renames(changes, match_one_to_one(pairs, "scope")))
+    assert sorted((r["kind"], r["key"], r["old_key"]) for r in folded) == [("drop", "customer#29", None), *renames]
+    folded = run(diff_with_renames(old, new, ["k"], ["v"], "blk"))
+    moved = [("change", "customer-00", "customer#00"), ("drop", "customer#29", None), *renames]
+    assert sorted((r["kind"], r["key"], r["old_key"]) for r in folded) == moved
+    assert len(plans) > 10 and all("Final Plan" in plan and "Broadcast" not in plan for plan in plans)
+
+
 def test_long_chain_of_worse_pairs(spark):
     # each pair is beaten by the one before it at one end, so every round settles one link
     links = [(f"o{i:02d}", f"n{i:02d}", 1 - i / 100) for i in range(8)] + [(f"o{i + 1:02d}", f"n{i:02d}", 1 - i / 100 - 0.005) for i in range(7)]
