@@ -1,13 +1,15 @@
 """Jaro and Jaro-Winkler similarity.
 
 ``jaro`` and ``jaro_winkler`` score whole Arrow batches: the matching loop runs over character
-positions while numpy handles all pairs of the batch at once. ``jaro_column`` says the same with
-built-in functions only; it is far slower and serves as the tested definition.
+positions while numpy handles all pairs of the batch at once. ``block_scores`` scores each text of
+one list with each of another, where a text is one word of bits per character. ``jaro_column`` says
+the same with built-in functions only; it is far slower and serves as the tested definition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ BOOST_FLOOR = 0.7
 THRESHOLD = 0.8
 
 _CELLS = 1 << 20  # characters held per chunk and side
+_BLOCK_PAIRS = 1 << 15  # pairs scored at once, so that they stay in the processor's cache
+BLOCK_LENGTH = 64  # bits of a word
 
 
 def _encode(texts: list[str], unit: str) -> tuple[np.ndarray, np.ndarray]:
@@ -110,6 +114,81 @@ def jaro_winkler_scores(
     return np.where(base > boost_floor, boosted, base)
 
 
+@lru_cache(maxsize=32)
+def _score_table(la: int, lb: int, prefix_weight: float, prefix_cap: int, boost_floor: float) -> np.ndarray:
+    """The score of texts of two lengths by shared characters, moved ones and common start."""
+    least = min(la, lb)
+    m, moved, prefix = np.ogrid[: least + 1, : least // 2 + 1, : prefix_cap + 1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        base = np.where(m > 0, (m / la + m / lb + (m - moved) / m) / 3.0, 0.0)
+    boosted = np.minimum(base + prefix_weight * prefix * (1.0 - base), 1.0)
+    return np.where(base > boost_floor, boosted, base)
+
+
+def _matched(masks: list[np.ndarray], la: int, lb: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shared and moved characters of pairs of texts of two lengths. ``masks[i]`` has a bit for each
+    place at which the second text has character ``i`` of the first."""
+    kind, shape = masks[0].dtype.type, masks[0].shape
+    reach, every = max(max(la, lb) // 2 - 1, 0), kind((1 << lb) - 1)
+    free, low, other = np.full(shape, every, kind), np.empty(shape, kind), np.empty(shape, kind)
+    hits = []
+    for i in range(min(la, lb + reach)):
+        window = (1 << min(lb, i + reach + 1)) - (1 << max(0, i - reach))
+        np.bitwise_and(masks[i], free, out=low)
+        np.bitwise_and(low, kind(window), out=low)
+        np.bitwise_and(low, np.negative(low, out=other), out=low)
+        np.bitwise_xor(free, low, out=free)
+        hits.append(low != 0)
+    rest = free ^ every
+    m, moved = np.bitwise_count(rest), np.zeros(shape, np.uint8)
+    for mask, hit in zip(masks, hits):
+        np.bitwise_and(rest, np.negative(rest, out=other), out=low)
+        np.multiply(low, hit, out=low)
+        np.bitwise_xor(rest, low, out=rest)
+        moved += np.bitwise_and(mask, low, out=other) != low
+    return m, moved >> 1
+
+
+def block_scores(
+    left: list[str],
+    right: list[str],
+    prefix_weight: float = PREFIX_WEIGHT,
+    prefix_cap: int | None = PREFIX_CAP,
+    boost_floor: float = BOOST_FLOOR,
+) -> Iterator[np.ndarray]:
+    """``jaro_winkler_scores`` of each text of ``left`` with each of ``right``, some rows of ``left`` at
+    a time. The texts of a side have one length, from 1 to ``BLOCK_LENGTH`` characters."""
+    (a, _), (b, _) = _encode(left, "char"), _encode(right, "char")
+    (la, lb), many = (a.shape[1], b.shape[1]), b.shape[0]
+    most = min(la, lb) if prefix_cap is None else min(la, lb, prefix_cap)
+    table = _score_table(la, lb, prefix_weight, most, boost_floor)
+    kind = np.uint32 if max(la, lb) <= 32 else np.uint64
+    step = max(1, _BLOCK_PAIRS // many)
+    # a mask per character and text; texts of very many different characters get them anew for each slice
+    known = np.unique(b).size * many <= _CELLS
+    for first in range(0, len(a), step):
+        part = a[first : first + step]
+        if first == 0 or not known:
+            chars = np.intersect1d(a if known else part, b)
+            places = np.zeros((len(chars) + 1, many), kind)
+            for j, at in enumerate(_positions(chars, b).T):
+                places[at, np.arange(many)] |= kind(1 << j)
+            places[-1] = 0
+        masks = [places[at] for at in _positions(chars, part).T]
+        m, moved = _matched(masks, la, lb)
+        prefix, same = np.zeros(m.shape, np.uint8), np.ones(m.shape, bool)
+        for i in range(most):
+            same &= (masks[i] & kind(1 << i)) != 0
+            prefix += same
+        yield table[m, moved, prefix]
+
+
+def _positions(chars: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where each character stands among ``chars``, which are sorted; their number for any other."""
+    at = np.searchsorted(chars, texts)
+    return np.where(np.append(chars, 0)[at] == texts, at, len(chars)) if len(chars) else np.zeros_like(at)
+
+
 def _pair_udf(scorer):
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

@@ -9,6 +9,11 @@ common order, have one in common (the prefix filter of set-similarity joins), so
 under its few rarest characters. Both per common start, own length and partner length. Only
 names filed under the same signature meet; no pair is lost, and a scope that holds most of the
 names is spread over many keys.
+
+Names all alike meet under nearly every signature, so signatures save nothing there. Where by
+counts more time would go into meeting than into scoring, names of two lengths are paired in
+*tiles*: a block of names of each side, whose pairs are scored together and are rows only once
+they have passed.
 """
 
 from __future__ import annotations
@@ -22,12 +27,21 @@ from hashlib import blake2b
 from itertools import combinations
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablechange.functions.render import field, row_key_text
-from tablechange.functions.similarity import BOOST_FLOOR, PREFIX_CAP, PREFIX_WEIGHT, THRESHOLD, jaro_winkler_scores
+from tablechange.functions.similarity import (
+    BLOCK_LENGTH,
+    BOOST_FLOOR,
+    PREFIX_CAP,
+    PREFIX_WEIGHT,
+    THRESHOLD,
+    block_scores,
+    jaro_winkler_scores,
+)
 from tablechange.operators.diff import change_rows, changed, diff
 from tablechange.session import discard, materialize
 
@@ -41,6 +55,11 @@ _PART_PAIRS = 50_000_000  # possible pairs under one signature, above which it i
 _MOST_PARTS = 32
 _SUBSETS = 100  # up to this many, a name is filed under whole sets of shared characters
 _START = -1  # the token of names whose common start is enough
+_TILED_FROM = 100_000  # possible pairs, below which signatures are always used
+_TILE = 500  # names of a side in a tile
+_TILE_TASK = 8_000_000  # pairs of a task
+# seconds, as measured: a signature, names meeting under one, a pair of them, a tile, its pairs by character
+_SIGNED, _MET, _PAIRED, _TILED, _SCORED = 3e-6, 2e-6, 8e-6, 5e-4, 6e-9
 
 
 def _length_class(n: int) -> int:
@@ -109,6 +128,11 @@ class _Bounds:
         return self._overlap[known]
 
 
+    def possible(self, class_a: int, class_b: int) -> bool:
+        """Whether any pair of names of the two classes can pass."""
+        shorter = min(_class_range(class_a)[1], _class_range(class_b)[1])
+        return any(self.overlap(s, class_a, class_b) is not None for s in range(min(self.starts, shorter) + 1))
+
     def by_subsets(self, start: int, class_a: int, class_b: int) -> bool:
         """Whether so few characters may differ that the whole shared part can be the key. Both
         sides decide alike, because it depends on the two lengths only."""
@@ -144,13 +168,35 @@ class _Profile:
 
     ranks: dict[tuple[str, int], int]
     counts: dict[str, int]
-    classes: dict[str, list[int]]
-    by_first: dict[str, dict[str, list[int]]] | None
+    classes: dict[str, dict[int, int]]
+    by_first: dict[str, dict[str, dict[int, int]]] | None
     parts: dict[int, int]
+    shares: np.ndarray  # of the ranked characters, rarest first: in which part of the old and of the new names
+    lengths: dict[tuple[int, int], tuple[int, int]] | None = None
 
-    def partners(self, side: str, first: str) -> list[int]:
+    def partners(self, side: str, first: str) -> dict[int, int]:
         """Length classes on a side among names that begin with a character."""
-        return self.classes[side] if self.by_first is None else self.by_first[side].get(first, [])
+        return self.classes[side] if self.by_first is None else self.by_first[side].get(first, {})
+
+    def same_first(self, class_a: int, class_b: int) -> float:
+        """The part of the pairs of two classes that begin with the same character, over all groups."""
+        if self.by_first is None:
+            return 1.0
+        pairs = self.classes["old"].get(class_a, 0) * self.classes["new"].get(class_b, 0)
+        same = sum(cs.get(class_a, 0) * self.partners("new", ch).get(class_b, 0) for ch, cs in self.by_first["old"].items())
+        return same / pairs if pairs else 0.0
+
+    def meeting(self, kept_a: int, kept_b: int) -> float:
+        """How often a pair meets that is filed under so many of its rarest characters, if these are
+        in a name independently."""
+        under = [np.clip(kept - (np.cumsum(p) - p), 0, p) for kept, p in zip((kept_a, kept_b), self.shares)]
+        return float(under[0] @ under[1])
+
+    def sharing(self, need: int) -> float:
+        """The part of the pairs that share so many characters, likewise."""
+        both = self.shares[0] * self.shares[1]
+        mean, spread = both.sum(), math.sqrt(2 * (both * (1 - both)).sum())
+        return 0.5 * math.erfc((need - 0.5 - mean) / max(spread, 1e-9))
 
 
 def _profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,8 +244,9 @@ def _read_profile(names: DataFrame) -> _Profile:
     sizes, by_first = {"old": 0, "new": 0}, {"old": {}, "new": {}}
     for r in found:
         sizes[r["side"]] += int(r["n"])
-        by_first[r["side"]].setdefault(r["ch"], []).append(r["nth"])
-    classes = {side: sorted({c for cs in firsts.values() for c in cs}) for side, firsts in by_first.items()}
+        by_first[r["side"]].setdefault(r["ch"], {})[r["nth"]] = int(r["n"])
+    every = {side: sum(map(Counter, firsts.values()), Counter()) for side, firsts in by_first.items()}
+    classes = {side: dict(sorted(counts.items())) for side, counts in every.items()}
     ranks = {(r["ch"], r["nth"]): rank for rank, r in enumerate(reversed(top), start=1)}
     # what one key would leave to one task is split: evenly spread over the groups, a character
     # is in this share of the pairs of the largest one
@@ -209,11 +256,60 @@ def _read_profile(names: DataFrame) -> _Profile:
         shares = {_START: 1.0} | {_token(r["ch"], r["nth"], ranks): r["old"] * r["new"] / size for r in top}
         parts = {token: min(math.ceil(share * largest / _PART_PAIRS), _MOST_PARTS) for token, share in shares.items()}
         parts = {token: n for token, n in parts.items() if n > 1}
-    return _Profile(ranks, sizes, classes, by_first if complete else None, parts)
-
-
-def _signer(bounds: _Bounds, profile: _Profile, side: str):
-    """A function for ``mapInArrow``: ``(group..., name)`` in, one row per signature out."""
+    shares = np.array([[r[side] / max(sizes[side], 1) for r in reversed(top)] for side in ("old", "new")])
+    return _Profile(ranks, sizes, classes, by_first if complete else None, parts, shares)
+
+
+def _length_pairs(names: DataFrame, profile: _Profile, group: list[str]) -> dict[tuple[int, int], tuple[int, int]]:
+    """Of each two lengths up to ``BLOCK_LENGTH`` that meet in a group: the pairs and the tiles of all groups."""
+    if profile.lengths is None and not group:
+        olds, news = ([(n, c) for n, c in profile.classes[side].items() if 0 < n <= BLOCK_LENGTH] for side in ("old", "new"))
+        profile.lengths = {(a, b): (x * y, math.ceil(x / _TILE) * math.ceil(y / _TILE)) for a, x in olds for b, y in news}
+    if profile.lengths is None:
+        known = names.withColumn("__n", F.length("name")).filter(F.col("__n").between(1, BLOCK_LENGTH))
+        counts = known.groupBy("side", *group, "__n").agg(F.count(F.lit(1)).cast("double").alias("__names"))
+        o, n = counts.filter("side = 'old'").alias("o"), _shuffled(counts.filter("side = 'new'")).alias("n")
+        blocks = F.ceil(F.col("o.__names") / _TILE) * F.ceil(F.col("n.__names") / _TILE)
+        pairs = o.join(n, [F.col(f"o.`{g}`") == F.col(f"n.`{g}`") for g in group]).groupBy(F.col("o.__n").alias("a"), F.col("n.__n").alias("b")).agg(
+            F.sum(F.col("o.__names") * F.col("n.__names")).alias("pairs"), F.sum(blocks).alias("tiles")
+        )
+        profile.lengths = {(r["a"], r["b"]): (int(r["pairs"]), int(r["tiles"])) for r in pairs.collect()}
+    return profile.lengths
+
+
+def _signing_time(bounds: _Bounds, profile: _Profile, a: int, b: int, pairs: int) -> float:
+    """About how long it takes to find the similar names of two lengths by signatures."""
+    olds, news, same_first, total = profile.classes["old"].get(a, 0), profile.classes["new"].get(b, 0), profile.same_first(a, b), 0.0
+    for start in range(min(bounds.starts, a, b) + 1):
+        need, meet = bounds.overlap(start, a, b), pairs * (same_first if start else 1.0)
+        if need is None or need > min(a, b) or not meet:
+            continue
+        if need <= start:
+            total += _SIGNED * (olds + news) + (_MET + _PAIRED) * meet
+        elif bounds.by_subsets(start, a, b):
+            filed = olds * math.comb(a - start, need - start) + news * math.comb(b - start, need - start)
+            total += _SIGNED * filed + (_MET + _PAIRED) * meet * profile.sharing(need)
+        else:
+            kept_a, kept_b = a - need + 1, b - need + 1
+            often = profile.meeting(kept_a, kept_b)
+            total += _SIGNED * (olds * kept_a + news * kept_b) + meet * (_MET * often + _PAIRED * min(often, 1.0))
+    return total
+
+
+def _tiled_lengths(names: DataFrame, profile: _Profile, group: list[str], bounds: _Bounds) -> dict[tuple[int, int], int]:
+    """The pairs of lengths whose names are paired in tiles, each with its pairs of names."""
+    if profile.counts["old"] * profile.counts["new"] < _TILED_FROM:
+        return {}
+    return {
+        (a, b): pairs
+        for (a, b), (pairs, tiles) in _length_pairs(names, profile, group).items()
+        if bounds.possible(a, b) and pairs * max(a, 4) * _SCORED + tiles * _TILED < _signing_time(bounds, profile, a, b, pairs)
+    }
+
+
+def _signer(bounds: _Bounds, profile: _Profile, side: str, tiled: frozenset[tuple[int, int]]):
+    """A function for ``mapInArrow``: ``(group..., name)`` in, one row per signature out, but for
+    partners of lengths that are paired in tiles."""
     partner = "new" if side == "old" else "old"
 
     def signatures(name: str) -> Iterator[tuple[int, int, int, list[int], bool]]:
@@ -224,7 +320,7 @@ def _signer(bounds: _Bounds, profile: _Profile, side: str):
             for other in near if start else profile.classes[partner]:
                 a, b = (own, other) if side == "old" else (other, own)
                 need = bounds.overlap(start, a, b)
-                if need is None or need > len(name):
+                if need is None or need > len(name) or (a, b) in tiled:
                     continue
                 need -= start
                 if need <= 0:
@@ -307,6 +403,35 @@ class _Scorer:
 
         return score
 
+    def tiles_above(self, threshold: float):
+        """A function for ``mapInArrow``: ``(group..., old, new)`` with the names of a tile in, the pairs
+        above the threshold out with their score."""
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, rows = [], 0
+            for batch in batches:
+                *groups, olds, news = batch.columns
+                for i in range(batch.num_rows):
+                    left, right, first = olds[i].values, news[i].values, 0
+                    for scores in block_scores(left.to_pylist(), right.to_pylist(), self.prefix_weight, self.prefix_cap, self.boost_floor):
+                        found = np.flatnonzero(scores > threshold)
+                        if len(found):
+                            a, b = np.divmod(found, scores.shape[1])
+                            row = pa.array(np.full(len(found), i))
+                            taken = [g.take(row) for g in groups] + [left.take(pa.array(a + first)), right.take(pa.array(b))]
+                            held.append(pa.RecordBatch.from_arrays(
+                                [*taken, pa.array(scores.ravel()[found])], [*batch.schema.names[:-2], "old_name", "new_name", "score"]
+                            ))
+                            rows += len(found)
+                        first += len(scores)
+                        if rows > 20000:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held, rows = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+        return score
+
 
 def _shuffled(df: DataFrame) -> DataFrame:
     """For a side of a join: both sides are shuffled. Written tables of names are packed to a small part of
@@ -332,6 +457,55 @@ def _fields(df: DataFrame, group: list[str]) -> list[str]:
 
 def _scored_pairs(names: DataFrame, profile: _Profile, group: list[str], threshold: float, scorer: _Scorer) -> DataFrame:
     bounds = _Bounds(threshold, scorer.prefix_weight, scorer.prefix_cap, scorer.boost_floor)
+    tiled = _tiled_lengths(names, profile, group, bounds)
+    every = {(a, b) for a in profile.classes["old"] for b in profile.classes["new"]}
+    # lengths that never meet in a group need no signatures either
+    apart = set() if profile.lengths is None else {p for p in every - {*profile.lengths} if min(p) > 0 and max(p) <= BLOCK_LENGTH}
+    done = frozenset(apart | {*tiled})
+    by_signature = _pairs_by_signature(names, profile, group, threshold, scorer, bounds, done)
+    if not tiled:
+        return by_signature
+    tiles = _pairs_in_tiles(names, profile, group, threshold, scorer, tiled)
+    return tiles.unionByName(by_signature) if any(bounds.possible(*pair) for pair in every - done) else tiles
+
+
+def _pairs_in_tiles(
+    names: DataFrame, profile: _Profile, group: list[str], threshold: float, scorer: _Scorer, tiled: dict[tuple[int, int], int]
+) -> DataFrame:
+    """The similar names of some pairs of lengths. Names of one group and length are cut into blocks, in their
+    order, so that a block read again is the same one; a tile is a row with a block of each side."""
+    cores = names.sparkSession.sparkContext.defaultParallelism
+    total = sum(tiled.values())
+    spread = max(min(total // 500_000, 8 * cores), math.ceil(total / _TILE_TASK), 1)
+    own, cols = "__n", [F.col(f"`{g}`") for g in group]
+
+    def blocks(side: str, place: int) -> DataFrame:
+        partners: dict[int, list[int]] = {}
+        for pair in tiled:
+            partners.setdefault(pair[place], []).append(pair[1 - place])
+        count = sum(profile.classes[side].get(n, 0) for n in partners)
+        pieces = max(min(count // 200, cores), count // 20000, 1)
+        mine = names.filter(F.col("side") == side).withColumn(own, F.length("name")).filter(F.col(own).isin([*partners]))
+        mine = mine.repartition(pieces, *cols, own).sortWithinPartitions(*cols, own, "name")
+        mine = mine.withColumn("__block", F.floor(F.monotonically_increasing_id() / _TILE))
+        cut = mine.groupBy(*cols, own, "__block").agg(F.collect_list("name").alias(side))
+        others = F.create_map(*[c for n, ms in partners.items() for c in (F.lit(n), F.array(*map(F.lit, sorted(ms))))])
+        return cut.select(*cols, F.col(own).alias(("la", "lb")[place]), F.explode(others[F.col(own)]).alias(("lb", "la")[place]), side)
+
+    tiles = blocks("old", 0).join(_shuffled(blocks("new", 1)), [*group, "la", "lb"]).select(*cols, "old", "new")
+    schema = ", ".join([*_fields(names, group), "old_name string, new_name string, score double"])
+    return tiles.repartition(spread).mapInArrow(scorer.tiles_above(threshold), schema)
+
+
+def _pairs_by_signature(
+    names: DataFrame,
+    profile: _Profile,
+    group: list[str],
+    threshold: float,
+    scorer: _Scorer,
+    bounds: _Bounds,
+    tiled: frozenset[tuple[int, int]],
+) -> DataFrame:
     fields = _fields(names, group)
     key = ", ".join([*fields, "start int, la int, lb int, head string, token long, part int, tokens array<long>"])
     cores = names.sparkSession.sparkContext.defaultParallelism
@@ -344,7 +518,7 @@ def _scored_pairs(names: DataFrame, profile: _Profile, group: list[str], thresho
         count = profile.counts[side]
         pieces = max(min(count // 200, cores), count // 20000, 1)
         mine = names.filter(F.col("side") == side).drop("side").repartition(pieces)
-        signed = mine.mapInArrow(_signer(bounds, profile, side), f"{key}, {side} string")
+        signed = mine.mapInArrow(_signer(bounds, profile, side, tiled), f"{key}, {side} string")
         return signed.repartition(spread, *[F.col(f"`{c}`") for c in keys])
 
     # a pair is taken at its exact common start and at its first shared character only, so it

@@ -4,8 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import tablechange.functions.similarity as similarity
 import tablechange.operators.matching as matching
 from tablechange.functions.similarity import (
+    block_scores,
     jaro,
     jaro_column,
     jaro_scores,
@@ -255,6 +257,65 @@ def test_signatures_in_parts_give_each_pair_once(spark, olds_more, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == set(brute_pairs(olds, news, 0.8, **weights))
 
 
+@pytest.mark.parametrize("weights", [{}, {"prefix_cap": None, "boost_floor": 0.0}, {"prefix_weight": 0.0}, {"prefix_cap": 2}])
+def test_blocks_score_as_pairs_do(weights, monkeypatch):
+    rng = random.Random(31)
+    for la, lb in [(1, 1), (1, 6), (9, 9), (18, 17), (32, 32), (33, 20), (64, 64), (12, 64)]:
+        for letters in ("ab", "Customer#0123456789", "äß漢\U0001f600\0z", [chr(c) for c in range(0x4E00, 0x5E00)]):
+            left = ["".join(rng.choice(letters) for _ in range(la)) for _ in range(23)]
+            right = ["".join(rng.choice(letters) for _ in range(lb)) for _ in range(19)] + left[:3] * (la == lb)
+            want = jaro_winkler_scores([x for x in left for _ in right], [y for _ in left for y in right], **weights)
+            for cells in (1 << 20, 10):  # one table of characters, and one for each slice
+                with monkeypatch.context() as m:
+                    m.setattr(similarity, "_BLOCK_PAIRS", 100)
+                    m.setattr(similarity, "_CELLS", cells)
+                    got = [score for rows in block_scores(left, right, **weights) for score in rows.ravel()]
+                assert got == want.tolist()
+
+
+def test_names_all_alike_are_paired_in_tiles(spark):
+    """Nearly all of these pairs pass, so nothing is gained by signatures, and a pair is a row only when it is found."""
+    olds, news = [f"customer#{i:05d}" for i in range(510)], [f"customer-{i:05d}" for i in range(505)]
+    pairs = similar_pairs(names(spark, olds), names(spark, news), "scope")
+    plan = pairs._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and "Broadcast" not in plan
+    assert pairs.distinct().count() == pairs.count() == len(brute_pairs(olds, news, 0.8)) == 510 * 505
+
+
+@pytest.mark.parametrize("on", ["scope", None])
+@pytest.mark.parametrize("weights", [{}, {"prefix_cap": None, "boost_floor": 0.0}, {"prefix_weight": 0.0}])
+def test_no_pair_is_lost_in_tiles(spark, on, weights, monkeypatch):
+    monkeypatch.setattr(matching, "_TILED_FROM", 0)
+    monkeypatch.setattr(matching, "_TILE", 7)
+    long = ["".join(random.Random(i).choice("abc") for _ in range(60 + i)) for i in range(10)]
+    olds, news = random_names(41, 120) + long, random_names(42, 120) + [name[1:] for name in long]
+    for signed in (0.0, 1.0, 2e-4):  # all by signature, all in tiles, some of each
+        monkeypatch.setattr(matching, "_SIGNED", signed)
+        monkeypatch.setattr(matching, "_PAIRED", signed)
+        got = [(r["old_name"], r["new_name"], r["score"]) for r in similar_pairs(names(spark, olds), names(spark, news), on, **weights).collect()]
+        assert sorted(got) == sorted((*pair, score) for pair, score in brute_pairs(olds, news, 0.8, **weights).items())
+
+
+def test_tiles_keep_groups_apart(spark, monkeypatch):
+    monkeypatch.setattr(matching, "_TILED_FROM", 0)
+    old = names(spark, [("s", "customer_id"), ("s", "customer_ix"), (None, "customer_id"), ("t", "customer_id"), ("t", None), ("t", "")])
+    new = names(spark, [("s", "customer_ids"), ("s", "customer_ids"), (None, "customer_ids"), ("u", "customer_ids"), ("t", ""), ("s", "zz")])
+    for signed in (0.0, 1.0):
+        monkeypatch.setattr(matching, "_SIGNED", signed)
+        got = sorted((r["scope"], r["old_name"], r["new_name"]) for r in similar_pairs(old, new, "scope").collect())
+        assert got == [("s", "customer_id", "customer_ids"), ("s", "customer_ix", "customer_ids"), ("t", "", "")]
+
+
+def test_tiles_where_signatures_would_take_longer(spark):
+    """Which of the two takes longer is told by the characters that names of both sides have."""
+    bounds, pairs = matching._Bounds(0.8, 0.1, 4, 0.7), 1_000_000_000
+    for news, longer in (([f"customer-{i:04d}" for i in range(200)], True), ([f"Acct{i:06d}xyz" for i in range(200)], False)):
+        olds = [f"customer#{i:04d}" for i in range(300)]
+        profile = matching._read_profile(matching._names(names(spark, olds), names(spark, news), ["scope"], "name"))
+        in_tiles = pairs * 13 * matching._SCORED
+        assert (matching._signing_time(bounds, profile, 13, 13, pairs) > in_tiles) == longer
+
+
 def test_characters_of_one_side_come_first(spark):
     """A name is filed under what few names of the other side have, however frequent on its own."""
     olds, news = [f"Customer#{i:04d}" for i in range(300)], [f"Acct{i:03d}" for i in range(200)]
