@@ -58,8 +58,8 @@ _START = -1  # the token of names whose common start is enough
 _TILED_FROM = 100_000  # possible pairs, below which signatures are always used
 _TILE = 500  # names of a side in a tile
 _TILE_TASK = 8_000_000  # pairs of a task
-# seconds, as measured: a signature, names meeting under one, a pair of them, a tile, its pairs by character
-_SIGNED, _MET, _PAIRED, _TILED, _SCORED = 3e-6, 2e-6, 8e-6, 5e-4, 6e-9
+# seconds, roughly: a signature, names meeting under one, a pair of them, a tile, its pairs by character
+_SIGNED, _MET, _PAIRED, _TILED, _SCORED = 3e-6, 2e-6, 8e-6, 2e-3, 6e-9
 
 
 def _length_class(n: int) -> int:
@@ -476,7 +476,9 @@ def _pairs_in_tiles(
     order, so that a block read again is the same one; a tile is a row with a block of each side."""
     cores = names.sparkSession.sparkContext.defaultParallelism
     total = sum(tiled.values())
-    spread = max(min(total // 500_000, 8 * cores), math.ceil(total / _TILE_TASK), 1)
+    # tiles may be small, and a task reads many rows at once
+    rows = sum(profile.lengths[pair][1] for pair in tiled)
+    spread = max(min(total // 500_000, 8 * cores), math.ceil(total / _TILE_TASK), rows // 1000, 1)
     own, cols = "__n", [F.col(f"`{g}`") for g in group]
 
     def blocks(side: str, place: int) -> DataFrame:
